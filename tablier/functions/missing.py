@@ -11,6 +11,17 @@ from pyspark.sql.types import DataType, DoubleType, FloatType, StringType
 GATE_MISSING_MARKERS = ["", "na", "n/a", "null", "none"]
 # Markers the loader turns into missing (after trim + lower-case):
 LOADER_MISSING_MARKERS = ["", '""', "null", "nan", "n/a", "na", "none"]
+# Characters stripped around text before comparing with the markers.
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def norm_text(c) -> Column:
+    """Strip surrounding whitespace, then lower-case."""
+    return F.lower(F.btrim(_col(c), F.lit(WHITESPACE)))
+
+
+def norm_text_sql(c: str) -> str:
+    return f"lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)))"
 
 
 def _col(c) -> Column:
@@ -33,7 +44,7 @@ def gate_missing(c, dtype: DataType) -> Column:
     c = _col(c)
     base = null_or_nan(c, dtype)
     if isinstance(dtype, StringType):
-        return base | F.lower(F.trim(c)).isin(GATE_MISSING_MARKERS)
+        return base | norm_text(c).isin(GATE_MISSING_MARKERS)
     return base
 
 
@@ -46,7 +57,7 @@ def normalize_missing(df, columns=None):
         if wanted is not None and f.name not in wanted:
             cols.append(c)
         elif isinstance(f.dataType, StringType):
-            cols.append(F.when(F.lower(F.trim(c)).isin(LOADER_MISSING_MARKERS), F.lit(None)).otherwise(c).alias(f.name))
+            cols.append(F.when(norm_text(c).isin(LOADER_MISSING_MARKERS), F.lit(None)).otherwise(c).alias(f.name))
         elif is_float(f.dataType):
             cols.append(F.nanvl(c, F.lit(None).cast(f.dataType)).alias(f.name))
         else:

@@ -138,7 +138,34 @@ def time_three_way_orders(spark, sf):
     return S.split_three_way(df, "o_orderkey", "time", 70, 10, 20, 42, date="o_orderdate")
 
 
-@register("coverage_issues", TIME3_SQL + f"""
+GROUP3_SQL = f"""
+WITH {group_holdout_ctes('h1', 'conversations', 'conv_id', 0.2, 42)},
+rest AS (SELECT c.* FROM conversations c JOIN h1 ON c.conv_id = h1.conv_id WHERE h1.is_test = 0),
+{group_holdout_ctes('h2', 'rest', 'conv_id', VAL_FRACTION, 43)},
+sp AS (
+  SELECT c.conv_id, c.turn, c.role,
+         CASE WHEN h1.is_test = 1 THEN 'test' WHEN h2.is_test = 1 THEN 'validation' ELSE 'train' END AS split
+  FROM conversations c JOIN h1 ON c.conv_id = h1.conv_id LEFT JOIN h2 ON c.conv_id = h2.conv_id),
+cov AS (
+  SELECT CAST(role AS VARCHAR) AS class, count(*) AS full_count,
+         count(*) FILTER (WHERE split = 'train') AS train_count,
+         count(*) FILTER (WHERE split = 'validation') AS validation_count,
+         count(*) FILTER (WHERE split = 'test') AS test_count
+  FROM sp WHERE role IS NOT NULL GROUP BY 1)"""
+
+
+def group_three_way_conversations(spark, sf):
+    df = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    return S.split_three_way(df, "turn", "group", 70, 10, 20, 42, group="conv_id")
+
+
+@register("class_coverage_group", GROUP3_SQL + f"""
+SELECT *, {_status_sql()} AS status FROM cov""")
+def q_class_coverage_group(spark, sf):
+    return S.class_coverage(group_three_way_conversations(spark, sf), "role")
+
+
+@register("coverage_issues", GROUP3_SQL + f"""
 SELECT level, 'split' AS category, message, '{S.CLASS_COVERAGE_FIX}' AS suggestion, class AS affected_column FROM (
   SELECT class, 'fatal' AS level,
          CASE WHEN validation_count > 0 OR test_count > 0
@@ -152,7 +179,7 @@ SELECT level, 'split' AS category, message, '{S.CLASS_COVERAGE_FIX}' AS suggesti
   SELECT class, 'warning', 'Class ''' || class || ''' is absent from the test set. Test metrics for this class may be unavailable.'
   FROM cov WHERE train_count > 0 AND test_count = 0) x""")
 def q_coverage_issues(spark, sf):
-    return S.coverage_issues(S.class_coverage(time_three_way_orders(spark, sf), "o_orderpriority"))
+    return S.coverage_issues(S.class_coverage(group_three_way_conversations(spark, sf), "role"))
 
 
 @register("class_coverage_time", TIME3_SQL + f"""

@@ -76,7 +76,7 @@ DIRTY_EVENTS_SQL = """(SELECT event_id, ts, user_id,
 FROM events)"""
 
 
-def dirty_events(spark, sf):
+def dirty_events(spark, sf, keep_raw: bool = False):
     e = table(spark, sf, "events")
     v = F.col("value")
     et = (
@@ -85,7 +85,8 @@ def dirty_events(spark, sf):
     )
     val = F.when((v > 460) & (v <= 470), F.lit(float("nan"))).when(v > 470, F.lit(None)).otherwise(v)
     pr = F.when(v > 480, "NULL").when(v > 475, "  ").otherwise(F.col("props"))
-    return e.select("event_id", "ts", "user_id", et.alias("event_type"), val.alias("value"), pr.alias("props"))
+    extra = [v.alias("_raw")] if keep_raw else []
+    return e.select("event_id", "ts", "user_id", et.alias("event_type"), val.alias("value"), pr.alias("props"), *extra)
 
 
 # ------------------------------------------------------------------ B: profile

@@ -36,19 +36,28 @@ def _vector(df: DataFrame, features) -> DataFrame:
 
 
 def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: int = 42,
-                      nominal: list[str] | None = None, nominal_penalty: dict[str, float] | None = None) -> DataFrame:
-    """(group, key, neighbour key, distance, rank) for the k nearest *other* rows of the same group."""
+                      nominal: list[str] | None = None, nominal_penalty: dict[str, float] | None = None,
+                      query=None, member=None) -> DataFrame:
+    """(group, key, neighbour key, distance, rank) for the k nearest *other* rows of the same group.
+
+    ``query`` / ``member`` (boolean columns, default all rows) restrict which
+    rows ask for neighbours and which rows may be neighbours (k-NN scoring:
+    queries = rows to score, members = training rows).
+    """
     nominal = list(nominal or [])
     penalty = dict(nominal_penalty or {})
     base = _vector(df, features).select(
         stratum_col(group).alias("_g"), F.col(key).cast("string").alias("_q"), "_v",
         F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in nominal]).alias("_cat")
         if nominal else F.array().cast("array<string>").alias("_cat"),
+        (query if query is not None else F.lit(True)).alias("_isq"),
+        (member if member is not None else F.lit(True)).alias("_ism"),
     )
-    counts = stratum_counts(base, F.col("_g"))
+    mem = base.where("_ism")
+    counts = stratum_counts(mem, F.col("_g"))
     pcount = {g: max(1, min(MAX_PIVOTS, math.ceil(n / CELL_TARGET))) for g, n in counts.items()}
-    sk = hash_sort_key(base, seed, "_q")
-    piv_rows = base.where(select_first(base, sk, F.col("_g"), pcount, counts)).select("_g", "_q", "_v", "_cat").collect()
+    sk = hash_sort_key(mem, seed, "_q")
+    piv_rows = mem.where(select_first(mem, sk, F.col("_g"), pcount, counts)).select("_g", "_q", "_v", "_cat").collect()
     pivots: dict[str, list] = {}
     for r in sorted(piv_rows, key=lambda r: (r["_g"], r["_q"])):
         pivots.setdefault(r["_g"], []).append((list(r["_v"]), list(r["_cat"])))
@@ -71,6 +80,8 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
         for pdf in batches:
             out = []
             for g, sub in pdf.groupby("_g", sort=False):
+                if g not in pivots:
+                    continue
                 vecs = np.array(sub["_v"].tolist(), dtype=float)
                 cats = np.array(sub["_cat"].tolist(), dtype=object).reshape(len(sub), -1)
                 d = dist_to(pivots[g], vecs, cats, g)
@@ -78,12 +89,14 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
                 out.append(pd.DataFrame({
                     "_g": sub["_g"].values, "_q": sub["_q"].values, "_v": sub["_v"].values, "_cat": sub["_cat"].values,
                     "_cell": cell.astype("int64"), "_pd": list(d),
+                    "_isq": sub["_isq"].values, "_ism": sub["_ism"].values,
                 }))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     cells = base.mapInPandas(
-        assign, "_g string, _q string, _v array<double>, _cat array<string>, _cell long, _pd array<double>"
+        assign,
+        "_g string, _q string, _v array<double>, _cat array<string>, _cell long, _pd array<double>, _isq boolean, _ism boolean",
     )
 
     def topk(qv, qc, qk, mv, mc, mk, g, exclude_self):
@@ -113,19 +126,23 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
         import pandas as pd
 
         g = pdf["_g"].iloc[0]
-        v = np.array(pdf["_v"].tolist(), dtype=float)
-        c = np.array(pdf["_cat"].tolist(), dtype=object).reshape(len(pdf), -1)
-        keys = pdf["_q"].to_numpy(dtype=object)
+        qs, ms = pdf[pdf["_isq"]], pdf[pdf["_ism"]]
         rows = []
-        step = 512
-        for s in range(0, len(pdf), step):
-            rows += topk(v[s:s + step], c[s:s + step], keys[s:s + step], v, c, keys, g, True)
+        if len(qs) and len(ms):
+            mv = np.array(ms["_v"].tolist(), dtype=float)
+            mc = np.array(ms["_cat"].tolist(), dtype=object).reshape(len(ms), -1)
+            mk = ms["_q"].to_numpy(dtype=object)
+            qv = np.array(qs["_v"].tolist(), dtype=float)
+            qc = np.array(qs["_cat"].tolist(), dtype=object).reshape(len(qs), -1)
+            qk = qs["_q"].to_numpy(dtype=object)
+            for s in range(0, len(qs), 512):
+                rows += topk(qv[s:s + 512], qc[s:s + 512], qk[s:s + 512], mv, mc, mk, g, True)
         return pd.DataFrame([(g, q, n, dd) for q, n, dd in rows], columns=["_g", "_q", "_nk", "_dist"])
 
     inner = cells.groupBy("_g", "_cell").applyInPandas(within, NN_SCHEMA)
     radius = inner.groupBy("_g", "_q").agg(F.count(F.lit(1)).alias("_m"), F.max("_dist").alias("_r"))
     # cells that may hold a closer point than the current k-th neighbour
-    q = cells.join(radius, ["_g", "_q"], "left")
+    q = cells.where("_isq").join(radius, ["_g", "_q"], "left")
     r = F.when(F.coalesce(F.col("_m"), F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.col("_r"))
     own = F.element_at(F.col("_pd"), (F.col("_cell") + 1).cast("int"))
     cand = q.select(
@@ -133,7 +150,7 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
         F.posexplode(F.col("_pd")).alias("_j", "_dj"), own.alias("_own"), r.alias("_rad"),
     ).where((F.col("_j") != F.col("_cell")) & ((F.col("_dj") - F.col("_own")) / 2 <= F.col("_rad")))
     probes = cand.select("_g", F.col("_j").cast("long").alias("_cell"), "_q", "_v", "_cat", F.lit(1).alias("_role"))
-    members = cells.select("_g", "_cell", "_q", "_v", "_cat", F.lit(0).alias("_role"))
+    members = cells.where("_ism").select("_g", "_cell", "_q", "_v", "_cat", F.lit(0).alias("_role"))
 
     def across(pdf):
         import numpy as np

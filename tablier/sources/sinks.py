@@ -37,9 +37,9 @@ def load_saved_split(spark: SparkSession, path: str, meta_path: str, target: str
     configured target; one ``groupBy(split)`` aggregate does the row checks.
     """
     meta = read_metadata(spark, meta_path)
-    if meta.get("target") != target:
+    if meta.get("target_column") != target:
         raise ValueError(
-            f"Saved split was created for target '{meta.get('target')}', not '{target}'. Confirm the split again."
+            f"Saved split was created for target '{meta.get('target_column')}', not '{target}'. Confirm the split again."
         )
     df = spark.read.parquet(path)
     stats = {

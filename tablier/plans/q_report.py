@@ -238,3 +238,75 @@ def q_top_features(spark, sf):
     from .q_models import _importances
 
     return _importances(spark, sf, "random_forest").orderBy(F.desc("importance"), "feature").limit(20)
+
+
+# ---------------------------------------------------------------- evaluation artifacts
+
+
+def _write_predictions(spark, sf):
+    """Per-model scored test rows, partitioned by (model, split)."""
+    from ..sources import sinks
+
+    out = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    frames = None
+    for name, feats in MODELS.items():
+        s = _scored(spark, sf, feats, lambda c, x: c >= x).select(
+            "o_orderkey", "actual", "predicted", *[f"p_{c}" for c in CLASSES]
+        ).withColumn("model", F.lit(name)).withColumn("split", F.lit("test"))
+        frames = s if frames is None else frames.unionByName(s)
+    sinks.write_evaluation(frames, out)
+    return out
+
+
+@register("model_diagnostic", f"""
+WITH {nb_ctes('', TR, TE, FEATS)},
+labs AS (SELECT actual AS l FROM sc UNION SELECT predicted FROM sc),
+cells0 AS (SELECT actual, predicted, count(*) AS n FROM sc GROUP BY 1, 2)
+SELECT a.l AS actual, p.l AS predicted, coalesce(c.n, 0) AS n
+FROM labs a CROSS JOIN labs p LEFT JOIN cells0 c ON c.actual = a.l AND c.predicted = p.l""")
+def q_model_diagnostic(spark, sf):
+    """Confusion of one (model, split) rebuilt from the saved predictions (partition pruned)."""
+    path = _write_predictions(spark, sf)
+    preds = spark.read.parquet(path).where((F.col("model") == "nb_both") & (F.col("split") == "test"))
+    return E.confusion(preds, "actual", "predicted")
+
+
+@register("artifact_roundtrip")
+def q_artifact_roundtrip(spark, sf):
+    """Results CSV, per-model metrics JSON read back (A12), params and class mapping."""
+    import json as _json
+
+    from ..sources import sinks
+
+    base = scratch_path(spark, f"results-{uuid.uuid4().hex}")
+    perf = performance(spark, sf)
+    sinks.write_results_csv(perf, f"{base}/training_results")
+    for r in perf.collect():
+        doc = {"model": r["model"], "test_macro_f1": r["test_macro_f1"]}
+        spark.createDataFrame([(_json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(
+            f"{base}/models/{r['model']}/test")
+    spark.createDataFrame([(_json.dumps({"model": "broken", "error": "fit failed"}),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{base}/models/broken/test")
+    scanned = sinks.read_model_results(spark, f"{base}/models/*/*")
+    df = orders_customer(spark, sf).select(*FEATS, "o_orderstatus")
+    p = P.fit(df, FEATS, target="o_orderstatus")
+    sinks.write_params(p.params_frame(spark), f"{base}/params")
+    mapping = P.class_mapping(spark, p.classes)
+    sinks.write_params(mapping, f"{base}/class_mapping")
+    reusable = P.encoder_covers(df, "o_orderstatus", spark.read.parquet(f"{base}/class_mapping"))
+    csv_rows = spark.read.option("header", "true").csv(f"{base}/training_results").count()
+    return scanned.select("model", "status").withColumn("encoder_reusable", F.lit(reusable)).withColumn(
+        "csv_rows", F.lit(csv_rows))
+
+
+@register("curve_comparison")
+def q_curve_comparison(spark, sf):
+    """Macro ROC curves of several models at once (grouped by model) with mean AUC."""
+    curves = None
+    for name, feats in MODELS.items():
+        s = _scored(spark, sf, feats, lambda c, x: c >= x)
+        c = E.roc_curve(E.score_counts(s, "actual", CLASSES, [f"p_{c}" for c in CLASSES])).withColumn("model", F.lit(name))
+        curves = c if curves is None else curves.unionByName(c)
+    mac = E.macro_curve(curves, "fpr", "tpr", part="class", group_cols=["model"])
+    auc = curves.groupBy("model").agg(F.avg("auc").alias("mean_auc"))
+    return mac.join(auc, "model")

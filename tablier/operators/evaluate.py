@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCORE_BUCKETS = 4096
+ROWS_PER_BUCKET = 500_000  # rows ordered together in one (class, bucket) window
+MAX_BUCKETS = 65_536
 GRID_POINTS = 201
 EPS = 2.220446049250313e-16  # float64 machine epsilon (MAPE denominator floor)
 
@@ -129,38 +130,51 @@ def score_counts(df: DataFrame, actual: str, classes: list[str], proba_cols: lis
     )
 
 
-def cumulative_below(t: DataFrame, part: str, x: str, values: list[str], buckets: int = SCORE_BUCKETS) -> DataFrame:
+def cumulative_below(t: DataFrame, part: str, x: str, values: list[str], rows_per_bucket: int | None = None,
+                     max_buckets: int | None = None, lower: list[str] = ()) -> DataFrame:
     """For rows unique per (part, x): add ``<v>_below`` = sum of v over smaller x, and ``rank``.
 
-    Two-phase: bucket totals -> offsets (<= parts x buckets rows), then a
-    window inside each (part, bucket) only.
+    Two-phase: each part's x range is cut into ``ceil(rows / rows_per_bucket)``
+    equal-width buckets (at most ``max_buckets``); bucket totals give offsets
+    (a table of at most parts x max_buckets rows) and only rows inside one
+    (part, bucket) are ordered together.  ``lower`` columns also get
+    ``<v>_lower``: the value on the row with the next smaller x (bucket edges
+    are filled from the small per-bucket edge table).
     """
-    rng = t.groupBy(part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    max_buckets = max_buckets or MAX_BUCKETS
+    rng = t.groupBy(part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
+    nb = F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(rows_per_bucket))))
     tb = t.join(F.broadcast(rng), part)
     width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col(x) - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
-    tb = tb.withColumn("_b", b.cast("int")).drop("_lo", "_hi").withColumn("_one", F.lit(1))
+    b = F.when(width > 0, F.least(F.floor((F.col(x) - F.col("_lo")) / width * nb), nb - 1)).otherwise(0)
+    tb = tb.withColumn("_b", b.cast("long")).drop("_lo", "_hi", "_cnt").withColumn("_one", F.lit(1))
     vals = list(values) + ["_one"]
-    bt = tb.groupBy(part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals])
-    ow = W.partitionBy(part).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offs = bt.select(part, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(ow), F.lit(0)).alias(f"_o_{v}") for v in vals])
+    edge_aggs = [F.max_by(F.struct(*[F.col(v) for v in lower]), F.col(x)).alias("_last")] if lower else []
+    bt = tb.groupBy(part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals], *edge_aggs)
+    bw = W.partitionBy(part).orderBy("_b")
+    ow = bw.rowsBetween(W.unboundedPreceding, -1)
+    offs = bt.select(part, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(ow), F.lit(0)).alias(f"_o_{v}") for v in vals],
+                     *([F.lag("_last").over(bw).alias("_prev_last")] if lower else []))
     j = tb.join(F.broadcast(offs), [part, "_b"])
-    iw = W.partitionBy(part, "_b").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    iw = W.partitionBy(part, "_b").orderBy(x)
+    cw = iw.rowsBetween(W.unboundedPreceding, -1)
     out = j.select(
         *t.columns,
-        *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(iw), F.lit(0))).alias(f"{v}_below") for v in values],
-        (F.col("_o__one") + F.coalesce(F.sum("_one").over(iw), F.lit(0)) + 1).alias("rank"),
+        *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(cw), F.lit(0))).alias(f"{v}_below") for v in values],
+        (F.col("_o__one") + F.coalesce(F.sum("_one").over(cw), F.lit(0)) + 1).alias("rank"),
+        *[F.coalesce(F.lag(v).over(iw), F.col("_prev_last")[v]).alias(f"{v}_lower") for v in lower],
     )
     return out
 
 
 def curve_table(counts: DataFrame) -> DataFrame:
     """Per (class, distinct score): tps/fps at threshold ``score`` (score >= thr) and totals."""
-    cb = cumulative_below(counts, "class", "score", ["pos", "neg"])
+    cb = cumulative_below(counts, "class", "score", ["pos", "neg"], lower=["pos", "neg"])
     tot = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
     t = cb.join(F.broadcast(tot), "class")
     return t.select(
-        "class", "score", "pos", "neg", "P", "N", "m", "rank",
+        "class", "score", "pos", "neg", "P", "N", "m", "rank", "pos_lower", "neg_lower",
         (F.col("P") - F.col("pos_below")).alias("tps"),
         (F.col("N") - F.col("neg_below")).alias("fps"),
         F.col("neg_below"),
@@ -186,22 +200,22 @@ def roc_auc(counts: DataFrame) -> DataFrame:
 
 
 def roc_curve(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
-    """(class, fpr, tpr, threshold, auc); thresholds descending, first = +inf."""
+    """(class, fpr, tpr, threshold, auc); thresholds descending, first = +inf.
+
+    Collinear points are dropped as in the reference: with thresholds in
+    descending order, the second differences of (fps, tps) at a point equal
+    (neg, pos) of the next lower score minus its own, so only the lower
+    neighbour's counts are needed (no self-join).
+    """
     t = curve_table(counts)
-    # descending index i = m - rank (0 = highest score)
-    t = t.withColumn("i", F.col("m") - F.col("rank"))
-    prev = t.select("class", (F.col("i") + 1).alias("i"), F.col("tps").alias("tp_prev"), F.col("fps").alias("fp_prev"))
-    nxt = t.select("class", (F.col("i") - 1).alias("i"), F.col("tps").alias("tp_next"), F.col("fps").alias("fp_next"))
-    j = t.join(prev, ["class", "i"], "left").join(nxt, ["class", "i"], "left")
     if drop_intermediate:
         keep = (
-            (F.col("i") == 0) | (F.col("i") == F.col("m") - 1) | (F.col("m") <= 2)
-            | ((F.col("fp_next") - 2 * F.col("fps") + F.col("fp_prev")) != 0)
-            | ((F.col("tp_next") - 2 * F.col("tps") + F.col("tp_prev")) != 0)
+            (F.col("rank") == F.col("m")) | (F.col("rank") == 1) | (F.col("m") <= 2)
+            | (F.col("neg_lower") != F.col("neg")) | (F.col("pos_lower") != F.col("pos"))
         )
-        j = j.where(keep)
+        t = t.where(keep)
     auc = auc_per_class(counts).select("class", "auc")
-    pts = j.select("class", (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"),
+    pts = t.select("class", (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"),
                    F.col("score").alias("threshold"))
     origin = counts.select("class").distinct().select(
         "class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")

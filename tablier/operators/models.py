@@ -39,14 +39,18 @@ def fit_gaussian_nb(df: DataFrame, features: list[str], label: str) -> GaussianN
     """Per-class mean / population variance + 1e-9 * max feature variance."""
     lab = F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("null"))
     x = [F.col(f"`{f}`").cast("double") for f in features]
-    overall = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)]).collect()[0]
-    eps = VAR_SMOOTHING * max(overall[f"v{i}"] or 0.0 for i in range(len(features)))
     rows = df.groupBy(lab.alias("c")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
         *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)],
     ).collect()
     total = sum(r["n"] for r in rows)
+    # overall population variance from the per-class moments (no second pass)
+    overall = []
+    for i in range(len(features)):
+        mu = sum(r["n"] * r[f"m{i}"] for r in rows) / total
+        overall.append(sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mu) ** 2) for r in rows) / total)
+    eps = VAR_SMOOTHING * max(overall)
     classes = sorted(r["c"] for r in rows)
     by = {r["c"]: r for r in rows}
     return GaussianNB(

@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+MAX_LABELS = 2_000  # k x k confusion cells stay a small (broadcast) table
 ROWS_PER_BUCKET = 500_000  # rows ordered together in one (class, bucket) window
 MAX_BUCKETS = 65_536
 GRID_POINTS = 201
@@ -41,6 +44,8 @@ def confusion(df: DataFrame, actual: str, predicted: str, labels: list[str] | No
         lab = cells.select(F.col("actual").alias("l")).union(cells.select(F.col("predicted").alias("l"))).distinct()
     else:
         lab = df.sparkSession.createDataFrame([(str(x),) for x in labels], "l string")
+    if lab.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"More than {MAX_LABELS} labels: a k x k confusion grid would not be small.")
     grid = F.broadcast(lab.select(F.col("l").alias("actual"))).crossJoin(F.broadcast(lab.select(F.col("l").alias("predicted"))))
     return grid.join(cells, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")
@@ -181,9 +186,9 @@ def curve_table(counts: DataFrame) -> DataFrame:
     )
 
 
-def auc_per_class(counts: DataFrame) -> DataFrame:
+def auc_per_class(counts: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """L7 per class: exact rank AUC with ties = sum pos*(neg_below + neg/2) / (P*N)."""
-    t = curve_table(counts)
+    t = table if table is not None else curve_table(counts)
     return t.groupBy("class").agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))) / (F.first("P") * F.first("N"))).alias("auc"),
         F.first("P").alias("P"), F.first("N").alias("N"),
@@ -207,17 +212,20 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     (neg, pos) of the next lower score minus its own, so only the lower
     neighbour's counts are needed (no self-join).
     """
-    t = curve_table(counts)
+    # the curve table feeds points, AUC and origin rows: materialise it once
+    # (reliable checkpoint in the shared folder) instead of re-deriving it
+    counts = cut_lineage(counts)
+    t = cut_lineage(curve_table(counts))
+    auc = auc_per_class(counts, t).select("class", "auc")  # over every distinct score
     if drop_intermediate:
         keep = (
             (F.col("rank") == F.col("m")) | (F.col("rank") == 1) | (F.col("m") <= 2)
             | (F.col("neg_lower") != F.col("neg")) | (F.col("pos_lower") != F.col("pos"))
         )
         t = t.where(keep)
-    auc = auc_per_class(counts).select("class", "auc")
     pts = t.select("class", (F.col("fps") / F.col("N")).alias("fpr"), (F.col("tps") / F.col("P")).alias("tpr"),
                    F.col("score").alias("threshold"))
-    origin = counts.select("class").distinct().select(
+    origin = auc.select(
         "class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")
     )
     return pts.unionByName(origin).join(F.broadcast(auc), "class")
@@ -229,7 +237,8 @@ def pr_curve(counts: DataFrame) -> DataFrame:
     One point per distinct score plus the final (recall 0, precision 1)
     point, whose threshold is the highest score.
     """
-    t = curve_table(counts)
+    counts = cut_lineage(counts)
+    t = cut_lineage(curve_table(counts))
     prec = F.when(F.col("tps") + F.col("fps") > 0, F.col("tps") / (F.col("tps") + F.col("fps"))).otherwise(0.0)
     rec = F.when(F.col("P") > 0, F.col("tps") / F.col("P")).otherwise(1.0)
     pts = t.select("class", "score", "pos", "P", rec.alias("recall"), prec.alias("precision"))

@@ -45,9 +45,10 @@ def label_col(target: str) -> Column:
 
 
 def class_counts(df: DataFrame, target: str) -> dict[str, int]:
-    """F1 (labels in string form)."""
-    rows = df.groupBy(label_col(target).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["c"]: int(r["n"]) for r in rows}
+    """F1 (labels in string form); bounded collect."""
+    from .ranking import stratum_counts
+
+    return stratum_counts(df, target)
 
 
 def class_counts_frame(df: DataFrame, target: str) -> DataFrame:

@@ -175,8 +175,11 @@ def target_label(c) -> Column:
 
 
 def target_classes(df: DataFrame, target: str) -> list[str]:
-    """Sorted distinct labels (text)."""
-    return [r["c"] for r in df.select(target_label(target).alias("c")).distinct().orderBy("c").collect()]
+    """Sorted distinct labels (text); bounded collect."""
+    rows = df.select(target_label(target).alias("c")).distinct().orderBy("c").limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"Target '{target}' has more than {MAX_LEVELS} classes.")
+    return [r["c"] for r in rows]
 
 
 def encode_target_expr(target: str, classes: list[str]) -> Column:

@@ -156,9 +156,10 @@ def value_frequencies(df: DataFrame, column: str, top: int = TOP_VALUES) -> Data
     """Top values by count, missing included, percent of all rows."""
     c = F.col(f"`{column}`")
     counts = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(W.partitionBy())
-    ranked = counts.withColumn("percent", F.round(F.col("count") * 100.0 / total, 6))
-    return ranked.orderBy(F.desc("count"), F.asc_nulls_first("value")).limit(top)
+    top_rows = counts.orderBy(F.desc("count"), F.asc_nulls_first("value")).limit(top)
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one scalar, not a window over all values
+    return top_rows.crossJoin(F.broadcast(total)).select(
+        "value", "count", F.round(F.col("count") * 100.0 / F.col("_total"), 6).alias("percent"))
 
 
 def encoding_metadata(df: DataFrame, column: str, first: int = TOP_VALUES) -> DataFrame:
@@ -174,7 +175,9 @@ def target_distribution(df: DataFrame, target: str) -> DataFrame:
     """Non-missing target counts and percent of non-missing rows."""
     c = F.col(f"`{target}`")
     counts = df.where(c.isNotNull()).groupBy(c.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("percent", F.round(F.col("count") * 100.0 / F.sum("count").over(W.partitionBy()), 6))
+    total = df.where(c.isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(
+        "class", "count", F.round(F.col("count") * 100.0 / F.col("_total"), 6).alias("percent"))
 
 
 def target_cardinality(df: DataFrame, target: str) -> DataFrame:

@@ -124,9 +124,17 @@ def select_first(df: DataFrame, sort_key: Column, stratum, quotas: dict[str, int
     return cut_predicate(sort_key, g, cuts)
 
 
-def stratum_counts(df: DataFrame, stratum) -> dict[str, int]:
+MAX_STRATA = 100_000  # strata (classes) whose counts may reach the driver
+
+
+def stratum_counts(df: DataFrame, stratum, limit: int | None = None) -> dict[str, int]:
+    """Per-stratum row counts; raises instead of collecting an unbounded table."""
     g = stratum_col(stratum)
-    return {r[0]: int(r[1]) for r in df.groupBy(g.alias("_g")).count().collect()}
+    bound = limit or MAX_STRATA
+    rows = df.groupBy(g.alias("_g")).count().limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"More than {bound} strata / classes; stratify on a coarser column.")
+    return {r[0]: int(r[1]) for r in rows}
 
 
 def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_col: str = "_rank",

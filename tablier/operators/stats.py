@@ -55,12 +55,10 @@ def cramers_v(df: DataFrame, features: list[str], target: str, bins: int = 10) -
         F.col("_y").isNotNull()
     )
     ct = long.groupBy("x.feature", "x.value", "_y").agg(F.count(F.lit(1)).alias("o"))
-    by_f = W.partitionBy("feature")
-    ct = (
-        ct.withColumn("R", F.sum("o").over(W.partitionBy("feature", "value")))
-        .withColumn("C", F.sum("o").over(W.partitionBy("feature", "_y")))
-        .withColumn("n", F.sum("o").over(by_f))
-    )
+    rows_t = ct.groupBy("feature", "value").agg(F.sum("o").alias("R"))
+    cols_t = ct.groupBy("feature", "_y").agg(F.sum("o").alias("C"))
+    tot_t = ct.groupBy("feature").agg(F.sum("o").alias("n"))  # features x classes: tiny, broadcast
+    ct = ct.join(rows_t, ["feature", "value"]).join(F.broadcast(cols_t), ["feature", "_y"]).join(F.broadcast(tot_t), "feature")
     per = ct.groupBy("feature").agg(
         (F.first("n") * (F.sum(F.col("o") * F.col("o") / (F.col("R") * F.col("C"))) - 1)).alias("chi2"),
         F.first("n").alias("n"),

@@ -127,6 +127,7 @@ def test_auc_with_ties_matches_rank_formula(spark):
     assert abs(got - exp) < 1e-12
     roc = E.roc_curve(counts).orderBy("fpr", "tpr").collect()
     assert roc[0]["threshold"] == float("inf") and roc[-1]["fpr"] == 1.0 and roc[-1]["tpr"] == 1.0
+    assert all(abs(r["auc"] - exp) < 1e-12 for r in roc)
 
 
 def test_regression_metrics(spark):

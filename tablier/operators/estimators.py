@@ -182,9 +182,12 @@ def fit_adaboost(train: DataFrame, label: str, features_col: str, k: int, rounds
         dt = DecisionTreeClassifier(maxDepth=1, featuresCol=features_col, labelCol=label, weightCol="_w", seed=seed + r)
         m = dt.fit(data)
         pred = m.transform(data).select(features_col, label, "_w", F.col("prediction").alias("_p"))
-        err = pred.agg((F.sum(F.when(F.col("_p") != F.col(label), F.col("_w")).otherwise(0.0)) / F.sum("_w")).alias("e")).collect()[0]["e"]
-        if err is None:
+        # one pass gives both the weighted error and the new normaliser
+        agg = pred.agg(F.sum(F.when(F.col("_p") != F.col(label), F.col("_w")).otherwise(0.0)).alias("miss"),
+                       F.sum("_w").alias("tot")).collect()[0]
+        if not agg["tot"]:
             break
+        err = agg["miss"] / agg["tot"]
         if err <= 0:
             stumps.append(m)
             alphas.append(1.0)
@@ -194,10 +197,9 @@ def fit_adaboost(train: DataFrame, label: str, features_col: str, k: int, rounds
         alpha = lr * (math.log((1 - err) / err) + math.log(max(k, 2) - 1))
         stumps.append(m)
         alphas.append(alpha)
+        new_tot = (agg["tot"] - agg["miss"]) + agg["miss"] * math.exp(alpha)
         upd = F.when(F.col("_p") != F.col(label), F.col("_w") * F.lit(math.exp(alpha))).otherwise(F.col("_w"))
-        data = pred.withColumn("_w", upd).drop("_p")
-        tot = data.agg(F.sum("_w")).collect()[0][0]
-        data = data.withColumn("_w", F.col("_w") / F.lit(tot))
+        data = pred.withColumn("_w", upd / F.lit(new_tot)).drop("_p")
         if (r + 1) % 10 == 0:
             data = cut_lineage(data)
     return Fitted("adaboost", None, k, kind="adaboost", extra={"stumps": stumps, "alphas": alphas})

@@ -32,8 +32,21 @@ def _median_std(df: DataFrame, target: str, numeric: list[str], classes: list[st
     return out
 
 
+def neighbours(df: DataFrame, key: str, target: str, features, classes: list[str], k: int, seed: int = 42,
+               categorical: list[str] | None = None) -> DataFrame:
+    """Exact k nearest same-class neighbours of the rows of ``classes`` (reusable across targets)."""
+    categorical = list(categorical or [])
+    sub = df.where(label_col(target).isin(classes))
+    numeric = [features] if isinstance(features, str) else list(features)
+    penalty = None
+    if categorical:
+        med = _median_std(sub, target, numeric, classes)
+        penalty = {c: (m ** 2) / 2.0 for c, m in med.items()}
+    return knn_within_groups(sub, key, target, features, k, seed, nominal=categorical, nominal_penalty=penalty)
+
+
 def synthetic_samples(df: DataFrame, key: str, target: str, features, targets: dict[str, int], k: int,
-                      seed: int = 42, categorical: list[str] | None = None) -> DataFrame:
+                      seed: int = 42, categorical: list[str] | None = None, nn: DataFrame | None = None) -> DataFrame:
     """Only the synthetic rows: (class, draw, base key, neighbour key, step, _v, nominal values)."""
     spark = df.sparkSession
     categorical = list(categorical or [])
@@ -44,11 +57,8 @@ def synthetic_samples(df: DataFrame, key: str, target: str, features, targets: d
     classes = sorted(need)
     sub = df.where(label_col(target).isin(classes))
     numeric = [features] if isinstance(features, str) else list(features)
-    penalty = None
-    if categorical:
-        med = _median_std(sub, target, numeric, classes)
-        penalty = {c: (m ** 2) / 2.0 for c, m in med.items()}
-    nn = knn_within_groups(sub, key, target, features, k, seed, nominal=categorical, nominal_penalty=penalty)
+    if nn is None:
+        nn = neighbours(df, key, target, features, classes, k, seed, categorical)
     vec = (F.col(features).cast("array<double>") if isinstance(features, str)
            else F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]))
     rows = sub.select(label_col(target).alias("_c"), F.col(key).alias("_key"), vec.alias("_v"),
@@ -89,14 +99,14 @@ def synthetic_samples(df: DataFrame, key: str, target: str, features, targets: d
 
 
 def smote(df: DataFrame, key: str, target: str, features, targets: dict[str, int], k: int, seed: int = 42,
-          nominal: bool = False, categorical: list[str] | None = None) -> DataFrame:
+          nominal: bool = False, categorical: list[str] | None = None, nn: DataFrame | None = None) -> DataFrame:
     """Originals plus synthetic rows (``synthetic`` flag, key NULL for synthetic rows)."""
     if nominal and not categorical:
         categorical = [f.name for f in df.schema.fields
                        if f.dataType.simpleString() == "string" and f.name not in (key, target)]
     if isinstance(features, list) and categorical:
         features = [c for c in features if c not in categorical]
-    syn = synthetic_samples(df, key, target, features, targets, k, seed, categorical)
+    syn = synthetic_samples(df, key, target, features, targets, k, seed, categorical, nn)
     out = df.withColumn("synthetic", F.lit(False))
     if syn is None:
         return out

@@ -104,9 +104,11 @@ def stacking(df: DataFrame, key: str, group: str, models: list[str], chosen_clas
 def learning_curve(df: DataFrame, key: str, group: str, model: str, fractions=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
                    k: int = 3, seed: int = 42, label: str = "label", min_rare: int = 6) -> DataFrame:
     """M8: group-subsampled training sizes x group CV; skipped when a class is too rare or folds < 2."""
+    from ..session import cut_lineage
+
     rows = None
     for fr in fractions:
-        sub = S.learning_curve_sample(df, group, fr, seed)
+        sub = cut_lineage(S.learning_curve_sample(df, group, fr, seed))
         counts = {r[0]: r[1] for r in sub.groupBy(label).count().collect()}
         if not counts or min(counts.values()) < min_rare or k < 2:
             continue

@@ -15,7 +15,7 @@ from ..operators import preprocess as P
 from ..operators import split as S
 from ..operators import stats as T
 from ..operators import workflows as WF
-from ..operators.smote import smote
+from ..operators.smote import neighbours, smote
 from ..session import cut_lineage
 from ..sources.tables import labels_documents, table
 from .registry import register
@@ -163,14 +163,18 @@ def q_learning_curve(spark, sf):
 def q_sensitivity(spark, sf):
     """M9: SMOTE to three minority ratios, retrain, compare test macro-F1."""
     base = labels_documents(spark, sf).select("doc_id", "quality", "n_chars", "lang", "source")
-    base = S.split(base, "doc_id", "stratified", 0.2, 42, target="quality")
+    base = cut_lineage(S.split(base, "doc_id", "stratified", 0.2, 42, target="quality"))
     train, test = base.where("split = 'train'").drop("split"), base.where("split = 'test'").drop("split")
     counts = H.class_counts(train, "quality")
+    minority = H.minority_class(counts)
+    k = H.validated_k(counts, {minority: counts[minority]}, 5, auto=False)
+    # neighbours depend on the training rows only: one exact k-NN pass serves every ratio
+    nn = cut_lineage(neighbours(train, "doc_id", "quality", ["n_chars"], [minority], k, 42, ["lang", "source"]))
     scores = []
     for ratio in (0.3, 0.5, 0.7):
-        targets = H.custom_targets(counts, {H.minority_class(counts): ratio})
-        k = H.validated_k(counts, targets, 5, auto=False)
-        bal = smote(train, "doc_id", "quality", ["n_chars"], targets, k, 42, nominal=True, categorical=["lang", "source"])
+        targets = H.custom_targets(counts, {minority: ratio})
+        bal = cut_lineage(smote(train, "doc_id", "quality", ["n_chars"], targets, k, 42, nominal=True,
+                                categorical=["lang", "source"], nn=nn))
         p = P.fit(bal, LD_FEATURES, target="quality")
         tr = P.transform(bal, p, as_vector=True)
         te = P.transform(test, p, as_vector=True)

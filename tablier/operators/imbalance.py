@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_sort_key, uniform
-from .ranking import exact_rank, select_first, stratum_col
+from .ranking import exact_rank, select_first, select_first_by, stratum_col
 
 DRAWS_PER_PARTITION = 1_000_000
 
@@ -135,9 +135,8 @@ def training_only(targets: dict[str, int], counts: dict[str, int]) -> dict[str,
 
 def undersample(df: DataFrame, key, target: str, targets: dict[str, int], seed: int = 42) -> DataFrame:
     """H4: keep ``targets[c]`` rows of class c without replacement (md5 order)."""
-    counts = class_counts(df, target)
-    quotas = {c: min(n, targets.get(c, n)) for c, n in counts.items()}
-    pred = select_first(df, hash_sort_key(df, seed, key), target, quotas, counts)
+    pred = select_first_by(df, hash_sort_key(df, seed, key), target,
+                           lambda counts: {c: min(n, targets.get(c, n)) for c, n in counts.items()})
     return df.where(pred)
 
 

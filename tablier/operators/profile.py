@@ -72,7 +72,9 @@ def column_profile(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
         F.count("value").alias("n_distinct"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("non_missing"),
-        F.bool_and(F.when(F.col("value").isNotNull(), F.try_to_timestamp(F.col("value")).isNotNull())).alias("_all_ts"),
+        # parse only text values (the only kind that can be "datetime-like")
+        F.bool_and(F.when(F.col("value").isNotNull() & (F.element_at(kind_map, F.col("column")) == "string"),
+                          F.try_to_timestamp(F.col("value")).isNotNull())).alias("_all_ts"),
         F.count(F.lit(1)).alias("_levels_with_null"),
     )
     kind = F.element_at(kind_map, F.col("column"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PREFIX_STEP = 4  # hex digits per refinement level (16 bits)
-EXACT_MAX_ROWS = 2_000_000  # boundary rows ranked in one window partition
+EXACT_MAX_ROWS = 100_000  # boundary rows ranked in one window partition; above it a histogram level runs first
 MAX_LITERAL_STRATA = 2_000  # strata carried as literal maps in predicates
 BROADCAST_MAX_ROWS = 1_000_000  # small-table rows we allow to broadcast
 
@@ -49,11 +49,14 @@ def _lit_map(d: dict) -> Column:
     return F.create_map(*items)
 
 
-def quota_cut(pop: DataFrame, quotas: dict[str, int], counts: dict[str, int]) -> dict[str, str]:
+def quota_cut(pop: DataFrame, quotas: dict[str, int], counts: dict[str, int],
+              first_hist: DataFrame | None = None) -> dict[str, str]:
     """Per-stratum cut so that exactly ``quotas[g]`` rows satisfy ``_s <= cut``.
 
     ``pop`` has columns ``_g`` (stratum string) and ``_s`` (unique sort key).
-    ``counts`` are the stratum sizes of ``pop``.
+    ``counts`` are the stratum sizes of ``pop``.  ``first_hist`` is an
+    already computed (cached) level-1 histogram ``(_g, _p, count)``; with it
+    the first refinement level costs no pass over the data.
     """
     cuts: dict[str, str] = {}
     need: dict[str, int] = {}
@@ -74,7 +77,7 @@ def quota_cut(pop: DataFrame, quotas: dict[str, int], counts: dict[str, int]) ->
     size = {g: counts[g] for g in need}
     length = 0
     while need:
-        small = {g for g in need if size[g] <= EXACT_MAX_ROWS}
+        small = {g for g in need if size[g] <= EXACT_MAX_ROWS and not (length == 0 and first_hist is not None)}
         if small:
             sel = {g: prefix[g] for g in small}
             rows = pop.where(F.substring("_s", 1, length) == F.element_at(_lit_map(sel), F.col("_g")))
@@ -94,7 +97,10 @@ def quota_cut(pop: DataFrame, quotas: dict[str, int], counts: dict[str, int]) ->
         if length > 0:
             rows = rows.where(F.substring("_s", 1, length) == F.element_at(_lit_map(sel), F.col("_g")))
         new_len = length + PREFIX_STEP
-        hist = rows.groupBy("_g", F.substring("_s", 1, new_len).alias("_p")).count()
+        if length == 0 and first_hist is not None:
+            hist = first_hist.where(F.col("_g").isin(list(sel)))
+        else:
+            hist = rows.groupBy("_g", F.substring("_s", 1, new_len).alias("_p")).count()
         cum = hist.withColumn("_cum", F.sum("count").over(W.partitionBy("_g").orderBy("_p")))
         want = {g: str(need[g]) for g in need}
         target = F.element_at(_lit_map(want), F.col("_g")).cast("long")
@@ -127,6 +133,25 @@ def select_first(df: DataFrame, sort_key: Column, stratum, quotas: dict[str, int
 MAX_STRATA = 100_000  # strata (classes) whose counts may reach the driver
 
 
+def select_first_by(df: DataFrame, sort_key: Column, stratum, quota_fn) -> Column:
+    """Like :func:`select_first`, but counting strata and the first histogram
+    level in ONE pass: ``quota_fn(counts)`` turns the stratum sizes into
+    quotas (and may raise).  Two passes over the data per cut in total."""
+    g = stratum_col(stratum)
+    pop = df.select(g.alias("_g"), sort_key.alias("_s"))
+    hist = pop.groupBy("_g", F.substring("_s", 1, PREFIX_STEP).alias("_p")).count().cache()
+    try:
+        rows = hist.groupBy("_g").agg(F.sum("count").alias("n")).limit(MAX_STRATA + 1).collect()
+        if len(rows) > MAX_STRATA:
+            raise ValueError(f"More than {MAX_STRATA} strata / classes; stratify on a coarser column.")
+        counts = {r["_g"]: int(r["n"]) for r in rows}
+        quotas = quota_fn(counts)
+        cuts = quota_cut(pop, quotas, counts, first_hist=hist)
+    finally:
+        hist.unpersist()
+    return cut_predicate(sort_key, g, cuts)
+
+
 def stratum_counts(df: DataFrame, stratum, limit: int | None = None) -> dict[str, int]:
     """Per-stratum row counts; raises instead of collecting an unbounded table."""
     g = stratum_col(stratum)

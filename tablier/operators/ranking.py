@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PREFIX_STEP = 4  # hex digits per refinement level (16 bits)
-EXACT_MAX_ROWS = 100_000  # boundary rows ranked in one window partition; above it a histogram level runs first
+EXACT_MAX_ROWS = 2_000_000  # rows ranked in one window partition; larger strata get histogram levels first
 MAX_LITERAL_STRATA = 2_000  # strata carried as literal maps in predicates
 BROADCAST_MAX_ROWS = 1_000_000  # small-table rows we allow to broadcast
 
@@ -134,31 +134,35 @@ MAX_STRATA = 100_000  # strata (classes) whose counts may reach the driver
 
 
 def select_first_by(df: DataFrame, sort_key: Column, stratum, quota_fn) -> Column:
-    """Like :func:`select_first`, but counting strata and the first histogram
-    level in ONE pass: ``quota_fn(counts)`` turns the stratum sizes into
-    quotas (and may raise).  Two passes over the data per cut in total."""
+    """Like :func:`select_first`, with quotas derived from the stratum sizes.
+
+    One counting pass gives the sizes; ``quota_fn(counts)`` turns them into
+    quotas (and may raise).  Strata up to ``EXACT_MAX_ROWS`` rows are ranked
+    directly (one more pass); larger ones first narrow the boundary with
+    histogram levels, so no task ever orders an unbounded stratum.
+    """
     g = stratum_col(stratum)
+    counts = stratum_counts(df, g)
+    quotas = quota_fn(counts)
     pop = df.select(g.alias("_g"), sort_key.alias("_s"))
-    hist = pop.groupBy("_g", F.substring("_s", 1, PREFIX_STEP).alias("_p")).count().cache()
-    try:
-        rows = hist.groupBy("_g").agg(F.sum("count").alias("n")).limit(MAX_STRATA + 1).collect()
-        if len(rows) > MAX_STRATA:
-            raise ValueError(f"More than {MAX_STRATA} strata / classes; stratify on a coarser column.")
-        counts = {r["_g"]: int(r["n"]) for r in rows}
-        quotas = quota_fn(counts)
-        cuts = quota_cut(pop, quotas, counts, first_hist=hist)
-    finally:
-        hist.unpersist()
-    return cut_predicate(sort_key, g, cuts)
+    return cut_predicate(sort_key, g, quota_cut(pop, quotas, counts))
+
+
+def bounded_collect(grouped: DataFrame, bound: int, what: str) -> list:
+    """Collect a grouped (small) table in ONE job, raising instead of pulling
+    more than ``bound`` rows to the driver: the row count rides along as a
+    broadcast scalar and filters the rows before they leave the executors."""
+    k = grouped.agg(F.count(F.lit(1)).alias("_k"))
+    rows = grouped.crossJoin(F.broadcast(k)).where(F.col("_k") <= F.lit(bound)).drop("_k").collect()
+    if not rows and k.collect()[0]["_k"] > bound:
+        raise ValueError(f"More than {bound} {what}; this table is not small enough to collect.")
+    return rows
 
 
 def stratum_counts(df: DataFrame, stratum, limit: int | None = None) -> dict[str, int]:
     """Per-stratum row counts; raises instead of collecting an unbounded table."""
     g = stratum_col(stratum)
-    bound = limit or MAX_STRATA
-    rows = df.groupBy(g.alias("_g")).count().limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"More than {bound} strata / classes; stratify on a coarser column.")
+    rows = bounded_collect(df.groupBy(g.alias("_g")).count(), limit or MAX_STRATA, "strata / classes")
     return {r[0]: int(r[1]) for r in rows}
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunkbpe, decontaminate, simjoin, tokenbits
+from . import annforest, chat, chunkbpe, decontaminate, pii, quality, simjoin, tokenbits, toxicity, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,38 @@ def op7(spark, sf_dir):
 @query("op9_chunk_bpe")
 def op9(spark, sf_dir):
     return chunkbpe.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op6_quality_rff")
+def op6(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity_nnpu")
+def op8(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op3_warc_derivatives")
+def op3(spark, sf_dir):
+    made = warc.derivatives(warc.responses(documents(spark, sf_dir, "pages")))
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "block_length", F.sha2("record", 256).alias("record_sha256")
+    )
+
+
+@query("op4_hash_prefix_forest")
+def op4(spark, sf_dir):
+    return annforest.nearest(documents(spark, sf_dir, "embeddings"))
+
+
+@query("op5_pii_boosted_candidates")
+def op5(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+@query("op10_chat_formatting")
+def op10(spark, sf_dir):
+    turns = chat.canonical_turns(documents(spark, sf_dir, "conversations"))
+    own = chat.canonical_turns(chat.planted(spark))
+    return chat.read_back(chat.format_turns(turns.union(own)))

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, shingle_set, sized_broadcast, text_or_empty
@@ -46,6 +46,8 @@ BATCH_SHINGLES = 1 << 20
 #: Text bytes behind one counting slot: about 2 M shingles, 20 MB of packed entries.
 SLOT_BYTES = 12 << 20
 MARK = 0xFFFFFFFF
+#: Keys by which a set tells whether a pair is made at an earlier key.
+FIRST_KEYS = 8
 
 
 def _floor_unshared(n, num: int, den: int):
@@ -298,11 +300,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     )
     open_keys = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     left = materialize(tagged.join(open_keys, "key"), "simjoin-open")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("comp").alias("comp2"))
+    # the smallest keys of a set: a pair that shares some of them is made at the first of those alone
+    nth = Window.partitionBy("rep").orderBy("key")
+    few = left.withColumn("r", F.row_number().over(nth)).where(F.col("r") <= FIRST_KEYS)
+    first = [F.min(F.when(F.col("r") == i + 1, F.col("key"))).alias(f"first{i}") for i in range(FIRST_KEYS)]
+    left = left.join(few.groupBy("rep").agg(*first), "rep")
+    other = left.select("key", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "key"])
+    other = other.withColumnsRenamed({"other_rep": "rep2", "other_n": "n2", "other_m": "m2", "other_comp": "comp2"})
+    theirs = ", ".join(f"other_first{i}" for i in range(FIRST_KEYS))
+    earliest = " ".join(f"WHEN first{i} IN ({theirs}) THEN first{i}" for i in range(FIRST_KEYS))
     rest = (
         left.join(other, "key")
         .where("rep < rep2 AND comp <> comp2")
         .where(_possible(num, den))
+        .where(f"key = CASE {earliest} ELSE key END")
         .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         .distinct()
     )

@@ -38,7 +38,7 @@ def got(df):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("frequent", [1, 4, 32])
+@pytest.mark.parametrize("frequent", [2, 32])
 @pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 8, 10)])
 def test_matches_brute_force(spark, make_docs, frequent, k, num, den):
     rng = random.Random(7)

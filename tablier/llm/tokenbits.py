@@ -24,14 +24,16 @@ whole by one task, and a block holds at least one document.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablier.session import scratch_path
@@ -43,6 +45,8 @@ MAGIC = b"TBP1"
 BLOCK_IDS = 1 << 18
 #: Distinct pieces kept per worker; two generations of half of it.
 CACHE_PIECES = 800_000
+#: Shards whose offsets one window row sums.
+SHARD_GROUP = 1024
 #: Text bytes per shard.
 SHARD_BYTES = 16 << 20
 
@@ -104,6 +108,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # only tokenizers known to lower-case and to part letters from punctuation fold their pieces
+        normal = json.loads(self.tokenizer.to_str())
+        steps = (normal.get("normalizer") or {}).get("normalizers", [])
+        self.folds = any(x["type"] == "Lowercase" for x in steps) and "\\p{L}]+|" in json.dumps(normal.get("pre_tokenizer")).replace("\\\\", "\\")
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -119,32 +127,45 @@ class PieceEncoder:
         ):
             ids = np.array(enc.ids, np.uint32)
             at = np.flatnonzero(ids == self.separator_id)
-            for piece, part in zip(group, np.split(ids, at)):
-                self.new[piece] = part
-            for piece in group[1:]:
-                self.new[piece] = self.new[piece][1:]
+            edges = [-1, *at.tolist(), len(ids)]
+            ids = ids.tolist()
+            for piece, a, b in zip(group, edges, edges[1:]):
+                self.new[piece] = tuple(ids[a + 1 : b])
         for piece, enc in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
-            self.new[piece] = np.array(enc.ids, np.uint32)
+            self.new[piece] = tuple(enc.ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.new) > CACHE_PIECES // 2:
             self.old, self.new = self.new, {}
+        if self.folds:
+            # the tokenizer lower-cases all text; doing so for A-Z beforehand merges pieces
+            texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new, old = self.new, self.old
+        new = self.new
         fresh = set()
         for words in split:
             fresh.update(words)
-        missing = []
-        for w in fresh:
+        # "word," is "word" and ",": the pre-tokenizer parts letters from punctuation
+        tails = [w for w in fresh if w[-1:] in (",", ".") and "a" <= w[-2:-1] <= "z" and w not in new] if self.folds else []
+        fresh.difference_update(tails)
+        fresh.update(w[:-1] for w in tails)
+        fresh.update(w[-1] for w in tails)
+        missing = self._missing(fresh)
+        if missing:
+            self._encode_pieces(missing)
+        for w in tails:
+            new[w] = new[w[:-1]] + new[w[-1]]
+        return [np.fromiter(chain.from_iterable(map(new.__getitem__, words)), np.uint32) for words in split]
+
+    def _missing(self, pieces: set[str]) -> list[str]:
+        missing, new, old = [], self.new, self.old
+        for w in pieces:
             if w not in new:
                 if w in old:
                     new[w] = old[w]
                 else:
                     missing.append(w)
-        if missing:
-            self._encode_pieces(missing)
-        empty = np.empty(0, np.uint32)
-        return [np.concatenate([new[w] for w in words]) if words else empty for words in split]
+        return missing
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -224,15 +245,20 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files alone."""
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # one row per shard: a self-join on the few shard sizes gives the ids before each
-    earlier = sizes.select(F.col("shard").alias("s2"), F.col("n").alias("n2"))
-    offsets = sizes.join(earlier, F.col("s2") < F.col("shard"), "left").groupBy("shard").agg(
-        F.coalesce(F.sum("n2"), F.lit(0)).alias("before")
+    # ids before each shard: within its group of SHARD_GROUP shards, and before that group
+    sizes = sizes.withColumn("g", F.expr(f"shard div {SHARD_GROUP}"))
+    inner = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("g").agg(F.sum("n").alias("t")).select("g", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("t0"))
+    offsets = (
+        sizes.withColumn("s0", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+        .join(groups, "g")
+        .select("shard", (F.col("s0") + F.col("t0")).alias("before"))
     )
     rows = blocks.select("shard", "start_in_shard", "payload").mapInPandas(
         _read_blocks, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"
     )
-    return rows.join(F.broadcast(offsets), "shard").select(
+    return rows.join(offsets, "shard").select(
         "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
     )
 

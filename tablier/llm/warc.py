@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CRLF = b"\r\n"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: RFC 4122's URL name space
@@ -120,7 +121,7 @@ def gzip_members(records: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(member=[gzip.compress(bytes(x), 6, mtime=0) for x in pdf["record"]])
 
-    return records.mapInPandas(run, records.schema.add("member", "binary"))
+    return records.mapInPandas(run, T.StructType([*records.schema.fields, T.StructField("member", T.BinaryType())]))
 
 
 def responses(pages: DataFrame) -> DataFrame:

@@ -38,13 +38,16 @@ _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|foo
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+_BLANKS = re.compile(r" {2,}")
 
 
 def plain_text(page: str) -> str:
     """Visible text, one line per block element, blanks folded."""
     body = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
-    lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(body).split("\n"))
+    body = html.unescape(body)
+    for blank in "\t\r\f\v\xa0":
+        body = body.replace(blank, " ")
+    lines = (x.strip(" ") for x in _BLANKS.sub(" ", body).split("\n"))
     return "\n".join(x for x in lines if x)
 
 

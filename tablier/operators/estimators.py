@@ -102,7 +102,7 @@ def make_estimator(spec: ModelSpec, n_classes: int, n_rows_weight: float, seed:
             g = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed)
         else:
             g = GBTClassifier(maxIter=p["max_iter"], maxBins=255, maxDepth=5, minInstancesPerNode=20, seed=seed, **wc)
-        return g if n_classes <= 2 else OneVsRest(classifier=g, parallelism=4)
+        return g if n_classes <= 2 else OneVsRest(classifier=g, parallelism=4, **wc)
     if spec.name == "neural_net":
         return None  # layers depend on the feature count; built in fit_model
     if spec.name == "linear_regression":

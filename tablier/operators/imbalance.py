@@ -40,6 +40,18 @@ class ImbalanceInfo:
         return json.dumps(self.__dict__, sort_keys=True)
 
 
+# Messages the user sees.
+SMOTE_NC_ADVISED = "Categorical features are present. SMOTE-NC is recommended instead of regular SMOTE."
+SMOTE_NC_REFUSED = "SMOTE-NC requires categorical features; data was not resampled."
+SMOTE_NC_NO_COLUMNS = "No categorical feature indices are available for SMOTE-NC."
+
+
+def categorical_features(df: DataFrame, features: list[str]) -> list[str]:
+    """Text and boolean columns among the features."""
+    kinds = dict(df.dtypes)
+    return [c for c in features if kinds.get(c) in ("string", "boolean")]
+
+
 def label_col(target: str) -> Column:
     return stratum_col(target)
 
@@ -197,6 +209,7 @@ def apply_strategy(df: DataFrame, key, target: str, method: str = "none", seed:
                                  class_weights=w)
     if m not in ("random_oversample", "random_undersample", "smote", "smote_nc", "smote-nc"):
         raise ValueError(f"Unsupported imbalance_method '{m}'.")
+    warnings: list[str] = []
     targets = training_only(sampling_targets(before, m, preset, custom), before)
     if not targets:
         return df, ImbalanceInfo(m, True, "No training classes require resampling.", before=before, after=before)
@@ -207,6 +220,11 @@ def apply_strategy(df: DataFrame, key, target: str, method: str = "none", seed:
     else:
         from .smote import smote
 
+        categorical = categorical_features(df, features or [])
+        if m != "smote" and not categorical:
+            return df, ImbalanceInfo(m, False, SMOTE_NC_REFUSED, error=SMOTE_NC_NO_COLUMNS, before=before, after=before)
+        if m == "smote" and categorical:
+            warnings.append(SMOTE_NC_ADVISED)
         try:
             k = validated_k(before, targets, k_neighbors, auto=custom is None and preset is None)
         except ValueError as exc:
@@ -214,7 +232,7 @@ def apply_strategy(df: DataFrame, key, target: str, method: str = "none", seed:
                                      before=before, after=before)
         out = smote(df, key, target, features or [], targets, k, seed, nominal=(m != "smote"))
     after = {c: targets.get(c, n) if m != "random_undersample" else min(n, targets.get(c, n)) for c, n in before.items()}
-    return out, ImbalanceInfo(m, True, f"Applied {m}.", before=before, after=after)
+    return out, ImbalanceInfo(m, True, f"Applied {m}.", before=before, after=after, warnings=warnings)
 
 
 def validated_k(counts: dict[str, int], targets: dict[str, int], requested: int = 5, auto: bool = True) -> int:

@@ -44,6 +44,7 @@ def _value_as_string(f) -> Column:
     c = F.col(f"`{f.name}`")
     if is_float(f.dataType):
         c = F.nanvl(c, F.lit(None).cast(f.dataType))
+        c = F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c)  # -0.0 and 0.0 are one value
     return c.cast("string")
 
 

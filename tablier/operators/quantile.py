@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -37,10 +38,7 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
         n_win = win.count()
         if n_win <= EXACT_ROWS:
             need = [r - below for r in pending]
-            top = max(need)
-            rows = win.orderBy("x").limit(top).collect()
-            for r, k in zip(pending, need):
-                out[r] = float(rows[k - 1]["x"])
+            out |= _ranked_values(win, pending, need)
             break
         # bracket the wanted ranks inside the window
         lo_rank, hi_rank = min(pending) - below, max(pending) - below
@@ -64,13 +62,22 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
         else:
             # sketch bracket missed (or did not shrink): fall back to exact ranking
             need = [r - below for r in pending]
-            rows = win.orderBy("x").limit(max(need)).collect()
-            for r, k in zip(pending, need):
-                out[r] = float(rows[k - 1]["x"])
+            out |= _ranked_values(win, pending, need)
             break
     return out
 
 
+def _ranked_values(win: DataFrame, ranks: list[int], need: list[int]) -> dict[int, float]:
+    """Values at the 1-based positions ``need``: counted per value, so only the hits reach the driver."""
+    upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = win.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("le", upto)
+    hit = F.lit(False)
+    for k in need:
+        hit = hit | ((F.col("le") >= k) & (F.col("le") - F.col("n") < k))
+    rows = counts.where(hit).collect()
+    return {r: next(float(x["x"]) for x in rows if x["le"] - x["n"] < k <= x["le"]) for r, k in zip(ranks, need)}
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
     """Interpolated median (pandas/numpy definition) of non-missing values."""
     x = F.col(f"`{column}`").cast("double")

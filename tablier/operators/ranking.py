@@ -17,13 +17,15 @@ window:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PREFIX_STEP = 4  # hex digits per refinement level (16 bits)
 EXACT_MAX_ROWS = 2_000_000  # rows ranked in one window partition; larger strata get histogram levels first
-MAX_LITERAL_STRATA = 2_000  # strata carried as literal maps in predicates
+MAX_LITERAL_STRATA = 2_000  # strata searched together; more are searched in rounds of this many
 BROADCAST_MAX_ROWS = 1_000_000  # small-table rows we allow to broadcast
 
 SELECT_ALL = "~"  # sorts after every hex / key character
@@ -44,6 +46,9 @@ def _lit_map(d: dict) -> Column:
     if not d:
         return F.create_map().cast("map<string,string>")
     items = []
+    if len(d) > MAX_LITERAL_STRATA:
+        # one foldable literal instead of thousands of expressions
+        return F.from_json(F.lit(json.dumps(d)), "map<string,string>")
     for k, v in d.items():
         items += [F.lit(k), F.lit(v)]
     return F.create_map(*items)
@@ -71,7 +76,12 @@ def quota_cut(pop: DataFrame, quotas: dict[str, int], counts: dict[str, int],
     if not need:
         return cuts
     if len(need) > MAX_LITERAL_STRATA:
-        raise ValueError("too many strata for a cut-off selection; use exact_rank")
+        order = sorted(need)
+        for i in range(0, len(order), MAX_LITERAL_STRATA):
+            part = order[i : i + MAX_LITERAL_STRATA]
+            rows = pop.join(F.broadcast(pop.sparkSession.createDataFrame([(g,) for g in part], "_g string")), "_g", "left_semi")
+            cuts |= quota_cut(rows, {g: need[g] for g in part}, {g: counts[g] for g in part})
+        return cuts
 
     prefix = {g: "" for g in need}
     size = {g: counts[g] for g in need}
@@ -148,6 +158,10 @@ def select_first_by(df: DataFrame, sort_key: Column, stratum, quota_fn) -> Colum
     return cut_predicate(sort_key, g, quota_cut(pop, quotas, counts))
 
 
+class TooManyGroups(RuntimeError):
+    """A table that must reach the driver is larger than its bound; never a property of the split itself."""
+
+
 def bounded_collect(grouped: DataFrame, bound: int, what: str) -> list:
     """Collect a grouped (small) table in ONE job, raising instead of pulling
     more than ``bound`` rows to the driver: the row count rides along as a
@@ -155,7 +169,7 @@ def bounded_collect(grouped: DataFrame, bound: int, what: str) -> list:
     k = grouped.agg(F.count(F.lit(1)).alias("_k"))
     rows = grouped.crossJoin(F.broadcast(k)).where(F.col("_k") <= F.lit(bound)).drop("_k").collect()
     if not rows and k.collect()[0]["_k"] > bound:
-        raise ValueError(f"More than {bound} {what}; this table is not small enough to collect.")
+        raise TooManyGroups(f"More than {bound} {what}; this table is not small enough to collect.")
     return rows
 
 
@@ -173,6 +187,7 @@ def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_co
     The leading 4 characters of ``sort_key`` should be roughly uniform (md5),
     which keeps every (stratum, bucket) window small and balanced.
     """
+    sort_key = F.coalesce(sort_key, F.lit(""))  # rows without a key are ranked first, not lost
     b = F.substring(sort_key, 1, PREFIX_STEP)
     with_b = df.withColumn("_s", sort_key).withColumn("_b", b)
     keys = list(stratum_cols) + ["_b"]

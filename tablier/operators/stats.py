@@ -95,20 +95,20 @@ def gram_matrix(df: DataFrame, columns: list[str], intercept: bool = False) -> n
 def vif(df: DataFrame, columns: list[str], intercept: bool = False) -> list[tuple[str, float]]:
     """VIF_i = G_ii * (G^-1)_ii (no intercept, as the reference calls it; quirk Q16)."""
     g = gram_matrix(df, columns, intercept)
+    if intercept:
+        # centred R^2: VIF = 1 / (1 - R^2) from the covariance matrix
+        mean = g[0, 1:] / g[0, 0]
+        g = g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+    scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+    values, vectors = np.linalg.eigh(g / np.outer(scale, scale))
+    null = vectors[:, values <= 1e-12 * max(values.max(), 1.0)]
+    if null.shape[1]:
+        # a column that takes part in an exact dependence has no finite VIF
+        tied = (np.abs(null) > 1e-6).any(axis=1)
+        inv = np.linalg.pinv(g)
+        return [(c, float("inf") if tied[i] else float(g[i, i] * inv[i, i])) for i, c in enumerate(columns)]
     inv = np.linalg.inv(g)
-    off = 1 if intercept else 0
-    out = []
-    for i, c in enumerate(columns):
-        if intercept:
-            # centred R^2: VIF = 1 / (1 - R^2) from the covariance matrix
-            n = g[0, 0]
-            mean = g[0, 1:] / n
-            cov = g[1:, 1:] / n - np.outer(mean, mean)
-            ci = np.linalg.inv(cov)
-            out.append((c, float(cov[i, i] * ci[i, i])))
-        else:
-            out.append((c, float(g[i + off, i + off] * inv[i + off, i + off])))
-    return out
+    return [(c, float(g[i, i] * inv[i, i])) for i, c in enumerate(columns)]
 
 
 # ------------------------------------------------------------------ subgroup metrics

@@ -143,5 +143,6 @@ def predictions_table(scored: DataFrame, key: str, class_labels: list[str], labe
     arr = F.array(*[F.lit(c) for c in class_labels])
     cols = [F.col(key), F.element_at(arr, F.col(label).cast("int") + 1).alias("actual"),
             F.element_at(arr, F.col("prediction").cast("int") + 1).alias("predicted")]
-    cols += [F.element_at("proba", i + 1).alias(f"prob_{c}") for i, c in enumerate(class_labels)]
+    names = [str(c).replace("\n", " ").strip() for c in class_labels]  # D13
+    cols += [F.element_at("proba", i + 1).alias(f"prob_{c}") for i, c in enumerate(names)]
     return scored.select(*cols)

@@ -45,15 +45,21 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_text(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """A2: read as UTF-8; if any value holds U+FFFD (undecodable bytes), re-read as Latin-1."""
-    opts = {"header": "true", "inferSchema": "false", "multiLine": "false", "mode": "PERMISSIVE"}
+    """A2: read as UTF-8; files with a value that holds U+FFFD (undecodable bytes) are re-read as Latin-1.
+
+    Records may span lines inside quotes and a quote is doubled, so a file is read by one task.
+    """
+    opts = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
     df = spark.read.options(**opts, encoding="UTF-8").csv(path)
     if df.columns:
         bad = F.lit(False)
         for c in df.columns:
             bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        if not df.where(bad).isEmpty():
-            return spark.read.options(**opts, encoding="ISO-8859-1").csv(path), "latin1"
+        files = [r[0] for r in df.select(F.col("_metadata.file_path").alias("f"), bad.alias("b")).where("b").select("f").distinct().collect()]
+        if files:
+            latin = spark.read.options(**opts, encoding="ISO-8859-1").schema(df.schema).csv(files)
+            others = df.where(~F.col("_metadata.file_path").isin(files))
+            return others.unionByName(latin), "latin1"
     return df, "utf-8"
 
 

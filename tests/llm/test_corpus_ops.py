@@ -161,6 +161,29 @@ def test_personal_data(spark, make_docs):
     assert pii.personal_data(make_docs([])).count() == 0
 
 
+def test_base_spans_of_long_runs_and_random_marks():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("a1.@-+ %\n") for _ in range(60)) for _ in range(400)]
+    texts += ["".join(rng.choice("123.") for _ in range(40)) for _ in range(400)]
+    for t in texts:
+        base = [f"{k}:{a}:{b}" for k, a, b in pii.base_and_runs(t)[0]]
+        assert base == [x for k in pii.KINDS for x in base_by_plain_regex(t)[k]]
+    n = 300_000
+    for t in ("a" * n + "@", "1" * n, "@" * n, "1." * n, "a@" * n, "+" * n, "x" * n + " a@b.c"):
+        assert pii.find(t, None)[0] == ([("email", n + 1, n + 6)] if t.endswith("c") else pii.base_and_runs(t)[0])
+
+
+def test_filters_pass_other_columns_unchanged(spark, make_docs):
+    big = 2**53 + 1
+    docs = make_docs(["x a@b.co", None, "", "fine"]).withColumn("big", F.when(F.col("doc_id") != 1, F.lit(big)))
+    docs = docs.withColumn("tags", F.array(F.lit("t"), F.lit(None)))
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic long")
+    for out in (pii.redact(docs), toxicity.keep_clean(docs, labels)):
+        rows = {r.doc_id: r for r in out.collect()}
+        assert out.columns == docs.columns and [rows[i].big for i in range(4)] == [big, None, big, big]
+        assert rows[1].text is None and rows[3].tags == ["t", None]
+
+
 def test_boosted_trees_separate_and_calibrate():
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.integers(0, 4, 800), rng.normal(size=(800, 3))])

@@ -12,9 +12,15 @@ from tablier.session import scratch_path
 
 #: Ids that may be broadcast: 2 M longs are 16 MB; beyond this the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: whole texts are long.
+ARROW_ROWS = 2_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A corpus table; its texts travel to Python in batches of at most ``ARROW_ROWS`` rows."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import components, materialize, shingle_set, sized_broadcast, text_or_empty
 
 #: Shingles that one batch of the counting shuffle gathers before it is packed.
-BATCH_SHINGLES = 1 << 20
-#: Text bytes behind one counting slot: about 2 M shingles, 20 MB of packed entries.
-SLOT_BYTES = 12 << 20
+BATCH_SHINGLES = 1 << 19
+#: Text bytes behind one counting slot: about 1 M shingles, 10 to 26 MB of packed entries.
+SLOT_BYTES = 6 << 20
 MARK = 0xFFFFFFFF
 #: Keys by which a set tells whether a pair is made at an earlier key.
 FIRST_KEYS = 8
@@ -71,12 +71,15 @@ def _pack(docs: list, keys: list, sets: list, slots: int) -> pd.DataFrame:
     by = np.argsort(slot, kind="stable")
     h, owner, slot = h[by], owner[by], slot[by]
     cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
-    doc_b = np.array(docs, np.int64).tobytes()
-    key_b = np.frombuffer(b"".join(k[:8] for k in keys), np.uint64).tobytes()
-    rows = [
-        (int(slot[a]), doc_b, key_b, owner[a:b].tobytes(), h[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-        for a, b in zip(cut[:-1], cut[1:])
-    ]
+    doc_a, key_a = np.array(docs, np.int64), np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
+    rows = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        # only the documents that own an entry travel with a slot: its size follows its entries, however many slots there are
+        who, at = np.unique(owner[a:b], return_inverse=True)
+        at = np.where(owner[a:b] == MARK, MARK, at).astype(np.uint32)
+        who = who[who != MARK] if who[0] != MARK else np.zeros(1, np.uint32)
+        packed = h[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        rows.append((int(slot[a]), doc_a[who].tobytes(), key_a[who].tobytes(), at.tobytes(), packed))
     out = pd.DataFrame(rows, columns=["slot", "docs", "keys", "owner", "hashes"])
     out["kind"] = 0
     more = pd.DataFrame({"doc_id": docs, "n": lens.astype(np.int64), "shared": known.astype(np.int64)})

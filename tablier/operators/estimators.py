@@ -8,7 +8,7 @@ Multi-class boosting uses one-vs-rest (``GBTClassifier`` is binary).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    NaiveBayes,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -42,10 +43,12 @@ class ModelSpec:
 
 # Fixed defaults that mirror the reference's model registry.
 REGISTRY: dict[str, ModelSpec] = {
-    "logistic_regression": ModelSpec("logistic_regression", "linear", True, params={"C": 1.0, "max_iter": 100, "tol": 1e-4}),
-    "random_forest": ModelSpec("random_forest", "tree", True, params={"n_estimators": 100}),
-    "extra_trees": ModelSpec("extra_trees", "tree", True, params={"n_estimators": 100}),
-    "decision_tree": ModelSpec("decision_tree", "tree", True),
+    "logistic_regression": ModelSpec("logistic_regression", "linear", True, params={"C": 1.0, "l1_ratio": 0.0, "max_iter": 100, "tol": 1e-4}),
+    "random_forest": ModelSpec("random_forest", "tree", True, params={"n_estimators": 100, "max_depth": 30}),
+    "extra_trees": ModelSpec("extra_trees", "tree", True, params={"n_estimators": 100, "max_depth": 30}),
+    "decision_tree": ModelSpec("decision_tree", "tree", True, params={"max_depth": 30}),
+    "gaussian_nb": ModelSpec("gaussian_nb", "bayes", True),
+    "knn": ModelSpec("knn", "neighbours", False, params={"n_neighbors": 5}),
     "xgboost": ModelSpec("xgboost", "boosting", True, params={"n_estimators": 300, "learning_rate": 0.05, "max_depth": 5}),
     "gradient_boosting": ModelSpec("gradient_boosting", "boosting", False, params={"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}),
     "hist_gradient_boosting": ModelSpec("hist_gradient_boosting", "boosting", True, params={"max_iter": 100}),
@@ -67,6 +70,15 @@ def lookup(name: str) -> ModelSpec:
     return REGISTRY[key]
 
 
+def configured(name: str, params: dict | None = None) -> ModelSpec:
+    """The registered model with the user's parameters over its defaults; unknown names are refused."""
+    spec = lookup(name)
+    unknown = sorted(set(params or {}) - set(spec.params))
+    if unknown:
+        raise ValueError(f"{spec.name} has no parameter {', '.join(unknown)}.")
+    return replace(spec, params={**spec.params, **(params or {})})
+
+
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     if len(features) == 1 and isinstance(df.schema[features[0]].dataType.simpleString(), str) \
             and df.schema[features[0]].dataType.simpleString().startswith("array"):
@@ -83,17 +95,19 @@ def make_estimator(spec: ModelSpec, n_classes: int, n_rows_weight: float, seed:
     wc = {"weightCol": weight_col} if (weight_col and spec.supports_weights) else {}
     if spec.name == "logistic_regression":
         # sklearn C*sum(loss) + 0.5||w||^2  ==  mean(loss) + (1/(C*sum w)) * 0.5||w||^2
-        return LogisticRegression(regParam=1.0 / (p["C"] * n_rows_weight), elasticNetParam=0.0, standardization=False,
+        return LogisticRegression(regParam=1.0 / (p["C"] * n_rows_weight), elasticNetParam=p["l1_ratio"], standardization=False,
                                   maxIter=p["max_iter"], tol=p["tol"], family="auto", **wc)
     if spec.name == "random_forest":
         return RandomForestClassifier(numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", bootstrap=True,
-                                      maxDepth=30, seed=seed, **wc)
+                                      maxDepth=p["max_depth"], seed=seed, **wc)
     if spec.name == "extra_trees":
         # documented substitution: no bootstrap, random feature subsets; split thresholds are not random
         return RandomForestClassifier(numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", bootstrap=False,
-                                      maxDepth=30, seed=seed, **wc)
+                                      maxDepth=p["max_depth"], seed=seed, **wc)
     if spec.name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=30, seed=seed, **wc)
+        return DecisionTreeClassifier(maxDepth=p["max_depth"], seed=seed, **wc)
+    if spec.name == "gaussian_nb":
+        return NaiveBayes(modelType="gaussian", **wc)
     if spec.name in ("xgboost", "gradient_boosting", "hist_gradient_boosting"):
         if spec.name == "xgboost":
             g = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"],
@@ -122,13 +136,18 @@ class Fitted:
 
 
 def fit_model(name: str, train: DataFrame, label: str = "label", features_col: str = "features", seed: int = 42,
-              weight_col: str | None = None, n_classes: int | None = None, n_features: int | None = None) -> Fitted:
-    spec = lookup(name)
+              weight_col: str | None = None, n_classes: int | None = None, n_features: int | None = None,
+              params: dict | None = None) -> Fitted:
+    """``params`` replace the registry's defaults; ``weight_col`` reaches every model that supports weights."""
+    spec = configured(name, params)
     k = n_classes or (_n_classes(train, label) if spec.task == "classification" else 0)
     if spec.name == "adaboost":
         return fit_adaboost(train, label, features_col, k, spec.params["n_estimators"], spec.params["learning_rate"], seed)
     if spec.name == "svc":
-        return fit_svc_rff(train, label, features_col, k, n_features, spec.params["n_components"], seed)
+        return fit_svc_rff(train, label, features_col, k, n_features, spec.params["n_components"], seed, weight_col, spec.params["gamma"])
+    if spec.name == "knn":
+        rows = train.select(vector_to_array(features_col).alias("_x"), F.col(label).cast("int").alias("_y"))
+        return Fitted(name, None, k, kind="knn", extra={"train": _numbered(rows, "t"), "k": spec.params["n_neighbors"], "seed": seed})
     if spec.name == "neural_net":
         nf = n_features or len(train.select(features_col).first()[0])
         mlp = MultilayerPerceptronClassifier(layers=[nf, spec.params["hidden"], k], maxIter=spec.params["max_iter"], seed=seed)
@@ -148,6 +167,8 @@ def score(fitted: Fitted, df: DataFrame, features_col: str = "features") -> Data
         return score_adaboost(fitted, df, features_col)
     if fitted.kind == "svc":
         return score_svc(fitted, df, features_col)
+    if fitted.kind == "knn":
+        return score_knn(fitted, df, features_col)
     out = fitted.model.transform(df)
     k = fitted.n_classes
     if "probability" in out.columns:
@@ -165,6 +186,30 @@ def score(fitted: Fitted, df: DataFrame, features_col: str = "features") -> Data
     return out.withColumn("proba", proba)
 
 
+# ------------------------------------------------------------------ k-NN
+
+
+def _numbered(df: DataFrame, prefix: str) -> DataFrame:
+    """``df`` with a stable ``_id``: the numbers are fixed by the checkpoint."""
+    return cut_lineage(df.withColumn("_id", F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string"))))
+
+
+def score_knn(f: Fitted, df: DataFrame, features_col: str) -> DataFrame:
+    """Share of each class among the k nearest training rows; the smallest class wins ties."""
+    from .knn import knn_within_groups
+
+    rows, train = _numbered(df, "q"), f.extra["train"]
+    asked = rows.select("_id", vector_to_array(features_col).alias("_x"), F.lit(True).alias("_ask"))
+    both = asked.unionByName(train.select("_id", "_x", F.lit(False).alias("_ask")))
+    nn = knn_within_groups(both, "_id", None, "_x", f.extra["k"], f.extra["seed"], query=F.col("_ask"), member=~F.col("_ask"))
+    shares = [(F.count_if(F.col("_y") == c) / F.count(F.lit(1))).alias(f"_s{c}") for c in range(f.n_classes)]
+    votes = nn.join(train.select(F.col("_id").alias("nn_key"), "_y"), "nn_key").groupBy(F.col("key").alias("_id")).agg(*shares)
+    proba = F.array(*[F.coalesce(f"_s{c}", F.lit(0.0)) for c in range(f.n_classes)])
+    out = rows.join(votes, "_id", "left").withColumn("proba", proba)
+    best = (F.array_position("proba", F.array_max("proba")) - 1).cast("double")
+    return out.select(*df.columns, "proba", best.alias("prediction"))
+
+
 # ------------------------------------------------------------------ AdaBoost (K8): SAMME
 
 
@@ -227,22 +272,23 @@ def score_adaboost(f: Fitted, df: DataFrame, features_col: str) -> DataFrame:
 
 
 def fit_svc_rff(train: DataFrame, label: str, features_col: str, k: int, n_features: int | None,
-                n_components: int = 256, seed: int = 42) -> Fitted:
+                n_components: int = 256, seed: int = 42, weight_col: str | None = None, gamma: float | None = None) -> Fitted:
     """RBF kernel approximated by random Fourier features (Rahimi & Recht 2007),
     LinearSVC one-vs-rest, Platt scaling by a logistic regression on the margins."""
     d = n_features or len(train.select(features_col).first()[0])
     var = train.select(vector_to_array(features_col).alias("a")).select(F.explode("a").alias("x")).agg(F.var_pop("x")).collect()[0][0] or 1.0
-    gamma = 1.0 / (d * var)  # 'scale' default
+    gamma = gamma or 1.0 / (d * var)  # 'scale' default
+    wc = {"weightCol": weight_col} if weight_col else {}
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
     feats = rff_transform(train, features_col, w, b, "_rff")
-    svc = LinearSVC(featuresCol="_rff", labelCol=label, regParam=1.0 / max(1, feats.count()), maxIter=100, tol=1e-4)
-    ovr = OneVsRest(classifier=svc, featuresCol="_rff", labelCol=label, parallelism=4)
+    svc = LinearSVC(featuresCol="_rff", labelCol=label, regParam=1.0 / max(1, feats.count()), maxIter=100, tol=1e-4, **wc)
+    ovr = OneVsRest(classifier=svc, featuresCol="_rff", labelCol=label, parallelism=4, **wc)
     model = ovr.fit(feats)
     margins = model.transform(feats).withColumn("_m", vector_to_array("rawPrediction")).withColumn("_mv", array_to_vector("_m"))
     margins = margins.drop("rawPrediction", "prediction")
-    platt = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=1e-4, maxIter=100).fit(margins)
+    platt = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=1e-4, maxIter=100, **wc).fit(margins)
     return Fitted("svc", model, k, kind="svc", extra={"w": w, "b": b, "platt": platt})
 
 

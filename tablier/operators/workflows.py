@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 from . import evaluate as E
 from . import split as S
 from .estimators import fit_model, score
+from .imbalance import with_weight_column
 
-METRICS = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "balanced_accuracy")
+METRICS = ("accuracy", "macro_f1", "weighted_f1", "balanced_accuracy", "roc_auc")
 
 
-def metrics_row(scored: DataFrame, label: str = "label") -> DataFrame:
+def metrics_row(scored: DataFrame, label: str = "label", n_classes: int = 0) -> DataFrame:
+    """One row of metrics; with ``n_classes`` also ``roc_auc`` (null where a class has no positive or no negative)."""
     cells = E.confusion(scored.select(F.col(label).cast("int").alias("a"), F.col("prediction").cast("int").alias("p")), "a", "p")
-    return E.classification_metrics(cells)
+    row = E.classification_metrics(cells)
+    if n_classes < 2:
+        return row
+    names = [f"p{c}" for c in range(n_classes)]
+    wide = scored.select(F.col(label).cast("int").alias("a"), *[F.element_at("proba", c + 1).alias(f"p{c}") for c in range(n_classes)])
+    counts = E.score_counts(wide, "a", [str(c) for c in range(n_classes)], names, positive_only=True)
+    return row.crossJoin(E.roc_auc(counts))
 
 
 def cross_validate(df: DataFrame, key: str, model: str, k: int = 5, seed: int = 42, label: str = "label",
@@ -31,7 +39,7 @@ def cross_validate(df: DataFrame, key: str, model: str, k: int = 5, seed: int =
         out = None
         for f in range(k):
             fitted = fit_model(model, folds.where(F.col("fold") != f), label, features_col, seed, n_classes=n_classes)
-            m = metrics_row(score(fitted, folds.where(F.col("fold") == f), features_col), label)
+            m = metrics_row(score(fitted, folds.where(F.col("fold") == f), features_col), label, n_classes)
             m = m.withColumn("fold", F.lit(f)).withColumn("model", F.lit(model))
             out = m if out is None else out.unionByName(m)
         return out.cache()
@@ -76,29 +84,36 @@ def class_f1(scored: DataFrame, cls: int, label: str = "label") -> float:
     return 2 * p * rc / (p + rc) if p + rc else 0.0
 
 
-def stacking(df: DataFrame, key: str, group: str, models: list[str], chosen_class: int, k: int = 5, seed: int = 42,
-             label: str = "label", features_col: str = "features", top: int = 3) -> DataFrame:
-    """M6: top bases by OOF F1 of one class -> class-weighted logistic regression on their OOF probabilities."""
-    oofs = {m: group_cv_oof(df, key, group, m, k, seed, label, features_col).cache() for m in models}
-    ranked = sorted(models, key=lambda m: -class_f1(oofs[m], chosen_class, label))[:top]
-    if len(ranked) < 2:
-        raise ValueError("Stacking needs at least two base models.")
-    meta = None
-    for m in ranked:
-        part = oofs[m].select(key, label, F.col("proba").alias(f"proba_{m}"))
-        meta = part if meta is None else meta.join(part.drop(label), key)  # E6
-    from pyspark.ml.functions import array_to_vector
-
-    from .imbalance import with_weight_column
-
-    meta = meta.withColumn("meta", array_to_vector(F.concat(*[F.col(f"proba_{m}") for m in ranked])))
-    meta = with_weight_column(meta, label, "w")
+def stacking(train: DataFrame, test: DataFrame, key: str, group: str, models: list[str], chosen_class: int, k: int = 5,
+             seed: int = 42, label: str = "label", features_col: str = "features", top: int = 3) -> DataFrame:
+    """M6: top bases by OOF F1 of one class; a class-weighted logistic regression (C = 1) learns from their
+    OOF probabilities and is scored on the ``test`` probabilities of the bases refitted on all training rows."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
 
-    lr = LogisticRegression(featuresCol="meta", labelCol=label, weightCol="w", maxIter=100).fit(meta)
-    out = lr.transform(meta)
-    res = metrics_row(out, label)
-    return res.withColumn("bases", F.lit(",".join(ranked)))
+    n_classes = int(train.agg(F.max(label)).collect()[0][0]) + 1
+    oofs = {m: group_cv_oof(train, key, group, m, k, seed, label, features_col).cache() for m in models}
+    try:
+        ranked = sorted(models, key=lambda m: -class_f1(oofs[m], chosen_class, label))[:top]
+        if len(ranked) < 2:
+            raise ValueError("Stacking needs at least two base models.")
+
+        def side_by_side(parts: dict[str, DataFrame]) -> DataFrame:
+            out = None
+            for m in ranked:
+                part = parts[m].select(key, label, F.col("proba").alias(f"proba_{m}"))
+                out = part if out is None else out.join(part.drop(label), key)  # E6
+            return out.withColumn("meta", array_to_vector(F.concat(*[F.col(f"proba_{m}") for m in ranked])))
+
+        meta = with_weight_column(side_by_side(oofs), label, "w")
+        weight = float(meta.agg(F.sum("w")).collect()[0][0])
+        lr = LogisticRegression(featuresCol="meta", labelCol=label, weightCol="w", maxIter=100, regParam=1.0 / weight,
+                                standardization=False).fit(meta)
+        bases = {m: score(fit_model(m, train, label, features_col, seed, n_classes=n_classes), test, features_col) for m in ranked}
+        return metrics_row(lr.transform(side_by_side(bases)), label).withColumn("bases", F.lit(",".join(ranked)))
+    finally:
+        for f in oofs.values():
+            f.unpersist()
 
 
 def learning_curve(df: DataFrame, key: str, group: str, model: str, fractions=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
@@ -119,21 +134,30 @@ def learning_curve(df: DataFrame, key: str, group: str, model: str, fractions=(0
 
 
 def train_many(train: DataFrame, test: DataFrame, models: list[str], label: str = "label",
-               features_col: str = "features", seed: int = 42) -> DataFrame:
-    """One row per model; a failing model becomes a 'failed' row, unknown -> 'skipped'."""
+               features_col: str = "features", seed: int = 42, class_weights: bool = False,
+               params: dict[str, dict] | None = None) -> DataFrame:
+    """One row per model; a failing model becomes a 'failed' row, unknown -> 'skipped'.
+
+    ``params`` holds parameters per model name; ``class_weights`` gives balanced
+    weights to every model that supports them.
+    """
     spark = train.sparkSession
+    if class_weights:
+        train = with_weight_column(train, label, "_weight")
     train = train.cache()
     n_classes = int(train.agg(F.max(label)).collect()[0][0]) + 1
     rows = []
     for m in models:
         try:
-            fitted = fit_model(m, train, label, features_col, seed, n_classes=n_classes)
-            r = metrics_row(score(fitted, test, features_col), label).collect()[0]
+            fitted = fit_model(m, train, label, features_col, seed, "_weight" if class_weights else None, n_classes,
+                               params=(params or {}).get(m))
+            r = metrics_row(score(fitted, test, features_col), label, n_classes).collect()[0]
             rows.append((m, "trained", *[float(r[x]) if r[x] is not None else None for x in METRICS], None))
         except KeyError as exc:
             rows.append((m, "skipped", None, None, None, None, None, str(exc)))
         except Exception as exc:  # noqa: BLE001  (fault isolation: one model's failure is a row)
             rows.append((m, "failed", None, None, None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
+    train.unpersist()
     schema = "model string, status string, " + ", ".join(f"{x} double" for x in METRICS) + ", error string"
     return spark.createDataFrame(rows, schema)
 

@@ -150,7 +150,8 @@ def q_group_cv_oof(spark, sf):
 @register("stacking")
 def q_stacking(spark, sf):
     data, _ = ld_frame(spark, sf)
-    return WF.stacking(data, "doc_id", "grp", ["logistic_regression", "decision_tree", "random_forest"], 0, 3, 42)
+    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    return WF.stacking(train, test, "doc_id", "grp", ["logistic_regression", "decision_tree", "random_forest"], 0, 3, 42)
 
 
 @register("learning_curve")
@@ -188,7 +189,7 @@ def q_sensitivity(spark, sf):
 @register("train_many")
 def q_train_many(spark, sf):
     data, _ = ld_frame(spark, sf)
-    models = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "no_such_model"]
+    models = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "gaussian_nb", "no_such_model"]
     return WF.train_many(data.where("split = 'train'"), data.where("split = 'test'"), models)
 
 

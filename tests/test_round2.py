@@ -5,9 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tablier.operators import estimators as K
 from tablier.operators import evaluate as E
 from tablier.operators import profile as P
 from tablier.operators import split as S
+from tablier.operators import workflows as WF
 from tablier.operators.imbalance import apply_strategy
 from tablier.operators.quantile import exact_median
 from tablier.operators.stats import vif
@@ -65,3 +67,29 @@ def test_smote_nc_needs_categories(spark):
     df = spark.range(40).select("id", F.rand(1).alias("x"), F.when(F.col("id") < 10, "a").otherwise("b").alias("y"))
     out, info = apply_strategy(df, "id", "y", "smote_nc", features=["x"])
     assert not info.success and out.count() == 40
+
+
+def _two_blobs(spark, n=300, classes=2):
+    df = spark.range(n).select("id", (F.col("id") % classes).cast("double").alias("label"), (F.col("id") % 7).alias("grp"))
+    xs = [(F.col("label") * (3.0 if i == 0 else -2.0) + F.randn(i + 1)).alias(f"x{i}") for i in range(2)]
+    return K.cut_lineage(K.assemble(df.select("*", *xs), ["x0", "x1"]))
+
+
+def test_neighbours_and_bayes_are_trained_with_user_parameters(spark):
+    df = _two_blobs(spark, classes=3)
+    out = WF.train_many(df, df, ["knn", "gaussian_nb", "lr", "dt"], class_weights=True,
+                        params={"knn": {"n_neighbors": 1}, "lr": {"l1_ratio": 1.0}, "dt": {"depth": 3}})
+    rows = {r.model: r for r in out.collect()}
+    assert rows["knn"].accuracy == 1.0 and rows["gaussian_nb"].accuracy > 0.8 and rows["gaussian_nb"].roc_auc > 0.9
+    assert rows["lr"].status == "trained" and rows["lr"].weighted_f1 > 0.8
+    assert rows["dt"].status == "failed" and "no parameter depth" in rows["dt"].error
+
+
+def test_knn_votes_are_shares_of_the_nearest(spark):
+    rows = [(i, float(i), float(i >= 5)) for i in range(10)]
+    df = K.assemble(spark.createDataFrame(rows, "id long, x double, label double"), ["x"])
+    fitted = K.fit_model("knn", df, params={"n_neighbors": 3})
+    ask = K.assemble(spark.createDataFrame([(0, 4.4), (1, 9.0)], "id long, x double"), ["x"])
+    out = {r.id: r for r in K.score(fitted, ask).collect()}
+    assert [round(p, 6) for p in out[0].proba] == [round(2 / 3, 6), round(1 / 3, 6)] and out[0].prediction == 0.0
+    assert out[1].proba == [0.0, 1.0] and out[1].prediction == 1.0

@@ -3,12 +3,17 @@
 Documents become sets of distinct word shingles. Identical sets form one class
 and only one representative of a class is compared.
 
-1. *Shared-shingle count.* A pair at similarity t needs at least t*n shared
-   shingles on either side, so a set with fewer shingles that occur in any
-   other set can have no link. One packed shuffle of 48-bit shingle hashes
-   counts them. Each batch first drops its own repeats, so a shingle of a
-   third of all rows costs a slot one entry per batch. Hash collisions only
-   keep sets that could have been dropped.
+1. *Unshared-shingle count.* A pair at similarity t needs at least t*n shared
+   shingles on either side, so a set that has more than n - ceil(t*n) shingles
+   of its own can have no link. These are counted in one f-th of the hash
+   space, f = 0.6 / (1 - t): too many there are too many in all, and texts
+   of which 60 % or more is their own are dropped at an f-th of the shuffle.
+   A set that stays is compared in full by the next steps, so nothing rests on
+   the share. One packed shuffle of 48-bit shingle hashes counts them. Each
+   batch first drops its own repeats, so a shingle of a third of all rows costs
+   a slot one entry per batch. A slot returns one row per set with shared
+   entries in it: at most the shared shingles of that share, however many slots
+   there are. Hash collisions only keep sets that could have been dropped.
 2. *Token classes.* Surviving sets get the exact number of holders of each
    shingle. Shingles with more than ``frequent`` holders are the frequent
    class, the others are rare; the common order is rare first.
@@ -41,10 +46,12 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, shingle_set, sized_broadcast, text_or_empty
 
-#: Shingles that one batch of the counting shuffle gathers before it is packed.
-BATCH_SHINGLES = 1 << 19
-#: Text bytes behind one counting slot: about 1 M shingles, 10 to 26 MB of packed entries.
+#: Entries that one batch of the counting shuffle gathers before it is packed.
+BATCH_ENTRIES = 1 << 18
+#: Text bytes of counted shingles behind one slot: about 1 M entries, 10 to 26 MB packed.
 SLOT_BYTES = 6 << 20
+#: Slots of a small input: most sets have fewer shared entries than this, so more slots return no more rows.
+MIN_SLOTS = 64
 MARK = 0xFFFFFFFF
 #: Keys by which a set tells whether a pair is made at an earlier key.
 FIRST_KEYS = 8
@@ -55,13 +62,19 @@ def _floor_unshared(n, num: int, den: int):
     return n - (num * n + den - 1) // den
 
 
-def _pack(docs: list, keys: list, sets: list, slots: int) -> pd.DataFrame:
+def _share(num: int, den: int) -> int:
+    """The counting step reads one f-th of the hash space: f * (1 - t) is at most 0.6."""
+    return max(1, 6 * den // (10 * (den - num))) if den > num else 8
+
+
+def _pack(docs: list, keys: list, sizes: list, sets: list, slots: int) -> pd.DataFrame:
     lens = np.array([len(s) for s in sets])
     h = np.concatenate(sets) & np.uint64(0xFFFFFFFFFFFF)
     owner = np.repeat(np.arange(len(sets), dtype=np.uint32), lens)
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
-    first = np.concatenate(([True], h[1:] != h[:-1]))
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
     run = np.cumsum(first) - 1
     many = np.bincount(run) > 1
     known = np.bincount(owner[many[run]], minlength=len(sets))
@@ -70,7 +83,7 @@ def _pack(docs: list, keys: list, sets: list, slots: int) -> pd.DataFrame:
     slot = (h % np.uint64(slots)).astype(np.int64)
     by = np.argsort(slot, kind="stable")
     h, owner, slot = h[by], owner[by], slot[by]
-    cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True])))
+    cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.empty(0, np.int64)
     doc_a, key_a = np.array(docs, np.int64), np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
@@ -82,29 +95,31 @@ def _pack(docs: list, keys: list, sets: list, slots: int) -> pd.DataFrame:
         rows.append((int(slot[a]), doc_a[who].tobytes(), key_a[who].tobytes(), at.tobytes(), packed))
     out = pd.DataFrame(rows, columns=["slot", "docs", "keys", "owner", "hashes"])
     out["kind"] = 0
-    more = pd.DataFrame({"doc_id": docs, "n": lens.astype(np.int64), "shared": known.astype(np.int64)})
+    more = pd.DataFrame({"doc_id": docs, "n": sizes, "lack": lens.astype(np.int64) - known.astype(np.int64)})
     more["kind"], more["slot"] = 1, np.array(docs, np.int64) % slots
     return pd.concat([out, more])
 
 
 _PACKED = (
-    "slot long, kind int, doc_id long, n long, shared long, set_key binary, docs binary, keys binary, owner binary, hashes binary"
+    "slot long, kind int, doc_id long, n long, lack long, set_key binary, docs binary, keys binary, owner binary, hashes binary"
 )
 
 
 def _packed_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    cols = ["slot", "kind", "doc_id", "n", "shared", "set_key", "docs", "keys", "owner", "hashes"]
+    cols = ["slot", "kind", "doc_id", "n", "lack", "set_key", "docs", "keys", "owner", "hashes"]
     pdf = pdf.reindex(columns=cols)
-    for c in ("doc_id", "n", "shared"):
+    for c in ("doc_id", "n", "lack"):
         pdf[c] = pdf[c].astype("Int64")
     for c in ("set_key", "docs", "keys", "owner", "hashes"):
         pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
     return pdf
 
 
-def _set_packer(width: int, slots: int):
+def _set_packer(width: int, share: int, slots: int):
+    below = np.uint64((1 << 64) // share - 1)
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs, keys, sets, seen, held = [], [], [], set(), 0
+        docs, keys, sizes, sets, seen, held = [], [], [], [], set(), 0
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -115,23 +130,24 @@ def _set_packer(width: int, slots: int):
                     seen.add(key)
                     docs.append(int(doc_id))
                     keys.append(key)
-                    sets.append(s)
-                    held += len(s)
-                if held >= BATCH_SHINGLES:
-                    yield _packed_frame(_pack(docs, keys, sets, slots))
-                    docs, keys, sets, seen, held = [], [], [], set(), 0
+                    sizes.append(len(s))
+                    sets.append(s[: np.searchsorted(s, below, "right")].copy())
+                    held += len(sets[-1]) + 1
+                if held >= BATCH_ENTRIES:
+                    yield _packed_frame(_pack(docs, keys, sizes, sets, slots))
+                    docs, keys, sizes, sets, seen, held = [], [], [], [], set(), 0
             out = pd.DataFrame(rows, columns=["doc_id", "n", "set_key"])
             out["kind"], out["slot"] = 2, out["doc_id"] % slots
             yield _packed_frame(out)
         if sets:
-            yield _packed_frame(_pack(docs, keys, sets, slots))
+            yield _packed_frame(_pack(docs, keys, sizes, sets, slots))
 
     return pack
 
 
 def _count_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per occurrence of a set: how many of its shingles in this slot occur in another set."""
-    own = pdf[pdf["kind"] != 0][["kind", "doc_id", "n", "shared", "set_key"]]
+    """Per occurrence of a set: how many of its shingles in this slot occur in another set, to take from its lack."""
+    own = pdf[pdf["kind"] != 0][["kind", "doc_id", "n", "lack", "set_key"]]
     docs, keys, hashes = [], [], []
     for d, k, o, h in pdf.loc[pdf["kind"] == 0, ["docs", "keys", "owner", "hashes"]].itertuples(index=False):
         owner = np.frombuffer(o, np.uint32)
@@ -155,9 +171,9 @@ def _count_slot(pdf: pd.DataFrame) -> pd.DataFrame:
     mixed = (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)) | np.logical_or.reduceat(doc == none, start)
     hit = doc[mixed[run] & (doc != none)]
     ids, counts = np.unique(hit, return_counts=True)
-    found = pd.DataFrame({"kind": 1, "doc_id": ids, "shared": counts})
-    return pd.concat([own, found])[["kind", "doc_id", "n", "shared", "set_key"]].astype(
-        {"doc_id": "Int64", "n": "Int64", "shared": "Int64"}
+    found = pd.DataFrame({"kind": 1, "doc_id": ids, "lack": -counts})
+    return pd.concat([own, found])[["kind", "doc_id", "n", "lack", "set_key"]].astype(
+        {"doc_id": "Int64", "n": "Int64", "lack": "Int64"}
     )
 
 
@@ -239,21 +255,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLOT_BYTES + 1)
+    share = _share(num, den)
+    slots = max(MIN_SLOTS, size // (SLOT_BYTES * share) + 1)
 
-    packed = docs.mapInPandas(_set_packer(width, slots), _PACKED)
+    packed = docs.mapInPandas(_set_packer(width, share, slots), _PACKED)
     counted = materialize(
         packed.groupBy("slot").applyInPandas(
-            lambda key, pdf: _count_slot(pdf), "kind int, doc_id long, n long, shared long, set_key binary"
+            lambda key, pdf: _count_slot(pdf), "kind int, doc_id long, n long, lack long, set_key binary"
         ),
         "simjoin-counts",
     )
     rows = counted.where("kind = 2").select("doc_id", "n", "set_key").dropDuplicates(["doc_id"])
-    shared = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    lack = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("lack").alias("lack"))
     reps = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     kept = (
-        rows.join(shared, "doc_id")
-        .where(F.col("shared") * den >= F.col("n") * num)
+        rows.join(lack, "doc_id")
+        .where((F.col("n") - F.col("lack")) * den >= F.col("n") * num)
         .select("set_key")
         .distinct()
         .join(reps, "set_key")

@@ -12,15 +12,18 @@ from tablier.session import scratch_path
 
 #: Ids that may be broadcast: 2 M longs are 16 MB; beyond this the join shuffles.
 BROADCAST_IDS = 2_000_000
-#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: whole texts are long.
+#: Rows and bytes of an Arrow batch where the session keeps Spark's default of 10,000 rows: whole texts are long,
+#: and so are the shingle sets of a pair; a batch ends at the bytes, so a run of long rows cannot fill a worker.
 ARROW_ROWS = 2_000
+ARROW_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A corpus table; its texts travel to Python in batches of at most ``ARROW_ROWS`` rows."""
+    """A corpus table; its texts travel to Python in batches of at most ``ARROW_ROWS`` rows and about ``ARROW_BYTES``."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

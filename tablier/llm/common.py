@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ BROADCAST_IDS = 2_000_000
 #: Rows and bytes of an Arrow batch where the session keeps Spark's default of 10,000 rows: whole texts are long,
 #: and so are the shingle sets of a pair; a batch ends at the bytes, so a run of long rows cannot fill a worker.
 ARROW_ROWS = 2_000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -35,6 +39,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def returning_memory(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]):
+    """``run`` for mapInPandas; the worker then gives freed memory back to the system, as it lives on beside later stages."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc alone has it
+            trim(0)
+
+    return go
+
+
 def sized_broadcast(ids: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast hint only when the counted rows stay under ``BROADCAST_IDS``."""
     return F.broadcast(ids) if n_rows <= BROADCAST_IDS else ids

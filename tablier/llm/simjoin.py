@@ -44,14 +44,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, shingle_set, sized_broadcast, text_or_empty
+from .common import components, materialize, returning_memory, shingle_set, sized_broadcast, text_or_empty
 
 #: Entries that one batch of the counting shuffle gathers before it is packed.
 BATCH_ENTRIES = 1 << 18
-#: Text bytes of counted shingles behind one slot: about 1 M entries, 10 to 26 MB packed.
-SLOT_BYTES = 6 << 20
+#: Text bytes of counted shingles behind one slot: about 500,000 entries, 5 to 13 MB packed.
+SLOT_BYTES = 3 << 20
 #: Slots of a small input: most sets have fewer shared entries than this, so more slots return no more rows.
-MIN_SLOTS = 64
+MIN_SLOTS = 128
 MARK = 0xFFFFFFFF
 #: Keys by which a set tells whether a pair is made at an earlier key.
 FIRST_KEYS = 8
@@ -239,7 +239,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) ->
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb")
-    return materialize(full.mapInPandas(_verified(num, den), "a long, b long"), name)
+    return materialize(full.mapInPandas(returning_memory(_verified(num, den)), "a long, b long"), name)
 
 
 def _possible(num: int, den: int) -> str:
@@ -258,7 +258,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     share = _share(num, den)
     slots = max(MIN_SLOTS, size // (SLOT_BYTES * share) + 1)
 
-    packed = docs.mapInPandas(_set_packer(width, share, slots), _PACKED)
+    packed = docs.mapInPandas(returning_memory(_set_packer(width, share, slots)), _PACKED)
     counted = materialize(
         packed.groupBy("slot").applyInPandas(
             lambda key, pdf: _count_slot(pdf), "kind int, doc_id long, n long, lack long, set_key binary"
@@ -286,10 +286,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     sets = materialize(
         docs.join(sized_broadcast(kept, n_kept), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .mapInPandas(_sets(width), "rep long, n long, hashes binary"),
+        .mapInPandas(returning_memory(_sets(width)), "rep long, n long, hashes binary"),
         "simjoin-sets",
     )
-    tokens = sets.mapInPandas(_explode_sets, "h long, rep long, n long")
+    tokens = sets.mapInPandas(returning_memory(_explode_sets), "h long, rep long, n long")
     holders = tokens.groupBy("h").agg(F.count("*").alias("holders")).where("holders > 1")
     lists = (
         tokens.join(holders, "h")
@@ -297,7 +297,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         .agg(F.collect_list(F.struct("h", "holders")).alias("t"))
         .select("rep", "n", F.col("t.h").alias("tokens"), F.col("t.holders").alias("holders"))
     )
-    index = materialize(lists.mapInPandas(_index(num, den, frequent), "key long, rep long, n long, m long"), "simjoin-index")
+    index = materialize(lists.mapInPandas(returning_memory(_index(num, den, frequent)), "key long, rep long, n long, m long"), "simjoin-index")
 
     hubs = (
         index.groupBy("key")

@@ -14,6 +14,8 @@ and only one representative of a class is compared.
    a slot one entry per batch. A slot returns one row per set with shared
    entries in it: at most the shared shingles of that share, however many slots
    there are. Hash collisions only keep sets that could have been dropped.
+   A set that stands in several batches is counted once in each; its sum is
+   held against the number of its batches, so repeats change nothing.
 2. *Token classes.* Surviving sets get the exact number of holders of each
    shingle. Shingles with more than ``frequent`` holders are the frequent
    class, the others are rare; the common order is rare first.
@@ -30,13 +32,14 @@ and only one representative of a class is compared.
    between components is lost, and groups of copies never make all pairs.
 
 Results: null and empty texts get n_shingles 0 and their own id. Repeated rows
-(equal doc_id) fold to one; rows without doc_id name no document and are left
-out. Extra columns of the input are not read.
+(equal doc_id) fold to one, of different texts to the one with the greatest
+xxhash64; rows without doc_id name no document and are left out. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,35 +87,37 @@ def _pack(docs: list, keys: list, sizes: list, sets: list, slots: int) -> pd.Dat
     by = np.argsort(slot, kind="stable")
     h, owner, slot = h[by], owner[by], slot[by]
     cut = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else np.empty(0, np.int64)
-    doc_a, key_a = np.array(docs, np.int64), np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
+    key_a = np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
     rows = []
     for a, b in zip(cut[:-1], cut[1:]):
-        # only the documents that own an entry travel with a slot: its size follows its entries, however many slots there are
+        # only the sets that own an entry travel with a slot: its size follows its entries, however many slots there are
         who, at = np.unique(owner[a:b], return_inverse=True)
         at = np.where(owner[a:b] == MARK, MARK, at).astype(np.uint32)
         who = who[who != MARK] if who[0] != MARK else np.zeros(1, np.uint32)
         packed = h[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        rows.append((int(slot[a]), doc_a[who].tobytes(), key_a[who].tobytes(), at.tobytes(), packed))
-    out = pd.DataFrame(rows, columns=["slot", "docs", "keys", "owner", "hashes"])
+        rows.append((int(slot[a]), key_a[who].tobytes(), at.tobytes(), packed))
+    out = pd.DataFrame(rows, columns=["slot", "keys", "owner", "hashes"])
     out["kind"] = 0
-    more = pd.DataFrame({"doc_id": docs, "n": sizes, "lack": lens.astype(np.int64) - known.astype(np.int64)})
+    lack = lens.astype(np.int64) - known.astype(np.int64)
+    more = pd.DataFrame({"part": key_a.view(np.int64), "n": sizes, "lack": lack, "batches": 1})
     more["kind"], more["slot"] = 1, np.array(docs, np.int64) % slots
-    return pd.concat([out, more])
+    return pd.concat([_packed_frame(out), _packed_frame(more)])
 
 
 _PACKED = (
-    "slot long, kind int, doc_id long, n long, lack long, set_key binary, docs binary, keys binary, owner binary, hashes binary"
+    "slot long, kind int, doc_id long, version long, n long, part long, lack long, batches long, "
+    "set_key binary, keys binary, owner binary, hashes binary"
 )
+#: Numbers of the rows that a slot returns: of documents (kind 2), of sets by the first 64 bits of their key (kind 1).
+#: They are 0, not null, where they say nothing: pandas would round long integers beside nulls.
+_NUMBERS = ["doc_id", "version", "n", "part", "lack", "batches"]
+_COUNTED = ["kind", *_NUMBERS, "set_key"]
 
 
 def _packed_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    cols = ["slot", "kind", "doc_id", "n", "lack", "set_key", "docs", "keys", "owner", "hashes"]
-    pdf = pdf.reindex(columns=cols)
-    for c in ("doc_id", "n", "lack"):
-        pdf[c] = pdf[c].astype("Int64")
-    for c in ("set_key", "docs", "keys", "owner", "hashes"):
-        pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
-    return pdf
+    blank = {c: 0 for c in _NUMBERS} | {c: None for c in ("set_key", "keys", "owner", "hashes")}
+    pdf = pdf.assign(**{c: v for c, v in blank.items() if c not in pdf})
+    return pdf[["slot", "kind", *blank]]
 
 
 def _set_packer(width: int, share: int, slots: int):
@@ -122,10 +127,11 @@ def _set_packer(width: int, share: int, slots: int):
         docs, keys, sizes, sets, seen, held = [], [], [], [], set(), 0
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc_id, version, text in zip(pdf["doc_id"], pdf["version"], pdf["text"]):
                 s = shingle_set(text, width)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                rows.append((int(doc_id), len(s), key))
+                part = int.from_bytes(key[:8], sys.byteorder, signed=True) if key else 0
+                rows.append((int(doc_id), int(version), len(s), part, key))
                 if key is not None and key not in seen:
                     seen.add(key)
                     docs.append(int(doc_id))
@@ -134,47 +140,40 @@ def _set_packer(width: int, share: int, slots: int):
                     sets.append(s[: np.searchsorted(s, below, "right")].copy())
                     held += len(sets[-1]) + 1
                 if held >= BATCH_ENTRIES:
-                    yield _packed_frame(_pack(docs, keys, sizes, sets, slots))
+                    yield _pack(docs, keys, sizes, sets, slots)
                     docs, keys, sizes, sets, seen, held = [], [], [], [], set(), 0
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "set_key"])
+            out = pd.DataFrame(rows, columns=["doc_id", "version", "n", "part", "set_key"])
             out["kind"], out["slot"] = 2, out["doc_id"] % slots
             yield _packed_frame(out)
         if sets:
-            yield _packed_frame(_pack(docs, keys, sizes, sets, slots))
+            yield _pack(docs, keys, sizes, sets, slots)
 
     return pack
 
 
 def _count_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per occurrence of a set: how many of its shingles in this slot occur in another set, to take from its lack."""
-    own = pdf[pdf["kind"] != 0][["kind", "doc_id", "n", "lack", "set_key"]]
-    docs, keys, hashes = [], [], []
-    for d, k, o, h in pdf.loc[pdf["kind"] == 0, ["docs", "keys", "owner", "hashes"]].itertuples(index=False):
+    """Per set: how many of its shingles in this slot occur in another set, over all its batches, to take from its lack."""
+    own = pdf[pdf["kind"] != 0][_COUNTED]
+    marks, keys, hashes = [], [], []
+    for k, o, h in pdf.loc[pdf["kind"] == 0, ["keys", "owner", "hashes"]].itertuples(index=False):
         owner = np.frombuffer(o, np.uint32)
         wide = np.zeros((len(owner), 8), np.uint8)
         wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
         mark = owner == MARK
-        at = np.where(mark, 0, owner)
-        docs.append(np.where(mark, -1, np.frombuffer(d, np.int64)[at]))
-        keys.append(np.where(mark, np.uint64(0), np.frombuffer(k, np.uint64)[at]))
+        marks.append(mark)
+        keys.append(np.where(mark, np.uint64(0), np.frombuffer(k, np.uint64)[np.where(mark, 0, owner)]))
         hashes.append(wide.view(np.uint64).ravel())
-        real = ~mark
-        docs[-1] = np.where(real, docs[-1], np.iinfo(np.int64).min)
     if not hashes:
         return own
-    doc, key, h = (np.concatenate(x) for x in (docs, keys, hashes))
+    mark, key, h = (np.concatenate(x) for x in (marks, keys, hashes))
     order = np.argsort(h, kind="stable")
-    doc, key, h = doc[order], key[order], h[order]
+    mark, key, h = mark[order], key[order], h[order]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-    none = np.iinfo(np.int64).min
-    mixed = (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)) | np.logical_or.reduceat(doc == none, start)
-    hit = doc[mixed[run] & (doc != none)]
-    ids, counts = np.unique(hit, return_counts=True)
-    found = pd.DataFrame({"kind": 1, "doc_id": ids, "lack": -counts})
-    return pd.concat([own, found])[["kind", "doc_id", "n", "lack", "set_key"]].astype(
-        {"doc_id": "Int64", "n": "Int64", "lack": "Int64"}
-    )
+    mixed = (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)) | np.logical_or.reduceat(mark, start)
+    sets, counts = np.unique(key[mixed[run] & ~mark], return_counts=True)
+    found = pd.DataFrame({"slot": 0, "kind": 1, "part": sets.view(np.int64), "lack": -counts})
+    return pd.concat([own, _packed_frame(found)[_COUNTED]])
 
 
 def _sets(width: int):
@@ -254,6 +253,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.withColumn("version", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = _share(num, den)
     slots = max(MIN_SLOTS, size // (SLOT_BYTES * share) + 1)
@@ -261,30 +261,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     packed = docs.mapInPandas(returning_memory(_set_packer(width, share, slots)), _PACKED)
     counted = materialize(
         packed.groupBy("slot").applyInPandas(
-            lambda key, pdf: _count_slot(pdf), "kind int, doc_id long, n long, lack long, set_key binary"
+            lambda key, pdf: _count_slot(pdf),
+            "kind int, doc_id long, version long, n long, part long, lack long, batches long, set_key binary",
         ),
         "simjoin-counts",
     )
-    rows = counted.where("kind = 2").select("doc_id", "n", "set_key").dropDuplicates(["doc_id"])
-    lack = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("lack").alias("lack"))
-    reps = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    kept = (
-        rows.join(lack, "doc_id")
-        .where((F.col("n") - F.col("lack")) * den >= F.col("n") * num)
-        .select("set_key")
-        .distinct()
-        .join(reps, "set_key")
-        .select(F.col("rep").alias("doc_id"))
-    )
+    newest = F.max(F.struct("version", "n", "part", "set_key")).alias("r")
+    rows = counted.where("kind = 2").groupBy("doc_id").agg(newest).select("doc_id", "r.*")
+    # a set is packed once in each of its batches and lacks the same in all of them
+    lack = counted.where("kind = 1").groupBy("part").agg(F.max("n").alias("m"), F.sum("lack").alias("lack"), F.sum("batches").alias("batches"))
+    passed = lack.where((F.col("m") * F.col("batches") - F.col("lack")) * den >= F.col("m") * num * F.col("batches")).select("part")
+    first = F.min(F.struct("doc_id", "version", "part")).alias("r")
+    reps = rows.where("n > 0").groupBy("set_key").agg(first).select("set_key", F.col("r.doc_id").alias("rep"), "r.version", "r.part")
+    kept = reps.join(passed, "part").select(F.col("rep").alias("doc_id"), "version")
     kept = materialize(kept, "simjoin-kept")
     n_kept = kept.count()
 
-    members = rows.join(reps, "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    members = rows.join(reps.select("set_key", "rep"), "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     if not n_kept:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
 
     sets = materialize(
-        docs.join(sized_broadcast(kept, n_kept), "doc_id", "left_semi")
+        docs.join(sized_broadcast(kept, n_kept), ["doc_id", "version"], "left_semi")
         .dropDuplicates(["doc_id"])
         .mapInPandas(returning_memory(_sets(width)), "rep long, n long, hashes binary"),
         "simjoin-sets",

@@ -74,6 +74,40 @@ def test_repeated_rows_long_text_and_clashing_columns(spark, make_docs):
     assert {i: c for i, (_, c) in out.items()} == {5: 3, 3: 3, 9: 9}
 
 
+def test_near_copies_repeated_over_partitions(spark, make_docs):
+    # ten words and the same with one more: the longer text alone lacks one shingle, in some seeds in the counted share
+    texts = []
+    for seed in range(40):
+        words = [f"s{seed}w{i}" for i in range(11)]
+        texts += [" ".join(words[:10]), " ".join(words)]
+    want = brute(list(enumerate(texts)), 4, 85, 100)
+    assert all(want[2 * i + 1][1] == 2 * i for i in range(40))
+    once = make_docs(texts).coalesce(1)
+    for copies in (1, 2, 5):
+        table = once
+        for _ in range(copies - 1):
+            table = table.union(once)
+        assert got(jaccard_components(table, 4, 85, 100)) == want
+    # rows of one text under other ids and long ids are counted in several partitions as well
+    big = 2**60 + 1
+    table = once.union(make_docs(texts, [big + i for i in range(len(texts))]).coalesce(1))
+    both = {**want, **{big + i: (n, c) for i, (n, c) in want.items()}}
+    assert got(jaccard_components(table, 4, 85, 100)) == both
+
+
+def test_rows_of_one_id_with_different_texts_fold_to_one(spark, make_docs):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(30))
+    found = set()
+    for flip in (False, True):
+        rows = [(1, a), (1, b), (2, a), (3, b)]
+        table = make_docs([t for _, t in rows], [i for i, _ in rows])
+        found.add(tuple(sorted(got(jaccard_components(table.orderBy("n_chars", ascending=flip).coalesce(1), 4, 85, 100)).items())))
+    assert len(found) == 1 and dict(next(iter(found))) in (
+        {1: (17, 1), 2: (17, 1), 3: (27, 3)},
+        {1: (27, 1), 2: (17, 2), 3: (27, 1)},
+    )
+
+
 def test_given_table_against_brute_force(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
     rows = duckdb.connect().execute(f"select doc_id, text from '{sf001}/documents.parquet'").fetchall()

@@ -161,6 +161,28 @@ def test_personal_data(spark, make_docs):
     assert pii.personal_data(make_docs([])).count() == 0
 
 
+def test_email_candidates_are_bounded_and_need_negatives(spark, make_docs):
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    local = lambda: ".".join(name() for _ in range(rng.randrange(1, 4)))
+    mail = lambda: f"{local()}@{local()}.{rng.choice(['com', 'de', 'org', 'co.uk'])}"
+    texts = [f"mail {mail()} now or {mail()}, see {name()} @{name()} and {local()}@{name()}{name()} soon" for _ in range(400)]
+    odd = ["hello @name there", "see a@b now", "日本語の文章" * 200 + "@" + "続きの文章" * 200, "x" * 5000 + "@" + "y" * 5000, "f(x)=a@b;g(y)" * 400]
+    right = ["mail jürgen.groß@bücher.de now", "mail rené@example.com, please"]
+    docs = make_docs(texts + odd + right)
+    model = pii.fit(docs)
+    out = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    base = {i: ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_and_runs(t)[0]) for i, t in enumerate(texts + odd)}
+    assert {i: out[i] for i in base} == base
+    assert [out[len(base)], out[len(base) + 1]] == ["email:5:26", "email:5:21"]
+    assert 0.5 <= model.thresholds["email"] <= 1 and model.thresholds["ip"] == 2
+    for t in ("a@" * 300_000, "é" * 300_000 + "@", "a" * 300_000 + "@b.c", "'" * 300_000 + "@" + "-" * 300_000):
+        assert all(b - a <= 320 for _, a, b in pii.addresses(t))
+    one_class = pii.Trees().fit(np.array([[0.0, 1.0], [1.0, 0.0]] * 20), np.array([1.0, 0.0] * 20))
+    one_class.calibrate(np.array([[0.0, 1.0]] * 9), np.ones(9), np.zeros(9))
+    assert one_class.thresholds["email"] == 2
+
+
 def test_base_spans_of_long_runs_and_random_marks():
     rng = random.Random(5)
     texts = ["".join(rng.choice("a1.@-+ %\n") for _ in range(60)) for _ in range(400)]

@@ -183,6 +183,16 @@ def test_email_candidates_are_bounded_and_need_negatives(spark, make_docs):
     assert one_class.thresholds["email"] == 2
 
 
+def test_one_long_document_does_not_fill_the_fitting_sample(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 400)
+    ids = [i for i in range(800) if i % 4]
+    first = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).first().doc_id
+    texts = ["mail a%d@x%d.example.com and a%d@b now" % (i, i, i) for i in ids]
+    texts[ids.index(first)] = " ".join("u%d@host%d.org" % (i, i % 50) for i in range(1500))
+    model = pii.fit(make_docs(texts, ids))
+    assert model.thresholds["email"] <= 1
+
+
 def test_base_spans_of_long_runs_and_random_marks():
     rng = random.Random(5)
     texts = ["".join(rng.choice("a1.@-+ %\n") for _ in range(60)) for _ in range(400)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, chat, chunkbpe, decontaminate, pii, quality, simjoin, tokenbits, toxicity, warc
+from . import annforest, chat, chunkbpe, decontaminate, merkle, pii, quality, simjoin, tokenbits, toxicity, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10(spark, sf_dir):
     turns = chat.canonical_turns(documents(spark, sf_dir, "conversations"))
     own = chat.canonical_turns(chat.planted(spark))
     return chat.read_back(chat.format_turns(turns.union(own)))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, chat, chunkbpe, decontaminate, merkle, pii, quality, simjoin, tokenbits, toxicity, warc
+from . import annforest, chat, chunkbpe, convrepair, decontaminate, mainhtml, merkle, pii, quality, simjoin, tokenbits, toxicity, warc
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,23 @@ def op10(spark, sf_dir):
 @query("op11_merkle_manifest", merkle.ORACLE)
 def op11(spark, sf_dir):
     return merkle.manifest(documents(spark, sf_dir))
+
+
+#: Exact for the given pages, whose article is marked as such.
+_ARTICLES = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<br>', ' ') AS x FROM pages),
+ b AS (SELECT page_id, url, list_transform(string_split_regex(x, '<[^>]*>'), lambda y: regexp_replace(replace(replace(replace(replace(
+   y, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')) AS x FROM a),
+ c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(x, lambda y: trim(regexp_replace(y, '[\s\pZ]+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
+
+@query("op12_tag_path_text", _ARTICLES)
+def op12(spark, sf_dir):
+    return mainhtml.extract(documents(spark, sf_dir, "pages"))
+
+
+@query("op13_conversation_repair", convrepair.ORACLE)
+def op13(spark, sf_dir):
+    return convrepair.repair(documents(spark, sf_dir, "conversations"))

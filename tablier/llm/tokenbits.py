@@ -13,18 +13,24 @@ of consecutive documents. ``shard, block`` give the order; ``payload`` is
 without reading other blocks, and a block unpacks in a few numpy operations.
 
 Texts are encoded by the tokenizers library. Its pre-tokenizer never joins
-across ASCII white space, so texts are cut there and every distinct piece is
-encoded once per worker (a bounded cache, so results never depend on it).
+across ASCII white space, so a batch of texts is cut there and its pieces are
+interned at once: distinct pieces, encoded once per worker while they are
+cached, and a code per piece; ids are then gathered by one numpy take. Long
+texts go through in slices cut at white space. Texts are encoded where they are
+read, so that only their ids are shuffled into ranges of doc_id.
 
 Null texts count as empty; every document ends with the end id, so an empty
-one has one id. Documents are ordered by doc_id, repeated ids by text; rows
-without doc_id are left out. Extra columns are not read. A document is held
-whole by one task, and a block holds at least one document.
+one has one id. Documents are ordered by doc_id, repeated ids by a hash of
+their token ids (equal rows are interchangeable); rows without doc_id are left
+out. A doc_id with a third of all rows is split over ranges. Extra columns are
+not read. The ids of a document are held whole by one task, and a block holds
+at least one document.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -33,23 +39,28 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablier.session import scratch_path
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 MAGIC = b"TBP1"
 #: Ids gathered before a block is closed.
 BLOCK_IDS = 1 << 18
-#: Distinct pieces kept per worker; two generations of half of it.
+#: Distinct pieces kept per worker; beyond them those of the latest batch stay.
 CACHE_PIECES = 800_000
 #: Shards whose offsets one window row sums.
 SHARD_GROUP = 1024
-#: Text bytes per shard.
-SHARD_BYTES = 16 << 20
+#: Token ids per shard.
+SHARD_IDS = 8 << 20
+#: Characters of texts that are cut into pieces together.
+SLICE_CHARS = 2 << 20
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -97,8 +108,15 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, int, bytes]:
     )
 
 
+def _gather(ids: np.ndarray, at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids[at[c]:at[c + 1]]`` of all codes in a row, and where each ends (with a leading 0)."""
+    begin, length = at[codes], at[codes + 1] - at[codes]
+    after = np.concatenate(([0], np.cumsum(length)))
+    return ids[np.repeat(begin - after[:-1], length) + np.arange(after[-1])], after
+
+
 class PieceEncoder:
-    """Ids of texts, every distinct white-space piece encoded once while it is cached."""
+    """Ids of texts; every distinct white-space piece is encoded once while it is cached."""
 
     #: A special token between pieces keeps their ids apart within one call.
     def __init__(self, path: str, separator: str = "<|startoftext|>"):
@@ -113,59 +131,71 @@ class PieceEncoder:
         steps = (normal.get("normalizer") or {}).get("normalizers", [])
         self.folds = any(x["type"] == "Lowercase" for x in steps) and "\\p{L}]+|" in json.dumps(normal.get("pre_tokenizer")).replace("\\\\", "\\")
         self.separator, self.separator_id = separator, self.tokenizer.token_to_id(separator)
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if "<|" in p]
-        plain = [p for p in pieces if "<|" not in p] if alone else pieces
+    def _forget(self) -> None:
+        #: number of each known piece, their ids in a row, and where each begins
+        self.known: dict[str, int] = {}
+        self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        alone = [p for p in pieces if "<|" in p or self.separator_id is None]
+        plain = [p for p in pieces if "<|" not in p] if self.separator_id is not None else []
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        if self.separator_id is None:
-            alone, groups = pieces, []
-        for group, enc in zip(
-            groups, self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False)
-        ):
+        rows, sizes = [self.ids], []
+        for enc in self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False):
             ids = np.array(enc.ids, np.uint32)
-            at = np.flatnonzero(ids == self.separator_id)
-            edges = [-1, *at.tolist(), len(ids)]
-            ids = ids.tolist()
-            for piece, a, b in zip(group, edges, edges[1:]):
-                self.new[piece] = tuple(ids[a + 1 : b])
-        for piece, enc in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
-            self.new[piece] = tuple(enc.ids)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.new) > CACHE_PIECES // 2:
-            self.old, self.new = self.new, {}
+            mark = ids == self.separator_id
+            edges = np.concatenate(([-1], np.flatnonzero(mark), [len(ids)]))
+            rows.append(ids[~mark])
+            sizes.append(np.diff(edges) - 1)
+        for enc in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
+            rows.append(np.array(enc.ids, np.uint32))
+            sizes.append(np.array([len(enc.ids)]))
+        self.known.update(zip(chain(plain, alone), range(len(self.known), len(self.known) + len(pieces))))
+        self.ids = np.concatenate(rows)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in a row, and where each text's ids end."""
+        column = pa.array(texts, pa.string())
         if self.folds:
             # the tokenizer lower-cases all text; doing so for A-Z beforehand merges pieces
-            texts = [t if "<|" in t else t.encode().lower().decode() for t in texts]
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = self.new
-        fresh = set()
-        for words in split:
-            fresh.update(words)
+            column = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        lists = pc.ascii_split_whitespace(column)
+        words = lists.flatten().dictionary_encode()
+        ids, at = self._ids_of(words.dictionary)
+        out, after = _gather(ids, at, words.indices.to_numpy())
+        return out, after[np.diff(lists.offsets.to_numpy()).cumsum()]
+
+    def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and where each begins (and the last ends)."""
+        if not self.folds:
+            (codes,) = self._codes(words)
+            return _gather(self.ids, self.at, codes)
         # "word," is "word" and ",": the pre-tokenizer parts letters from punctuation
-        tails = [w for w in fresh if w[-1:] in (",", ".") and "a" <= w[-2:-1] <= "z" and w not in new] if self.folds else []
-        fresh.difference_update(tails)
-        fresh.update(w[:-1] for w in tails)
-        fresh.update(w[-1] for w in tails)
-        missing = self._missing(fresh)
+        tailed = pc.match_substring_regex(words, "[a-z][.,]$")
+        stems = pc.if_else(tailed, pc.utf8_rtrim(words, ".,"), words).dictionary_encode()
+        tails = pc.if_else(tailed, pc.utf8_slice_codeunits(words, -1), ".").dictionary_encode()
+        stem_code, tail_code = self._codes(stems.dictionary, tails.dictionary)
+        tailed = tailed.to_numpy(zero_copy_only=False).astype(np.int64)
+        last = np.cumsum(tailed + 1) - 1  # each word is its stem and perhaps a tail
+        parts = np.empty(len(words) + int(tailed.sum()), np.int64)
+        parts[last] = tail_code[tails.indices.to_numpy()]
+        parts[last - tailed] = stem_code[stems.indices.to_numpy()]
+        ids, after = _gather(self.ids, self.at, parts)
+        return ids, np.concatenate(([0], after[last + 1]))
+
+    def _codes(self, *columns: pa.StringArray) -> list[np.ndarray]:
+        """Numbers of the pieces of each column, unknown ones encoded first."""
+        lists = [c.to_pylist() for c in columns]
+        missing = set().union(*lists).difference(self.known)
+        if len(self.known) + len(missing) > CACHE_PIECES:
+            self._forget()
+            missing = set().union(*lists)
         if missing:
-            self._encode_pieces(missing)
-        for w in tails:
-            new[w] = new[w[:-1]] + new[w[-1]]
-        return [np.fromiter(chain.from_iterable(map(new.__getitem__, words)), np.uint32) for words in split]
-
-    def _missing(self, pieces: set[str]) -> list[str]:
-        missing, new, old = [], self.new, self.old
-        for w in pieces:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append(w)
-        return missing
+            self._learn(list(missing))
+        return [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in lists]
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -174,11 +204,56 @@ def _encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def _encode_blocks(path: str, end_id: int, bits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(text: str) -> list[str]:
+    """The text in parts of about ``SLICE_CHARS`` characters, cut at ASCII white space."""
+    out, at = [], 0
+    while len(text) - at > SLICE_CHARS:
+        cut = _SPACE.search(text, at + SLICE_CHARS)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    return [*out, text[at:]]
+
+
+def _encode(path: str, end_id: int, width: int):
+    """Rows (doc_id, n, ids): the text's ids and the end id in ``width`` bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        shard, block, start = -1, 0, 0
-        docs, ids, held = [], [], 0
+        for batch in batches:
+            rows, held, done = [], 0, []
+
+            def flush():
+                parts = [_slices(t) for t in rows]
+                ids, ends = enc([x for p in parts for x in p])
+                ids = ids.astype(f"<u{width}")
+                last = np.array([end_id], f"<u{width}").tobytes()
+                begin, i = 0, -1
+                for p in parts:
+                    i += len(p)
+                    done.append(ids[begin : ends[i]].tobytes() + last)
+                    begin = ends[i]
+
+            for text in batch.column("text").to_pylist():
+                rows.append(text)
+                held += len(text)
+                if held >= SLICE_CHARS:
+                    flush()
+                    rows, held = [], 0
+            if rows:
+                flush()
+            sizes = pa.array([len(x) // width for x in done], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(done, pa.binary())], ["doc_id", "n", "ids"])
+
+    return run
+
+
+def _write_blocks(bits: int, width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, block, start, held = -1, 0, 0, 0
+        docs: list[int] = []
+        ids: list[np.ndarray] = []
 
         def flush():
             nonlocal block, start, docs, ids, held
@@ -189,18 +264,13 @@ def _encode_blocks(path: str, end_id: int, bits: int):
             return row
 
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                for s, doc_id, x in zip(part["shard"], part["doc_id"], enc(part["text"].tolist())):
-                    if s != shard:
-                        if docs:
-                            yield flush()
-                        shard, block, start = int(s), 0, 0
-                    docs.append(int(doc_id))
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(x) + 1
-                    if held >= BLOCK_IDS:
-                        yield flush()
+            for s, doc_id, raw in zip(pdf["shard"], pdf["doc_id"], pdf["ids"]):
+                shard = int(s)
+                docs.append(int(doc_id))
+                ids.append(np.frombuffer(raw, f"<u{width}"))
+                held += len(ids[-1])
+                if held >= BLOCK_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
@@ -219,24 +289,27 @@ def _read_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocab_size: int) -> None:
+def _largest_id(tokenizer: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode the texts and write the blocks in ascending doc_id order under ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
-    # ranges of doc_id from the ids and lengths alone, so that texts are shuffled once
-    sized = docs.select("doc_id", F.octet_length("text").alias("b"))
-    total, low, high = sized.agg(F.sum("b"), F.min("doc_id"), F.max("doc_id")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // SHARD_BYTES + 1)
-    cuts = sized.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [] if shards > 1 else []
-    cuts = sorted(set(cuts))
-    shard = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-        shard = F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))
-    dealt = docs.withColumn("shard", shard).repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
-    blocks = dealt.mapInPandas(
-        _encode_blocks(tokenizer, end_id, bits_for(vocab_size)),
-        "shard long, block long, start_in_shard long, n_ids long, payload binary",
+    bits = bits_for(_largest_id(tokenizer, end_id) + 1)
+    width = 2 if bits <= 16 else 4
+    encoded = docs.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, n long, ids binary")
+    encoded = encoded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    encoded = materialize(encoded, "token-ids")
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_IDS + 1)
+    keys = ("doc_id", "tie", "row")
+    dealt = encoded.repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
+    blocks = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInPandas(
+        _write_blocks(bits, width), "shard long, block long, start_in_shard long, n_ids long, payload binary"
     )
     blocks.write.option("compression", "uncompressed").parquet(path)
 
@@ -263,8 +336,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1, vocab_size: int = 49408) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, f"token-files-{uuid.uuid4().hex}")
-    write_token_files(docs, path, tokenizer, end_id, vocab_size)
+    write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(docs.sparkSession, path)

@@ -4,15 +4,19 @@ Only DataFrame functions. Benchmark items are partitioned by size: class c
 holds items of 2^c to 2^(c+1)-1 distinct shingles and gives each a bottom-k
 MinHash signature, its k smallest shingle hashes, with k one more than an item
 of that class may miss. A text that contains num/den of the item then holds at
-least one hash of the signature, so the search loses no match. Documents send
-only hashes below the largest signature value to the search. Candidates are
-verified by exact shingle containment in the whole text.
+least one hash of the signature, so the search loses no match. Each class is an
+index of its own with its own limit, the largest hash of its signatures:
+documents send a class only hashes up to its limit, which lies low for classes
+of long items. Candidates are verified by exact shingle containment in the
+whole text.
 
 Items shorter than ``width`` words are one shingle of their own length, and
 texts are then also cut at that length. Null and empty texts and items match
-nothing. Equal item texts are all reported; repeated rows (equal doc_id and
-text) give one result row. Rows without an id are left out. Extra columns are
-not read.
+nothing. Equal item texts of different ids are all reported. Repeated rows of a
+table (equal id and text) count once. Rows of one id with different texts are
+texts of their own: a document row must contain the item by itself, an item_id
+with several texts gives a result row per text, and a doc_id is reported with
+its best row. Rows without an id are left out. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,13 +44,14 @@ def _shingles(words: Column, width: int) -> Column:
 
 
 def _item_shingles(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, width, h, n): the distinct shingles of each item and their number."""
-    cut = items.select("item_id", _words("text").alias("words")).withColumn("width", F.least(F.size("words"), F.lit(width)))
+    """(item_id, item, width, h, n): the distinct shingles of each item text and their number."""
+    cut = items.select("item_id", F.xxhash64("text").alias("item"), _words("text").alias("words")).withColumn("width", F.least(F.size("words"), F.lit(width)))
     per_width = F.when(F.col("width") == width, _shingles(F.col("words"), width))
     for w in range(1, width):
         per_width = per_width.when(F.col("width") == w, _shingles(F.col("words"), w))
-    hashes = cut.where("width > 0").select("item_id", "width", F.array_distinct(per_width).alias("hashes"))
-    return hashes.select("item_id", "width", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    hashes = cut.where("width > 0").select("item_id", "item", "width", F.array_distinct(per_width).alias("hashes"))
+    hashes = hashes.dropDuplicates(["item_id", "item"])
+    return hashes.select("item_id", "item", "width", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
 
 
 def _allowed(n: str, num: int, den: int) -> str:
@@ -55,14 +60,14 @@ def _allowed(n: str, num: int, den: int) -> str:
 
 
 def signatures(shingles: DataFrame, num: int, den: int) -> DataFrame:
-    """Bottom-k MinHash values per item, k fixed by the item's size class."""
+    """Bottom-k MinHash values per item text, k fixed by the item's size class."""
     return (
-        shingles.groupBy("item_id", "width", "n")
-        .agg(F.sort_array(F.collect_list("h")).alias("hashes"))
+        shingles.groupBy("item_id", "item", "width", "n")
+        .agg(F.sort_array(F.collect_set("h")).alias("hashes"))
         .withColumn("size_class", F.expr("int(floor(log2(n)))"))
         .withColumn("top", F.expr("int(shiftleft(2, size_class)) - 1"))
         .withColumn("k", F.expr(f"int(least(n, greatest({_allowed('n', num, den)}, top * {den - num} div {den} + 1)))"))
-        .select("item_id", "width", "size_class", "n", F.explode(F.expr("slice(hashes, 1, k)")).alias("h"))
+        .select("item_id", "item", "width", "size_class", "n", F.explode(F.expr("slice(hashes, 1, k)")).alias("h"))
     )
 
 
@@ -72,31 +77,44 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 8
     items = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id IS NOT NULL")
     full = materialize(_item_shingles(items, width), "decon-items")
     sig = materialize(signatures(full, num, den), "decon-signatures")
-    n_full, widths = full.count(), [r.width for r in full.select("width").distinct().collect()]
-    if not widths:
+    # at most ``width`` sizes of shingles and 31 size classes
+    limits = sig.groupBy("width", "size_class").agg(F.max("h")).collect()
+    if not limits:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_found long")
-    limit = sig.agg(F.max("h")).first()[0]
-
-    def hashes(text_rows: DataFrame, low: int | None) -> DataFrame:
-        arrays = []
-        for w in sorted(widths):
-            h = _shingles(_words("text"), w)
-            h = F.array_distinct(F.filter(h, lambda x: x <= low) if low is not None else h)
-            arrays.append(F.struct(F.lit(w).alias("width"), h.alias("hs")))
-        per = text_rows.select("doc_id", F.explode(F.array(*arrays)).alias("s"))
-        return per.select("doc_id", F.col("s.width").alias("width"), F.explode("s.hs").alias("h"))
-
-    found = hashes(docs, limit).join(sized_broadcast(sig.select("item_id", "width", "h"), n_full), ["width", "h"])
-    candidates = materialize(found.select("doc_id", "item_id").distinct(), "decon-candidates")
-    ids = candidates.select("doc_id").distinct()
-    texts = docs.join(sized_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    hits = hashes(texts, None).join(sized_broadcast(full, n_full), ["width", "h"])
+    n_full = full.count()
+    widths = sorted({w for w, _, _ in limits})
+    rows = docs.withColumn("row", F.xxhash64("text"))
+
+    def shares(w: int, classes: bool):
+        """From a text's distinct shingles of ``w`` words to what each class (or the verification) receives."""
+        if not classes:
+            return lambda hs: F.array(F.struct(F.lit(w).alias("width"), hs.alias("hs")))
+        tops = [(c, top) for lw, c, top in sorted(limits) if lw == w]
+        up_to = lambda hs, top: F.filter(hs, lambda x: x <= top)
+        return lambda hs: F.array(*[F.struct(F.lit(w).alias("width"), F.lit(c).alias("size_class"), up_to(hs, top).alias("hs")) for c, top in tops])
+
+    def hashes(text_rows: DataFrame, classes: bool) -> DataFrame:
+        """(doc_id, row, width[, size_class], h): the shingles of the texts, for the search those up to each class's limit."""
+        # the outer transform binds a text's shingles once for all classes
+        per_width = [F.transform(F.array(F.array_distinct(_shingles(_words("text"), w))), shares(w, classes))[0] for w in widths]
+        per = text_rows.select("doc_id", "row", F.explode(F.concat(*per_width)).alias("s"))
+        keys = ["s.width", "s.size_class"] if classes else ["s.width"]
+        return per.select("doc_id", "row", *keys, F.explode("s.hs").alias("h"))
+
+    index = sized_broadcast(sig.select("item_id", "item", "width", "size_class", "h"), n_full)
+    found = hashes(rows, True).join(index, ["width", "size_class", "h"])
+    candidates = materialize(found.select("doc_id", "row", "item_id", "item").distinct(), "decon-candidates")
+    ids = candidates.select("doc_id", "row").distinct()
+    texts = rows.join(sized_broadcast(ids, ids.count()), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    hits = hashes(texts, False).join(sized_broadcast(full, n_full), ["width", "h"])
     return (
-        hits.groupBy("doc_id", "item_id", "n")
-        .agg(F.countDistinct("h").alias("n_found"))
+        hits.groupBy("doc_id", "row", "item_id", "item", "n")
+        .agg(F.count("*").alias("n_found"))
         .where(f"n_found * {den} >= n * {num}")
-        .join(candidates, ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_found")
+        .join(candidates, ["doc_id", "row", "item_id", "item"], "left_semi")
+        .groupBy("doc_id", "item_id", "item", F.col("n").cast("long").alias("n_shingles"))
+        .agg(F.max("n_found").alias("n_found"))
+        .drop("item")
     )
 
 

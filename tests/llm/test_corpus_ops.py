@@ -71,6 +71,28 @@ def test_decontamination_against_brute_force(spark, make_docs):
     assert decontaminate.contaminated(table.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_ids(spark, make_docs):
+    rng = random.Random(4)
+    words = lambda n: [f"v{rng.randrange(900)}" for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([6, 9, 14, 20, 33, 60, 90, 140])]
+    docs = [" ".join(words(50) + t.split()[k:] + words(30)) for _, t in items for k in (0, 1, 2, 3)]
+    once = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    table = make_docs(docs)
+    want = brute_contained(list(enumerate(docs)), items)
+    assert len(want) > 16
+    assert {tuple(r) for r in decontaminate.contaminated(table, once(items)).collect()} == want
+    again = decontaminate.contaminated(table.union(table).union(table), once(items * 4)).collect()
+    assert len(again) == len(want) and {tuple(r) for r in again} == want
+    # halves of an item in two rows of one id are no match, and the best of an id's rows counts
+    half = items[4][1].split()
+    rows = [" ".join(half[:18]), " ".join(half[14:]), items[4][1], " ".join(half[1:])]
+    got = decontaminate.contaminated(make_docs(rows, [1, 1, 2, 2]), once(items)).collect()
+    assert [tuple(r) for r in got] == [(2, 4, 29, 29)]
+    # one id with two texts is searched for both
+    got = decontaminate.contaminated(make_docs([items[3][1], items[5][1]]), once([(7, items[3][1]), (7, items[5][1])])).collect()
+    assert {tuple(r) for r in got} == {(0, 7, 16, 16), (1, 7, 56, 56)}
+
+
 # ---------------------------------------------------------------- 3
 
 

@@ -17,11 +17,12 @@ across ASCII white space, so a batch of texts is cut there and its pieces are
 interned at once: distinct pieces, encoded once per worker while they are
 cached, and a code per piece; ids are then gathered by one numpy take. Long
 texts go through in slices cut at white space. Texts are encoded where they are
-read, so that only their ids are shuffled into ranges of doc_id.
+read, so that only their ids are shuffled into ranges of doc_id, the shards;
+the ranges come from the keys alone, and a text finds its own by binary search.
 
 Null texts count as empty; every document ends with the end id, so an empty
 one has one id. Documents are ordered by doc_id, repeated ids by a hash of
-their token ids (equal rows are interchangeable); rows without doc_id are left
+their text (equal rows are interchangeable); rows without doc_id are left
 out. A doc_id with a third of all rows is split over ranges. Extra columns are
 not read. The ids of a document are held whole by one task, and a block holds
 at least one document.
@@ -34,8 +35,9 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -55,10 +57,10 @@ BLOCK_IDS = 1 << 18
 CACHE_PIECES = 800_000
 #: Shards whose offsets one window row sums.
 SHARD_GROUP = 1024
-#: Token ids per shard.
-SHARD_IDS = 8 << 20
+#: Text bytes per shard.
+SHARD_BYTES = 16 << 20
 #: Characters of texts that are cut into pieces together.
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 6 << 20
 
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]")
 _ENCODERS: dict[str, "PieceEncoder"] = {}
@@ -138,10 +140,13 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if "<|" in p or self.separator_id is None]
-        plain = [p for p in pieces if "<|" not in p] if self.separator_id is not None else []
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode unknown pieces; their numbers."""
+        special = np.fromiter(("<|" in p for p in pieces), bool, len(pieces)) | (self.separator_id is None)
+        order = np.argsort(special, kind="stable")
+        n = len(pieces) - int(special.sum())
+        pieces = [pieces[i] for i in order]
+        groups = [pieces[i : min(i + 512, n)] for i in range(0, n, 512)]
         rows, sizes = [self.ids], []
         for enc in self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False):
             ids = np.array(enc.ids, np.uint32)
@@ -149,12 +154,16 @@ class PieceEncoder:
             edges = np.concatenate(([-1], np.flatnonzero(mark), [len(ids)]))
             rows.append(ids[~mark])
             sizes.append(np.diff(edges) - 1)
-        for enc in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False):
+        for enc in self.tokenizer.encode_batch_fast(pieces[n:], add_special_tokens=False):
             rows.append(np.array(enc.ids, np.uint32))
             sizes.append(np.array([len(enc.ids)]))
-        self.known.update(zip(chain(plain, alone), range(len(self.known), len(self.known) + len(pieces))))
+        first = len(self.known)
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
         self.ids = np.concatenate(rows)
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = np.arange(first, first + len(pieces))
+        return numbers
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in a row, and where each text's ids end."""
@@ -171,13 +180,12 @@ class PieceEncoder:
     def _ids_of(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct words in a row, and where each begins (and the last ends)."""
         if not self.folds:
-            (codes,) = self._codes(words)
-            return _gather(self.ids, self.at, codes)
+            return _gather(self.ids, self.at, self._codes(words))
         # "word," is "word" and ",": the pre-tokenizer parts letters from punctuation
         tailed = pc.match_substring_regex(words, "[a-z][.,]$")
         stems = pc.if_else(tailed, pc.utf8_rtrim(words, ".,"), words).dictionary_encode()
         tails = pc.if_else(tailed, pc.utf8_slice_codeunits(words, -1), ".").dictionary_encode()
-        stem_code, tail_code = self._codes(stems.dictionary, tails.dictionary)
+        stem_code, tail_code = self._codes(stems.dictionary), self._codes(tails.dictionary, 2)
         tailed = tailed.to_numpy(zero_copy_only=False).astype(np.int64)
         last = np.cumsum(tailed + 1) - 1  # each word is its stem and perhaps a tail
         parts = np.empty(len(words) + int(tailed.sum()), np.int64)
@@ -186,16 +194,17 @@ class PieceEncoder:
         ids, after = _gather(self.ids, self.at, parts)
         return ids, np.concatenate(([0], after[last + 1]))
 
-    def _codes(self, *columns: pa.StringArray) -> list[np.ndarray]:
-        """Numbers of the pieces of each column, unknown ones encoded first."""
-        lists = [c.to_pylist() for c in columns]
-        missing = set().union(*lists).difference(self.known)
-        if len(self.known) + len(missing) > CACHE_PIECES:
+    def _codes(self, pieces: pa.StringArray, spare: int = 0) -> np.ndarray:
+        """Numbers of distinct pieces, unknown ones encoded first; ``spare`` pieces may exceed the cache."""
+        pieces = pieces.to_pylist()
+        codes = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown) and len(self.known) + len(unknown) > CACHE_PIECES + spare:
             self._forget()
-            missing = set().union(*lists)
-        if missing:
-            self._learn(list(missing))
-        return [np.fromiter(map(self.known.__getitem__, x), np.int64, len(x)) for x in lists]
+            unknown = np.arange(len(pieces))
+        if len(unknown):
+            codes[unknown] = self._learn([pieces[i] for i in unknown])
+        return codes
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -216,35 +225,40 @@ def _slices(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def _encode(path: str, end_id: int, width: int):
-    """Rows (doc_id, n, ids): the text's ids and the end id in ``width`` bytes each."""
+def _shard(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], doc_id: int, tie: int, row: int) -> int:
+    """The number of bounds (doc_id, tie, row) at or below the key."""
+    low, high = np.searchsorted(bounds[0], doc_id, "left"), np.searchsorted(bounds[0], doc_id, "right")
+    return bisect_right(range(high), (tie, row), int(low), key=lambda i: (bounds[1][i], bounds[2][i])) if low < high else int(low)
+
+
+def _encode(path: str, end_id: int, width: int, bounds):
+    """Rows (shard, doc_id, tie, row, ids): the text's ids and the end id in ``width`` bytes each."""
+    last = np.array([end_id], f"<u{width}").tobytes()
+    names = ("doc_id", "tie", "row")
+
+    def encoded(enc: PieceEncoder, keys: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        parts = [_slices(t) for t in texts]
+        ids, ends = enc([x for p in parts for x in p])
+        ids = ids.astype(f"<u{width}")
+        ends = [0, *ends[np.cumsum([len(p) for p in parts]) - 1].tolist()]
+        rows = [ids[a:b].tobytes() + last for a, b in zip(ends, ends[1:])]
+        shards = pa.array([_shard(bounds.value, *k) for k in keys], pa.int32())
+        columns = [pa.array(c, pa.int64()) for c in zip(*keys)]
+        return pa.RecordBatch.from_arrays([shards, *columns, pa.array(rows, pa.binary())], ["shard", *names, "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
+        keys, texts, held = [], [], 0
         for batch in batches:
-            rows, held, done = [], 0, []
-
-            def flush():
-                parts = [_slices(t) for t in rows]
-                ids, ends = enc([x for p in parts for x in p])
-                ids = ids.astype(f"<u{width}")
-                last = np.array([end_id], f"<u{width}").tobytes()
-                begin, i = 0, -1
-                for p in parts:
-                    i += len(p)
-                    done.append(ids[begin : ends[i]].tobytes() + last)
-                    begin = ends[i]
-
-            for text in batch.column("text").to_pylist():
-                rows.append(text)
+            for *key, text in zip(*(batch.column(c).to_pylist() for c in (*names, "text"))):
+                keys.append(key)
+                texts.append(text)
                 held += len(text)
                 if held >= SLICE_CHARS:
-                    flush()
-                    rows, held = [], 0
-            if rows:
-                flush()
-            sizes = pa.array([len(x) // width for x in done], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(done, pa.binary())], ["doc_id", "n", "ids"])
+                    yield encoded(enc, keys, texts)
+                    keys, texts, held = [], [], 0
+        if texts:
+            yield encoded(enc, keys, texts)
 
     return run
 
@@ -265,7 +279,10 @@ def _write_blocks(bits: int, width: int):
 
         for pdf in batches:
             for s, doc_id, raw in zip(pdf["shard"], pdf["doc_id"], pdf["ids"]):
-                shard = int(s)
+                if s != shard:
+                    if docs:
+                        yield flush()
+                    shard, block, start = int(s), 0, 0
                 docs.append(int(doc_id))
                 ids.append(np.frombuffer(raw, f"<u{width}"))
                 held += len(ids[-1])
@@ -295,20 +312,30 @@ def _largest_id(tokenizer: str, end_id: int) -> int:
     return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
 
 
+def _bounds(docs: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of shards and the first key (doc_id, tie, row) of each but the first, from the keys alone."""
+    spark = docs.sparkSession
+    keys = materialize(docs.select("doc_id", "tie", "row", F.octet_length("text").alias("b")), "token-keys")
+    total = keys.agg(F.sum("b")).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES + 1)
+    dealt = keys.repartitionByRange(shards, "doc_id", "tie", "row").groupBy(F.spark_partition_id().alias("p"))
+    firsts = sorted(tuple(r[0]) for r in dealt.agg(F.min(F.struct("doc_id", "tie", "row")).alias("k")).select("k").collect())
+    return shards, tuple(np.array([k[i] for k in firsts[1:]], np.int64) for i in range(3))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode the texts and write the blocks in ascending doc_id order under ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
+    docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     bits = bits_for(_largest_id(tokenizer, end_id) + 1)
     width = 2 if bits <= 16 else 4
-    encoded = docs.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, n long, ids binary")
-    encoded = encoded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
-    encoded = materialize(encoded, "token-ids")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_IDS + 1)
-    keys = ("doc_id", "tie", "row")
-    dealt = encoded.repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
-    blocks = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInPandas(
+    shards, bounds = _bounds(docs)
+    encoded = docs.mapInArrow(
+        _encode(tokenizer, end_id, width, spark.sparkContext.broadcast(bounds)), "shard int, doc_id long, tie long, row long, ids binary"
+    )
+    dealt = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie", "row")
+    blocks = dealt.select("shard", "doc_id", "ids").mapInPandas(
         _write_blocks(bits, width), "shard long, block long, start_in_shard long, n_ids long, payload binary"
     )
     blocks.write.option("compression", "uncompressed").parquet(path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegralType, MapType, StructType
 
 _SIGN_BIT = -(1 << 63)
 TWO_POW_32 = 4294967296.0
@@ -46,14 +46,36 @@ def sortable_key(c, dtype: DataType | None) -> Column:
 def hash_sort_key(df, seed, key: str | list[str]) -> Column:
     """Order key of the seeded shuffle: (md5(seed|key), key) as one string.
 
-    md5 hex has fixed width, so appending the key keeps the tuple order.
+    md5 hex has fixed width, so appending the key keeps the tuple order. A null
+    key has a place in that order too, that of ``md5(seed)``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    tail = [sortable_key(k, dtypes.get(k)) for k in keys]
+    tail = [F.coalesce(sortable_key(k, dtypes.get(k)), F.lit("")) for k in keys]
     return F.concat(seeded_md5(seed, *keys), *tail)
 
 
+def row_digest(df, columns: list[str]) -> Column:
+    """md5 of the row's values, each as byte count, colon and text, or ``-`` if null: equal only for equal rows."""
+    parts = []
+    for name in columns:
+        c, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(dtype, BinaryType):
+            text = F.hex(c)
+        elif isinstance(dtype, (StructType, ArrayType, MapType)):
+            text = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+        else:
+            text = c.cast("string")
+        parts.append(F.when(c.isNull(), "-").otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    return F.md5(F.concat(*parts)) if parts else F.md5(F.lit(""))
+
+
+def row_digest_sql(*columns: str) -> str:
+    """The same digest of columns of integer or text type as SQL text (for oracles)."""
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return f"md5({' || '.join(parts)})"
+
+
 def hash_sql(seed, *parts: str) -> str:
     """The same md5 expression as ANSI SQL text (for oracles)."""
     inner = " || '|' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])

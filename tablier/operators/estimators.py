@@ -347,13 +347,12 @@ def importances(spark, fitted: Fitted, feature_names: list[str]) -> DataFrame:
 
 def row_cap(df: DataFrame, key: str, cap: int, seed: int = 42) -> DataFrame:
     """Seeded cap (without replacement) before a size-limited learner."""
-    from .ranking import select_first
+    from .ranking import mark_first, quota_of
     from ..functions.hashing import hash_sort_key
 
-    n = df.count()
-    if n <= cap:
+    if df.count() <= cap:
         return df
-    return df.where(select_first(df, hash_sort_key(df, seed, key), None, {"": cap}, {"": n}))
+    return mark_first(df, hash_sort_key(df, seed, key), None, quota_of(cap), "_kept").where("_kept").drop("_kept")
 
 
 __all__ = ["uniform", "Pipeline"]

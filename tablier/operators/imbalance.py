@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_sort_key, uniform
-from .ranking import exact_rank, select_first, select_first_by, stratum_col
+from .ranking import Strata, exact_rank, mark_first, stratum_col
 
 DRAWS_PER_PARTITION = 1_000_000
 
@@ -145,11 +145,16 @@ def training_only(targets: dict[str, int], counts: dict[str, int]) -> dict[str,
     return {c: t for c, t in targets.items() if c in counts}
 
 
-def undersample(df: DataFrame, key, target: str, targets: dict[str, int], seed: int = 42) -> DataFrame:
-    """H4: keep ``targets[c]`` rows of class c without replacement (md5 order)."""
-    pred = select_first_by(df, hash_sort_key(df, seed, key), target,
-                           lambda counts: {c: min(n, targets.get(c, n)) for c, n in counts.items()})
-    return df.where(pred)
+def undersample(df: DataFrame, key, target: str, targets: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
+    """H4: keep ``targets[c]`` rows of class c without replacement (md5 order); by default as many as the smallest class has."""
+
+    def quotas(s: Strata) -> DataFrame:
+        if targets is None:
+            return s.df.withColumn("_q", F.lit(s.smallest).cast("long"))
+        wanted = df.sparkSession.createDataFrame([(str(c), int(t)) for c, t in targets.items()], "_g string, _t long")
+        return s.df.join(wanted, "_g", "left").select("_g", "_n", F.coalesce(F.least("_n", "_t"), F.col("_n")).alias("_q"))
+
+    return mark_first(df, hash_sort_key(df, seed, key), target, quotas, "_kept").where("_kept").drop("_kept")
 
 
 def _draws(spark: SparkSession, need: dict[str, int]) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_sort_key
-from .ranking import select_first, stratum_col, stratum_counts
+from .ranking import mark_first, stratum_col, stratum_counts
 
 CELL_TARGET = 2_000  # rows per Voronoi cell
 MAX_PIVOTS = 1_024  # pivots per group
@@ -57,7 +57,9 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
     counts = stratum_counts(mem, F.col("_g"))
     pcount = {g: max(1, min(MAX_PIVOTS, math.ceil(n / CELL_TARGET))) for g, n in counts.items()}
     sk = hash_sort_key(mem, seed, "_q")
-    piv_rows = mem.where(select_first(mem, sk, F.col("_g"), pcount, counts)).select("_g", "_q", "_v", "_cat").collect()
+    def quotas(s):
+        return s.df.join(mem.sparkSession.createDataFrame(list(pcount.items()), "_g string, _q long"), "_g")
+    piv_rows = mark_first(mem, sk, F.col("_g"), quotas, "_p").where("_p").select("_g", "_q", "_v", "_cat").collect()
     pivots: dict[str, list] = {}
     for r in sorted(piv_rows, key=lambda r: (r["_g"], r["_q"])):
         pivots.setdefault(r["_g"], []).append((list(r["_v"]), list(r["_cat"])))

@@ -103,8 +103,7 @@ SELECT q AS vec_id, any_value(actual) AS actual, arg_min(nl, (-c, nl)) AS predic
 @register("knn", KNN_SQL)
 def q_knn(spark, sf):
     df = table(spark, sf, "embeddings")
-    test_pred = S.holdout_predicate(df, "vec_id", "stratified", 0.2, 42, target="label")
-    marked = df.withColumn("_test", test_pred)
+    marked = S.mark_train(df, "vec_id", "stratified", 0.2, 42, target="label").withColumn("_test", ~F.col("_train")).drop("_train")
     nn = knn_within_groups(marked, "vec_id", None, "embedding", 5, 42,
                            query=F.col("_test"), member=~F.col("_test"))
     lab = df.select(F.col("vec_id").cast("string").alias("nn_key"), F.col("label").alias("nl"))

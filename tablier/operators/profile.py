@@ -1,10 +1,11 @@
 """Profiling: the one-pass "summary" query and value previews.
 
-Wide statistics are computed by one unpivot to (column, value) followed by a
-single ``groupBy(column, value).count()``: every per-column statistic
-(distinct count, missing count, datetime-likeness, rare levels, constants,
-top values) is then an aggregate over that one table instead of one scan or
-one COUNT(DISTINCT) expansion per column.
+Wide statistics are computed by one unpivot to (column, level, evidence): the
+level is a 128-bit hash of the value and the evidence a few bits about it
+(missing, parses as a number or time, infinite), both taken where the row is
+read. One ``groupBy(column, level, evidence).count()`` then gives every
+per-column statistic, and shuffles a fixed 28 bytes per distinct value however
+long the texts are. Duplicate rows are counted over 128-bit row hashes too.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from ..functions.missing import is_float
+from ..functions.missing import GATE_MISSING_MARKERS, WHITESPACE, is_float
 
 PREVIEW_MAX_PAGE = 200
 TOP_VALUES = 100
@@ -59,28 +60,70 @@ def column_value_counts(df: DataFrame, columns: list[str] | None = None) -> Data
     return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Evidence bits of a value.
+NULL, GATE_MISSING, NUMBER, TIME, INFINITE = 1, 2, 4, 8, 16
+
+
+def _hash128(*columns: Column) -> list[Column]:
+    """Two 64-bit hashes with different seeds; equal for equal values, nulls in their places included."""
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(seed), *marked).alias(f"_h{seed}") for seed in (1, 2)]
+
+
+def _evidence(f, value: Column) -> Column:
+    bits = F.when(value.isNull(), F.lit(NULL)).otherwise(F.lit(0))
+    missing = F.lit(False)
+    if isinstance(f.dataType, StringType):
+        missing = F.coalesce(F.lower(F.btrim(value, F.lit(WHITESPACE))).isin(GATE_MISSING_MARKERS), F.lit(False))
+        bits = bits + F.when(value.try_cast("double").isNotNull(), F.lit(NUMBER)).otherwise(F.lit(0))
+        bits = bits + F.when(F.try_to_timestamp(value).isNotNull(), F.lit(TIME)).otherwise(F.lit(0))
+    elif is_float(f.dataType):
+        bits = bits + F.when(value.isin("Infinity", "-Infinity"), F.lit(INFINITE)).otherwise(F.lit(0))
+    return bits + F.when(value.isNull() | missing, F.lit(GATE_MISSING)).otherwise(F.lit(0))
+
+
+def column_levels(df: DataFrame) -> DataFrame:
+    """(position, evidence, count) per column and distinct value."""
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        value = _value_as_string(f)
+        cells.append(F.struct(F.lit(i).alias("position"), *_hash128(value), _evidence(f, value).alias("evidence")))
+    stacked = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return stacked.groupBy("position", "_h1", "_h2", "evidence").agg(F.count(F.lit(1)).alias("count")).drop("_h1", "_h2")
+
+
+def column_statistics(df: DataFrame) -> DataFrame:
+    """One row per column (none for an empty table): counts of rows, levels and evidence.
+
+    columns: position, rows, levels (null is one), n_distinct, non_missing,
+    gate_missing, min_level, numbers, times, infinite.
+    """
+    has = lambda bit: F.col("evidence").bitwiseAND(F.lit(bit)) != 0
+    rows_with = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("count"))), F.lit(0))
+    return column_levels(df).groupBy("position").agg(
+        F.sum("count").alias("rows"),
+        F.count(F.lit(1)).alias("levels"),
+        F.count_if(~has(NULL)).alias("n_distinct"),
+        rows_with(~has(NULL)).alias("non_missing"),
+        rows_with(has(GATE_MISSING)).alias("gate_missing"),
+        F.min(F.when(~has(NULL), F.col("count"))).alias("min_level"),
+        rows_with(has(NUMBER)).alias("numbers"),
+        rows_with(has(TIME)).alias("times"),
+        rows_with(has(INFINITE)).alias("infinite"),
+    )
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column.
 
     columns: column, kind, rows, missing_count, missing_percent, n_distinct,
     non_missing, datetime_like, simplified_type, constant.
     """
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    vc = column_value_counts(df)
-    kind_map = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])
-    per = vc.groupBy("column").agg(
-        F.sum("count").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
-        F.count("value").alias("n_distinct"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("count"))), F.lit(0)).alias("non_missing"),
-        # parse only text values (the only kind that can be "datetime-like")
-        F.bool_and(F.when(F.col("value").isNotNull() & (F.element_at(kind_map, F.col("column")) == "string"),
-                          F.try_to_timestamp(F.col("value")).isNotNull())).alias("_all_ts"),
-        F.count(F.lit(1)).alias("_levels_with_null"),
-    )
-    kind = F.element_at(kind_map, F.col("column"))
+    by_position = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("position") + 1)
+    per = column_statistics(df)
+    kind = by_position([kind_of(f.dataType) for f in df.schema.fields])
     nd, nm = F.col("n_distinct"), F.col("non_missing")
-    dt_like = (kind == "datetime") | ((kind == "string") & (nm > 0) & F.coalesce(F.col("_all_ts"), F.lit(False)))
+    dt_like = (kind == "datetime") | ((kind == "string") & (nm > 0) & (F.col("times") == nm))
     simplified = (
         F.when(dt_like, "Date/Time")
         .when(kind == "boolean", "Boolean")
@@ -88,17 +131,18 @@ def column_profile(df: DataFrame) -> DataFrame:
         .when(kind == "string", F.when(nm == 0, "Unknown").when((nd / nm > 0.5) & (nd > 20), "Text").otherwise("Categorical"))
         .otherwise("Unknown")
     )
+    missing = F.col("rows") - nm
     return per.select(
-        "column",
+        by_position(df.columns).alias("column"),
         kind.alias("kind"),
         "rows",
-        "missing_count",
-        F.round(F.when(F.col("rows") > 0, F.col("missing_count") * 100.0 / F.col("rows")).otherwise(0.0), 6).alias("missing_percent"),
+        missing.alias("missing_count"),
+        F.round(F.when(F.col("rows") > 0, missing * 100.0 / F.col("rows")).otherwise(0.0), 6).alias("missing_percent"),
         "n_distinct",
         "non_missing",
         dt_like.alias("datetime_like"),
         simplified.alias("simplified_type"),
-        (F.col("_levels_with_null") <= 1).alias("constant"),
+        (F.col("levels") <= 1).alias("constant"),
     )
 
 
@@ -132,13 +176,16 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows beyond the first copy (NULL equals NULL).  One row."""
-    cols = columns or df.columns
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    proj = [
-        F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(fields[c])).alias(c) if is_float(fields[c]) else F.col(f"`{c}`")
-        for c in cols
-    ]
-    groups = df.select(*proj).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    fields = {f.name: f for f in df.schema.fields}
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if not is_float(fields[name].dataType):
+            return c
+        c = F.nanvl(c, F.lit(None).cast(fields[name].dataType))
+        return F.when(c == 0, F.lit(0).cast(fields[name].dataType)).otherwise(c)
+
+    groups = df.select(*_hash128(*[value(c) for c in columns or df.columns])).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -5,9 +5,8 @@
 * per (class, distinct score) counts ``(pos, neg)`` -> exact AUC with ties,
   ROC and PR curves, average precision.
 
-Cumulative sums over scores never use an un-partitioned window: the score
-range is cut into buckets, bucket totals give offsets (a tiny table) and
-only rows inside one (class, bucket) are ordered together.
+Running totals over scores are a distributed prefix sum (``running.in_order``):
+no window covers a whole class, however many distinct scores it has.
 """
 
 from __future__ import annotations
@@ -18,11 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .running import in_order, written
 
-MAX_LABELS = 2_000  # k x k confusion cells stay a small (broadcast) table
-ROWS_PER_BUCKET = 500_000  # rows ordered together in one (class, bucket) window
-MAX_BUCKETS = 65_536
+ROWS_PER_BUCKET = 500_000  # distinct scores ordered together
 GRID_POINTS = 201
 EPS = 2.220446049250313e-16  # float64 machine epsilon (MAPE denominator floor)
 
@@ -35,23 +32,20 @@ def _lbl(c) -> Column:
 # ------------------------------------------------------------------ confusion family
 
 
+def observed_cells(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """The cells that occur: all that the metrics need, whatever the number of labels."""
+    return df.groupBy(_lbl(actual).alias("actual"), _lbl(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(df: DataFrame, actual: str, predicted: str, labels: list[str] | None = None) -> DataFrame:
     """L1: 0-filled k x k cells over the label list (default: actual U predicted)."""
-    cells = df.groupBy(_lbl(actual).alias("actual"), _lbl(predicted).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    cells = observed_cells(df, actual, predicted)
     if labels is None:
         lab = cells.select(F.col("actual").alias("l")).union(cells.select(F.col("predicted").alias("l"))).distinct()
     else:
         lab = df.sparkSession.createDataFrame([(str(x),) for x in labels], "l string")
-    if labels is None and lab.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        # a grid of k x k labels would be larger than the data: empty cells are left out, and
-        # every label keeps its diagonal cell, which is what the metrics need
-        diagonal = lab.select(F.col("l").alias("actual"), F.col("l").alias("predicted"))
-        return cells.join(diagonal, ["actual", "predicted"], "full_outer").select(
-            "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-        )
-    grid = F.broadcast(lab.select(F.col("l").alias("actual"))).crossJoin(F.broadcast(lab.select(F.col("l").alias("predicted"))))
+    # the grid has k x k rows at any k; it is made where the cells are, one row of the matrix after the other
+    grid = lab.select(F.col("l").alias("actual")).crossJoin(lab.select(F.col("l").alias("predicted")))
     return grid.join(cells, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     )
@@ -140,55 +134,19 @@ def score_counts(df: DataFrame, actual: str, classes: list[str], proba_cols: lis
     )
 
 
-def cumulative_below(t: DataFrame, part: str, x: str, values: list[str], rows_per_bucket: int | None = None,
-                     max_buckets: int | None = None, lower: list[str] = ()) -> DataFrame:
-    """For rows unique per (part, x): add ``<v>_below`` = sum of v over smaller x, and ``rank``.
-
-    Two-phase: each part's x range is cut into ``ceil(rows / rows_per_bucket)``
-    equal-width buckets (at most ``max_buckets``); bucket totals give offsets
-    (a table of at most parts x max_buckets rows) and only rows inside one
-    (part, bucket) are ordered together.  ``lower`` columns also get
-    ``<v>_lower``: the value on the row with the next smaller x (bucket edges
-    are filled from the small per-bucket edge table).
-    """
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    max_buckets = max_buckets or MAX_BUCKETS
-    rng = t.groupBy(part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_cnt"))
-    nb = F.least(F.lit(max_buckets), F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(rows_per_bucket))))
-    tb = t.join(F.broadcast(rng), part)
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col(x) - F.col("_lo")) / width * nb), nb - 1)).otherwise(0)
-    tb = tb.withColumn("_b", b.cast("long")).drop("_lo", "_hi", "_cnt").withColumn("_one", F.lit(1))
-    vals = list(values) + ["_one"]
-    edge_aggs = [F.max_by(F.struct(*[F.col(v) for v in lower]), F.col(x)).alias("_last")] if lower else []
-    bt = tb.groupBy(part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals], *edge_aggs)
-    bw = W.partitionBy(part).orderBy("_b")
-    ow = bw.rowsBetween(W.unboundedPreceding, -1)
-    offs = bt.select(part, "_b", *[F.coalesce(F.sum(f"_t_{v}").over(ow), F.lit(0)).alias(f"_o_{v}") for v in vals],
-                     *([F.lag("_last").over(bw).alias("_prev_last")] if lower else []))
-    j = tb.join(F.broadcast(offs), [part, "_b"])
-    iw = W.partitionBy(part, "_b").orderBy(x)
-    cw = iw.rowsBetween(W.unboundedPreceding, -1)
-    out = j.select(
-        *t.columns,
-        *[(F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(cw), F.lit(0))).alias(f"{v}_below") for v in values],
-        (F.col("_o__one") + F.coalesce(F.sum("_one").over(cw), F.lit(0)) + 1).alias("rank"),
-        *[F.coalesce(F.lag(v).over(iw), F.col("_prev_last")[v]).alias(f"{v}_lower") for v in lower],
-    )
-    return out
-
-
 def curve_table(counts: DataFrame) -> DataFrame:
-    """Per (class, distinct score): tps/fps at threshold ``score`` (score >= thr) and totals."""
-    cb = cumulative_below(counts, "class", "score", ["pos", "neg"], lower=["pos", "neg"])
-    tot = counts.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
-    t = cb.join(F.broadcast(tot), "class")
-    return t.select(
+    """Per (class, distinct score): tps/fps at threshold ``score`` (score >= thr) and totals; written once."""
+    counts = written(counts, "score-counts")
+    low = in_order(counts, ["class"], ["score"], sums=["pos", "neg"], before=["pos", "neg"], rows_per_range=ROWS_PER_BUCKET)
+    tot = counts.groupBy(F.col("class").alias("_c")).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
+    t = low.join(tot, low["class"].eqNullSafe(F.col("_c")))
+    out = t.select(
         "class", "score", "pos", "neg", "P", "N", "m", "rank", "pos_lower", "neg_lower",
         (F.col("P") - F.col("pos_below")).alias("tps"),
         (F.col("N") - F.col("neg_below")).alias("fps"),
         F.col("neg_below"),
     )
+    return written(out, "curve")
 
 
 def auc_per_class(counts: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -217,10 +175,7 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     (neg, pos) of the next lower score minus its own, so only the lower
     neighbour's counts are needed (no self-join).
     """
-    # the curve table feeds points, AUC and origin rows: materialise it once
-    # (reliable checkpoint in the shared folder) instead of re-deriving it
-    counts = cut_lineage(counts)
-    t = cut_lineage(curve_table(counts))
+    t = curve_table(counts)
     auc = auc_per_class(counts, t).select("class", "auc")  # over every distinct score
     if drop_intermediate:
         keep = (
@@ -233,7 +188,7 @@ def roc_curve(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     origin = auc.select(
         "class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")
     )
-    return pts.unionByName(origin).join(F.broadcast(auc), "class")
+    return pts.unionByName(origin).join(auc, "class")
 
 
 def pr_curve(counts: DataFrame) -> DataFrame:
@@ -242,8 +197,7 @@ def pr_curve(counts: DataFrame) -> DataFrame:
     One point per distinct score plus the final (recall 0, precision 1)
     point, whose threshold is the highest score.
     """
-    counts = cut_lineage(counts)
-    t = cut_lineage(curve_table(counts))
+    t = curve_table(counts)
     prec = F.when(F.col("tps") + F.col("fps") > 0, F.col("tps") / (F.col("tps") + F.col("fps"))).otherwise(0.0)
     rec = F.when(F.col("P") > 0, F.col("tps") / F.col("P")).otherwise(1.0)
     pts = t.select("class", "score", "pos", "P", rec.alias("recall"), prec.alias("precision"))
@@ -254,7 +208,7 @@ def pr_curve(counts: DataFrame) -> DataFrame:
         "class", F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), "threshold"
     )
     out = pts.select("class", "recall", "precision", F.col("score").alias("threshold")).unionByName(last)
-    return out.join(F.broadcast(ap), "class")
+    return out.join(ap, "class")
 
 
 def macro_curve(curve: DataFrame, x: str, y: str, part: str = "class", group_cols: list[str] = (),
@@ -263,19 +217,18 @@ def macro_curve(curve: DataFrame, x: str, y: str, part: str = "class", group_col
 
     Each point covers the grid values up to the next point: an as-of/range
     join done by exploding the few grid indices of each segment instead of
-    comparing every point with every grid value.  Curves are thinned tables
-    (ROC drops collinear points), each ordered within its own partition.
-    Curves with < 2 points are skipped.
+    comparing every point with every grid value.  Each point finds the next one
+    of its curve by a distributed order, so a curve may have any number of
+    points.  Curves with < 2 points are skipped.
     """
     keys = list(group_cols) + [part]
     n = grid_points - 1
     pts = curve.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")
     )
-    w = W.partitionBy(*keys).orderBy("_x", "_y")
-    pts = pts.withColumn("_nx", F.lead("_x").over(w)).withColumn("_ny", F.lead("_y").over(w))
-    pts = pts.withColumn("_first", F.row_number().over(w) == 1)
-    pts = pts.withColumn("_cnt", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_cnt") >= 2)
+    pts = in_order(written(pts, "curve-points"), keys, ["_x", "_y"], after=["_x", "_y"], rows_per_range=ROWS_PER_BUCKET)
+    pts = pts.withColumnsRenamed({"_x_upper": "_nx", "_y_upper": "_ny"}).withColumn("_first", F.col("rank") == 1)
+    pts = pts.where(~F.col("_first") | F.col("_nx").isNotNull())
     lo = F.when(F.col("_first"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.col("_x") * n) - 1))
     hi = F.when(F.col("_nx").isNull(), F.lit(n)).otherwise(F.least(F.lit(n), F.ceil(F.col("_nx") * n) + 1))
     ex = pts.withColumn("_gi", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))

@@ -25,7 +25,6 @@ depends on the partitioning.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_digest
-from ..session import scratch_path
+from .running import written
 
 PREFIX_STEP = 4  # hex digits per refinement level (16 bits)
 EXACT_MAX_ROWS = 2_000_000  # rows ranked in one window partition; larger strata get histogram levels first
@@ -86,14 +85,6 @@ def stratum_counts(df: DataFrame, stratum, limit: int | None = None) -> dict[str
     return {r[0]: int(r[1]) for r in rows}
 
 
-def written(df: DataFrame, name: str = "small") -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, survives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Strata:
     """Sizes of strata: a table (_g, _n) of any length, its rows if they are few, and totals."""

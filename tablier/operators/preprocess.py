@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.missing import is_float
-from .quantile import exact_median
+from .ranking import BROADCAST_MAX_ROWS
+from .running import in_order, written
+from .quantile import exact_medians, most_frequent_values
 
 MAX_LEVELS = 10_000  # one-hot levels per column carried as literals
 DEFAULT_FILL = "Unknown"
@@ -83,14 +85,18 @@ def _cat(c: str, fill: str) -> Column:
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(fill))
 
 
-def most_frequent(df: DataFrame, c: str):
-    """Most frequent non-missing value; ties -> smallest (as SimpleImputer)."""
-    x = _num(df, c)
-    r = (
-        df.select(x.alias("x")).where(F.col("x").isNotNull())
-        .groupBy("x").count().orderBy(F.desc("count"), F.asc("x")).limit(1).collect()
-    )
-    return float(r[0]["x"]) if r else None
+def distinct_levels(df: DataFrame, values: dict[str, Column]) -> dict[str, list[str]]:
+    """Sorted distinct values of each expression, all in one pass; raises instead of collecting an unbounded table."""
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in values.items()])
+    distinct = df.select(F.explode(cells).alias("c")).select("c.name", "c.v").distinct()
+    sizes = {r["name"]: r["n"] for r in distinct.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    wide = sorted(n for n, k in sizes.items() if k > MAX_LEVELS)
+    if wide:
+        raise ValueError(f"Column '{wide[0]}' has more than {MAX_LEVELS} levels; encode it as a sparse vector (``encode_sparse``).")
+    out: dict[str, list[str]] = {n: [] for n in values}
+    for r in distinct.orderBy("name", "v").collect():
+        out[r["name"]].append(r["v"])
+    return out
 
 
 def fit(df: DataFrame, features: list[str], target: str | None = None, task_type: str | None = "classification",
@@ -104,12 +110,12 @@ def fit(df: DataFrame, features: list[str], target: str | None = None, task_type
                      task_type=task_type, strategy=strategy, scale=scale, fill_value=fill_value)
     if num:
         if strategy == "median":
-            p.impute = {c: exact_median(df, c) for c in num}
+            p.impute = exact_medians(df, num)
         elif strategy == "mean":
             row = df.agg(*[F.avg(_num(df, c)).alias(c) for c in num]).collect()[0]
             p.impute = {c: row[c] for c in num}
         elif strategy == "most_frequent":
-            p.impute = {c: most_frequent(df, c) for c in num}
+            p.impute = most_frequent_values(df, num)
         else:
             raise ValueError(f"Unsupported numeric_impute_strategy '{strategy}'.")
         # scaler statistics are taken on the imputed values (imputer runs first)
@@ -120,13 +126,8 @@ def fit(df: DataFrame, features: list[str], target: str | None = None, task_type
         row = df.agg(*aggs).collect()[0]
         p.mean = {c: row[f"m_{c}"] for c in num}
         p.std = {c: row[f"s_{c}"] for c in num}
-    for c in cat:
-        lv = (
-            df.select(_cat(c, fill_value).alias("v")).distinct().orderBy("v").limit(MAX_LEVELS + 1).collect()
-        )
-        if len(lv) > MAX_LEVELS:
-            raise ValueError(f"Column '{c}' has more than {MAX_LEVELS} levels; group or hash it first.")
-        p.levels[c] = [r["v"] for r in lv]
+    if cat:
+        p.levels = distinct_levels(df, {c: _cat(c, fill_value) for c in cat})
     if target is not None and (task_type or "").lower() == "classification":
         p.classes = target_classes(df, target)
     return p
@@ -169,6 +170,40 @@ def transform(df: DataFrame, p: Preprocessor, keep: list[str] = (), as_vector: b
     return df.select(*extra, *cols)
 
 
+def level_table(df: DataFrame, value: Column) -> DataFrame:
+    """(level, index) of the sorted distinct values, any number of them, numbered without collecting them."""
+    levels = written(df.select(value.alias("level")).distinct(), "levels")
+    return written(in_order(levels, [], ["level"]).select("level", (F.col("rank") - 1).alias("index")), "levels")
+
+
+def encode_by_table(df: DataFrame, value: Column, levels: DataFrame, out: str) -> DataFrame:
+    """I6 for any number of levels: the index of each row's level, null for one the table lacks."""
+    known = levels.select(F.col("level").alias("_level"), F.col("index").cast("double").alias(out))
+    known = F.broadcast(known) if levels.count() <= BROADCAST_MAX_ROWS else known
+    return df.join(known, value == F.col("_level"), "left").drop("_level")
+
+
+def encode_sparse(df: DataFrame, column: str, levels: DataFrame, out: str, fill_value: str = DEFAULT_FILL) -> DataFrame:
+    """I4 for any number of levels: one sparse indicator vector; a level the table lacks is all zeros."""
+    from pyspark.ml.feature import OneHotEncoderModel
+
+    n = levels.count()
+    indexed = encode_by_table(df, _cat(column, fill_value), levels, "_index").fillna(float(n), ["_index"])
+    # one size more than levels, and the last of them dropped: unknown levels become zeros
+    model = OneHotEncoderModel._from_java(
+        df.sparkSession.sparkContext._jvm.org.apache.spark.ml.feature.OneHotEncoderModel("levels", _ints(df, [n + 1]))
+    )
+    return model.setInputCols(["_index"]).setOutputCols([out]).setDropLast(True).transform(indexed).drop("_index")
+
+
+def _ints(df: DataFrame, values: list[int]):
+    sc = df.sparkSession.sparkContext
+    array = sc._gateway.new_array(sc._jvm.int, len(values))
+    for i, v in enumerate(values):
+        array[i] = v
+    return array
+
+
 def target_label(c) -> Column:
     """Target as text; missing -> 'null' (quirk Q4 resolved to 'null')."""
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
@@ -178,7 +213,7 @@ def target_classes(df: DataFrame, target: str) -> list[str]:
     """Sorted distinct labels (text); bounded collect."""
     rows = df.select(target_label(target).alias("c")).distinct().orderBy("c").limit(MAX_LEVELS + 1).collect()
     if len(rows) > MAX_LEVELS:
-        raise ValueError(f"Target '{target}' has more than {MAX_LEVELS} classes.")
+        raise ValueError(f"Target '{target}' has more than {MAX_LEVELS} classes; encode it by a table (``level_table``).")
     return [r["c"] for r in rows]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import row_digest_sql
 from ..operators import imbalance as H
+from ..operators import preprocess as P
 from ..operators import split as S
 from ..sources.tables import table
 from .registry import register
@@ -102,3 +103,29 @@ SELECT l_orderkey, l_linenumber FROM (
          min(c) OVER () AS smallest FROM {_LINES} WHERE c > 1) WHERE rn <= smallest""")
 def q_undersample_many(spark, sf):
     return H.undersample(order_lines(spark, sf), ["l_orderkey", "l_linenumber"], "l_orderkey")
+
+
+_RANKS = "(SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT l_orderkey::VARCHAR AS v FROM lineitem WHERE l_orderkey % 10 < 9))"
+
+
+@register("target_encode_many", f"""
+SELECT l_orderkey, l_linenumber, i::DOUBLE AS label FROM lineitem JOIN {_RANKS} ON v = l_orderkey::VARCHAR""")
+def q_target_encode_many(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    levels = P.level_table(li.where("l_orderkey % 10 < 9"), P.target_label("l_orderkey"))
+    return P.encode_by_table(li, P.target_label("l_orderkey"), levels, "label").where("label IS NOT NULL")
+
+
+@register("one_hot_many", f"""
+SELECT l_orderkey, l_linenumber, i IS NOT NULL AS known, coalesce(i, -1) AS hot_index, (SELECT count(*) FROM {_RANKS}) AS size
+FROM lineitem LEFT JOIN {_RANKS} ON v = l_orderkey::VARCHAR""")
+def q_one_hot_many(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    levels = P.level_table(li.where("l_orderkey % 10 < 9"), P.target_label("l_orderkey"))
+    hot = P.encode_sparse(li, "l_orderkey", levels, "hot")
+    # a sparse vector as text is (size,[indices],[values])
+    parts = F.regexp_extract(F.col("hot").cast("string"), r"\((\d+),\[(\d*)\]", 2)
+    return hot.select(
+        "l_orderkey", "l_linenumber", (parts != "").alias("known"), F.when(parts != "", parts.cast("long")).otherwise(-1).alias("hot_index"),
+        F.regexp_extract(F.col("hot").cast("string"), r"\((\d+),", 1).cast("long").alias("size"),
+    )

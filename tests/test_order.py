@@ -115,3 +115,35 @@ def test_empty_tables(spark):
     with pytest.raises(ValueError, match="empty"):
         S.split(empty, "k", "random", 0.2)
     assert H.undersample(empty, "k", "y", {}).count() == 0
+
+
+def test_medians_of_many_columns_take_as_many_jobs_as_of_one(spark, monkeypatch):
+    import numpy as np
+
+    import tablier.operators.quantile as Q
+
+    rng = np.random.default_rng(3)
+    n = 4001
+    data = {
+        "normal": rng.normal(size=n), "decades": 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n), "flag": rng.integers(0, 2, n) * 1.0,
+        "heavy": np.where(rng.random(n) < 0.7, 7.0, rng.normal(size=n)), "ends": np.where(rng.random(n) < 0.3, np.inf, rng.normal(size=n)),
+        "gaps": np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)), "one": np.full(n, 3.5), "none": np.full(n, np.nan),
+        "two": np.where(np.arange(n) < 2, np.arange(n) * 1.0, np.nan), "low": np.where(rng.random(n) < 0.3, -np.inf, rng.normal(size=n)),
+    }
+    df = spark.createDataFrame(list(zip(*(map(float, v) for v in data.values()))), ", ".join(f"{c} double" for c in data)).cache()
+    want = {c: (None if np.isnan(v).all() else float(np.nanmedian(v))) for c, v in data.items()}
+    tracker = spark.sparkContext.statusTracker()
+    for exact in (200_000, 50, 1):
+        monkeypatch.setattr(Q, "EXACT_ROWS", exact)
+        assert Q.exact_medians(df, list(data)) == pytest.approx(want)
+    monkeypatch.setattr(Q, "EXACT_ROWS", 50)
+    jobs = []
+    for i, columns in enumerate((["normal"], [f"n{j}" for j in range(30)])):
+        wide = df.select(*[F.col("normal").alias(c) for c in columns])
+        spark.sparkContext.setJobGroup(f"medians-{i}", "count jobs")
+        Q.exact_medians(wide, columns)
+        jobs.append(len(tracker.getJobIdsForGroup(f"medians-{i}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    assert Q.order_statistics(df, "normal", [1, 17, n]) == {k: np.sort(data["normal"])[k - 1] for k in (1, 17, n)}
+    assert Q.most_frequent_values(df, ["flag", "heavy", "none"]) == {"flag": float(np.bincount(data["flag"].astype(int)).argmax()), "heavy": 7.0, "none": None}

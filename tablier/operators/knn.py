@@ -1,185 +1,370 @@
 """Exact k nearest neighbours without all pairs (used by SMOTE, SMOTE-NC and k-NN).
 
-Per group (class), rows are partitioned into Voronoi cells of a few pivot
-rows (the first rows in md5 order).  Each row first gets its k nearest
-neighbours inside its own cell (radius r).  A point x of another cell j
-satisfies d(q, x) >= (d(q, p_j) - d(q, p_own)) / 2, so only cells with
-that bound <= r can hold a closer point; those cells are searched by a
-co-grouped pass.  The result is exact (ties by neighbour key), and the work
-is about n x cell size instead of n^2.
+Per group (class) a metric tree is grown over the distinct points, all groups
+and nodes at once, one level a pass: a node of more than ``CELL_TARGET`` points
+chooses a few of them as pivots and hands every point to the nearest one, until
+each leaf is small. Equal points are folded into one before, with the smallest
+``k + 1`` of their keys, so no number of copies makes a leaf large. Nodes carry
+their pivot as centre, the largest distances of their queries and members to
+it, and their number of members.
+
+A leaf first searches itself, which bounds its k-th distances (a leaf with too
+few members takes the bound of its closest large enough ancestor). It then
+descends the tree from the root and keeps the nodes that may hold something
+closer: distance of the centres minus both radii within the bound. The leaves
+reached stream past it, nearest bound first. Distances are matrix products of
+blocks; what may count is measured again exactly. A task holds two leaves,
+whatever the size of the data. The result is exact, ties by neighbour key.
+
+Where the data have structure a leaf meets few others; for points without any
+(dozens of independent dimensions) the bound excludes little. The share of leaf
+pairs that were compared is logged.
 
 Distances may carry a nominal part (SMOTE-NC): each differing nominal value
-adds ``nominal_penalty`` to the squared distance.  The Voronoi bound only
-uses the triangle inequality, which still holds for that metric.
+adds ``nominal_penalty`` to the squared distance, which is still a metric.
+Rows whose vector is null or holds null or NaN take no part.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_sort_key
-from .ranking import mark_first, stratum_col, stratum_counts
+from .ranking import BROADCAST_MAX_ROWS, stratum_col
+from .running import written
 
-CELL_TARGET = 2_000  # rows per Voronoi cell
-MAX_PIVOTS = 1_024  # pivots per group
+CELL_TARGET = 2_000  # distinct points of a leaf
+PIVOTS = 64  # children of a node
+ROWS_PER_TASK = 50_000  # points of one node that a task hands to its pivots
+PACKET_BYTES = 8_192  # coordinates that travel as one row between leaves
+_SLACK = 1e-9  # relative allowance for rounding in bounds
 
-NN_SCHEMA = "_g string, _q string, _nk string, _dist double"
+_log = logging.getLogger(__name__)
+_POINT = "_g string, _h1 long, _h2 long, _v array<double>, _cat array<string>, _isq boolean, _keys array<string>, _node string"
 
 
 def _vector(df: DataFrame, features) -> DataFrame:
-    if isinstance(features, str):
-        return df.withColumn("_v", F.col(features).cast("array<double>"))
-    return df.withColumn("_v", F.array(*[F.col(f"`{c}`").cast("double") for c in features]))
+    raw = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    return df.withColumn("_v", F.transform(raw, lambda x: x + 0.0))  # no negative zeros
 
 
-def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: int = 42,
-                      nominal: list[str] | None = None, nominal_penalty: dict[str, float] | None = None,
-                      query=None, member=None) -> DataFrame:
-    """(group, key, neighbour key, distance, rank) for the k nearest *other* rows of the same group.
+def _penalty_of(penalty: dict[str, float]) -> Column:
+    """The nominal penalty of the group ``_g``."""
+    given = [(g, float(p)) for g, p in penalty.items() if p]
+    if not given:
+        return F.lit(0.0)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in given for x in pair]), F.col("_g")), F.lit(0.0))
 
-    ``query`` / ``member`` (boolean columns, default all rows) restrict which
-    rows ask for neighbours and which rows may be neighbours (k-NN scoring:
-    queries = rows to score, members = training rows).
-    """
-    nominal = list(nominal or [])
-    penalty = dict(nominal_penalty or {})
-    base = _vector(df, features).select(
-        stratum_col(group).alias("_g"), F.col(key).cast("string").alias("_q"), "_v",
-        F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in nominal]).alias("_cat")
-        if nominal else F.array().cast("array<string>").alias("_cat"),
-        (query if query is not None else F.lit(True)).alias("_isq"),
-        (member if member is not None else F.lit(True)).alias("_ism"),
-    )
-    mem = base.where("_ism")
-    counts = stratum_counts(mem, F.col("_g"))
-    pcount = {g: max(1, min(MAX_PIVOTS, math.ceil(n / CELL_TARGET))) for g, n in counts.items()}
-    sk = hash_sort_key(mem, seed, "_q")
-    def quotas(s):
-        return s.df.join(mem.sparkSession.createDataFrame(list(pcount.items()), "_g string, _q long"), "_g")
-    piv_rows = mark_first(mem, sk, F.col("_g"), quotas, "_p").where("_p").select("_g", "_q", "_v", "_cat").collect()
-    pivots: dict[str, list] = {}
-    for r in sorted(piv_rows, key=lambda r: (r["_g"], r["_q"])):
-        pivots.setdefault(r["_g"], []).append((list(r["_v"]), list(r["_cat"])))
-    pen = {g: float(penalty.get(g, 0.0)) for g in counts}
-
-    def dist_to(pv_list, vecs, cats, g):
-        import numpy as np
 
-        P = np.array([p[0] for p in pv_list], dtype=float)
-        d2 = ((vecs[:, None, :] - P[None, :, :]) ** 2).sum(axis=2)
-        if cats.shape[1]:
-            pc = np.array([p[1] for p in pv_list], dtype=object)
-            d2 = d2 + (cats[:, None, :] != pc[None, :, :]).sum(axis=2) * pen[g]
-        return np.sqrt(d2)
+def _apart(a: str, b: str) -> str:
+    """SQL distance of the points (``{a}_v``, ``{a}_cat``) and (``{b}_v``, ``{b}_cat``)."""
+    square = f"aggregate(zip_with({a}_v, {b}_v, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"
+    differing = f"aggregate(zip_with({a}_cat, {b}_cat, (x, y) -> if(x <=> y, 0D, 1D)), 0D, (s, x) -> s + x)"
+    return f"sqrt({square} + _pen * {differing})"
+
 
-    def assign(batches):
+def fold_points(base: DataFrame, k: int) -> DataFrame:
+    """Distinct points (_g, _h1, _h2, _v, _cat, _isq, _keys): the k + 1 smallest member keys of each."""
+    point = ["_g", "_h1", "_h2"]
+    smallest = W.partitionBy(*point).orderBy("_q")
+    first = base.where("_ism").select(*point, "_q").withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k + 1)
+    keys = first.groupBy(*point).agg(F.sort_array(F.collect_list("_q")).alias("_keys"))
+    points = base.groupBy(*point).agg(F.first("_v").alias("_v"), F.first("_cat").alias("_cat"), F.max("_isq").alias("_isq"))
+    empty = F.array().cast("array<string>")
+    return points.join(keys, point, "left").withColumn("_keys", F.coalesce("_keys", empty)).withColumn("_node", F.lit(""))
+
+
+def _hand_out(penalty: dict[str, float]):
+    """Points to the nearest pivot of their node; each stretch of points follows its node's pivots."""
+
+    def run(batches):
         import numpy as np
         import pandas as pd
 
+        pivots = cats = None
         for pdf in batches:
-            out = []
-            for g, sub in pdf.groupby("_g", sort=False):
-                if g not in pivots:
+            made = []
+            # a header row starts the stretch of its node
+            stretch = (pdf["_role"] == 0).cumsum().to_numpy()
+            for s in np.unique(stretch):
+                part = pdf[stretch == s]
+                if part["_role"].iloc[0] == 0:
+                    head, part = part.iloc[0], part.iloc[1:]
+                    pivots = np.array([list(p) for p in head["_pv"]], float)
+                    cats = np.array([list(c) for c in head["_pc"]], dtype=object).reshape(len(pivots), -1)
+                if part.empty:
                     continue
-                vecs = np.array(sub["_v"].tolist(), dtype=float)
-                cats = np.array(sub["_cat"].tolist(), dtype=object).reshape(len(sub), -1)
-                d = dist_to(pivots[g], vecs, cats, g)
-                cell = d.argmin(axis=1)
-                out.append(pd.DataFrame({
-                    "_g": sub["_g"].values, "_q": sub["_q"].values, "_v": sub["_v"].values, "_cat": sub["_cat"].values,
-                    "_cell": cell.astype("int64"), "_pd": list(d),
-                    "_isq": sub["_isq"].values, "_ism": sub["_ism"].values,
-                }))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    cells = base.mapInPandas(
-        assign,
-        "_g string, _q string, _v array<double>, _cat array<string>, _cell long, _pd array<double>, _isq boolean, _ism boolean",
-    )
+                x = np.array(part["_v"].tolist(), float)
+                d2 = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T
+                if cats.shape[1]:
+                    own = np.array(part["_cat"].tolist(), dtype=object).reshape(len(part), -1)
+                    d2 = d2 + (own[:, None, :] != cats[None, :, :]).sum(axis=2) * penalty.get(part["_g"].iloc[0], 0.0)
+                child = d2.argmin(axis=1)
+                out = part[["_g", "_h1", "_h2", "_v", "_cat", "_isq", "_keys"]].copy()
+                out["_node"] = [f"{n}{c:02d}" for n, c in zip(part["_node"], child)]
+                made.append(out)
+            if made:
+                yield pd.concat(made, ignore_index=True)
 
-    def topk(qv, qc, qk, mv, mc, mk, g, exclude_self):
+    return run
+
+
+def grow(points: DataFrame, penalty: dict[str, float], seed: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Points with their leaf ``_node``, the tree's nodes (none if no group was split) and its depth.
+
+    A node is named by the pivots taken on the way, two digits each.
+    """
+    pen = _penalty_of(penalty)
+    nodes, level, settled = None, 0, None
+    current = points
+    while True:
+        sizes = current.groupBy("_g", "_node").agg(F.count("*").alias("_n"))
+        big = written(sizes.where(F.col("_n") > CELL_TARGET), "knn-big")
+        n_big = big.count()
+        if not n_big:
+            return (current if settled is None else settled.unionByName(current)), nodes, level
+        hint = F.broadcast if n_big <= BROADCAST_MAX_ROWS else (lambda df: df)
+        marked = current.join(hint(big), ["_g", "_node"], "left")
+        small = marked.where("_n IS NULL").drop("_n")
+        settled = small if settled is None else settled.unionByName(small)
+        large = marked.where("_n IS NOT NULL")
+        place = W.partitionBy("_g", "_node").orderBy(F.xxhash64("_h1", "_h2", F.lit(seed + level)), "_h1", "_h2")
+        wanted = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("_n") / CELL_TARGET) + 1)
+        chosen = large.withColumn("_r", F.row_number().over(place)).where((F.col("_r") <= PIVOTS) & (F.col("_r") <= wanted))
+        pivots = written(chosen.select("_g", "_node", "_r", "_v", "_cat", "_n"), "knn-pivots")
+        tasks = F.ceil(F.col("_n") / ROWS_PER_TASK)
+        heads = pivots.groupBy("_g", "_node", "_n").agg(F.sort_array(F.collect_list(F.struct("_r", "_v", "_cat"))).alias("_p"))
+        heads = heads.select(
+            "_g", "_node", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("_task"), F.lit(0).alias("_role"),
+            F.col("_p._v").alias("_pv"), F.col("_p._cat").alias("_pc"),
+            F.lit(0).cast("long").alias("_h1"), F.lit(0).cast("long").alias("_h2"),  # no nulls, so that long ids stay whole
+        )
+        rows = large.withColumn("_task", F.pmod(F.col("_h1"), tasks)).withColumn("_role", F.lit(1)).drop("_n")
+        stream = rows.unionByName(heads, allowMissingColumns=True).repartition("_g", "_node", "_task")
+        handed = stream.sortWithinPartitions("_g", "_node", "_task", "_role").mapInPandas(_hand_out(penalty), _POINT)
+        current = written(handed, "knn-points")
+        # the new nodes: centre, radii of queries and members, members with their copies
+        centres = pivots.select(
+            "_g", F.col("_node").alias("_parent"), F.concat("_node", F.lpad((F.col("_r") - 1).cast("string"), 2, "0")).alias("_node"),
+            F.col("_v").alias("c_v"), F.col("_cat").alias("c_cat"),
+        )
+        hint = F.broadcast if n_big * PIVOTS <= BROADCAST_MAX_ROWS // 16 else (lambda df: df)
+        far = current.join(hint(centres), ["_g", "_node"]).withColumn("_pen", pen).withColumn("_d", F.expr(_apart("", "c")))
+        stats = far.groupBy("_g", "_node").agg(
+            F.max(F.when(F.col("_isq"), F.col("_d"))).alias("_rq"), F.max(F.when(F.size("_keys") > 0, F.col("_d"))).alias("_rm"),
+            F.sum(F.size("_keys")).alias("_members"),
+        )
+        made = written(centres.join(stats, ["_g", "_node"]).withColumn("_level", F.lit(level + 1)), "knn-nodes")
+        nodes = made if nodes is None else nodes.unionByName(made)
+        level += 1
+
+
+# ------------------------------------------------------------------ leaves in a task
+
+
+class _Leaf:
+    """The points of a leaf as arrays; ``entries`` are its members, one per key."""
+
+    def __init__(self, vectors, cats, keys, asks, ids):
         import numpy as np
 
-        d2 = ((qv[:, None, :] - mv[None, :, :]) ** 2).sum(axis=2)
+        self.ids = [i for i, a in zip(ids, asks) if a]
+        asks = np.array(asks, bool)
+        self.q, self.qc = vectors[asks], cats[asks]
+        copies = np.array([len(k) for k in keys], int)
+        self.m, self.mc = np.repeat(vectors, copies, axis=0), np.repeat(cats, copies, axis=0)
+        self.mk = np.array([x for k in keys for x in k], dtype=object)
+
+
+def _closest(queries: _Leaf, members: _Leaf, best: list[list[tuple]], k: int, pen: float) -> None:
+    """Merge ``members`` into the k best (distance, key) of each query."""
+    import numpy as np
+
+    if not len(queries.q) or not len(members.m):
+        return
+    qq, mm = (queries.q**2).sum(1), (members.m**2).sum(1)
+    for at in range(0, len(queries.q), 512):
+        q, qc = queries.q[at : at + 512], queries.qc[at : at + 512]
+        d2 = qq[at : at + 512, None] + mm[None, :] - 2 * q @ members.m.T
         if qc.shape[1]:
-            d2 = d2 + (qc[:, None, :] != mc[None, :, :]).sum(axis=2) * pen[g]
-        d = np.sqrt(d2)
-        if exclude_self:
-            d[qk[:, None] == mk[None, :]] = np.inf
-        rows = []
-        for i in range(d.shape[0]):
-            row = d[i]
-            finite = int(np.isfinite(row).sum())
-            kk = min(k, finite)
-            if kk == 0:
-                continue
-            thr = np.partition(row, kk - 1)[kk - 1]
-            idx = np.nonzero(row <= thr)[0]
-            for j in sorted(idx, key=lambda j: (row[j], mk[j]))[:kk]:
-                rows.append((qk[i], mk[j], float(row[j])))
-        return rows
-
-    def within(pdf):
+            d2 = d2 + (qc[:, None, :] != members.mc[None, :, :]).sum(axis=2) * pen
+        slack = 1e-11 * (qq[at : at + 512] + mm.max()) + 1e-300
+        limit = np.array([b[k - 1][0] ** 2 if len(b) >= k else np.inf for b in best[at : at + 512]])
+        if d2.shape[1] > k:
+            limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1] + slack)
+        near = d2 <= (limit + slack)[:, None]
+        for i in np.flatnonzero(near.any(axis=1)):
+            idx = np.flatnonzero(near[i])
+            exact = ((q[i] - members.m[idx]) ** 2).sum(axis=1)
+            if qc.shape[1]:
+                exact = exact + (qc[i] != members.mc[idx]).sum(axis=1) * pen
+            found = zip(np.sqrt(exact).tolist(), members.mk[idx].tolist())
+            best[at + i] = sorted([*best[at + i], *found])[:k]
+
+
+def _rows_of(pdf):
+    """(vectors, nominal values, keys, asks, ids) of the points in a frame."""
+    import numpy as np
+
+    cats = np.array(pdf["_cat"].tolist(), dtype=object).reshape(len(pdf), -1)
+    return np.array(pdf["_v"].tolist(), float), cats, pdf["_keys"].tolist(), pdf["_isq"].tolist(), list(zip(pdf["_h1"], pdf["_h2"]))
+
+
+def _pack(k: int, penalty: dict[str, float]):
+    """Packets of a leaf's points, and the largest k-th distance of its queries within it."""
+
+    def run(pdf):
         import numpy as np
         import pandas as pd
 
-        g = pdf["_g"].iloc[0]
-        qs, ms = pdf[pdf["_isq"]], pdf[pdf["_ism"]]
-        rows = []
-        if len(qs) and len(ms):
-            mv = np.array(ms["_v"].tolist(), dtype=float)
-            mc = np.array(ms["_cat"].tolist(), dtype=object).reshape(len(ms), -1)
-            mk = ms["_q"].to_numpy(dtype=object)
-            qv = np.array(qs["_v"].tolist(), dtype=float)
-            qc = np.array(qs["_cat"].tolist(), dtype=object).reshape(len(qs), -1)
-            qk = qs["_q"].to_numpy(dtype=object)
-            for s in range(0, len(qs), 512):
-                rows += topk(qv[s:s + 512], qc[s:s + 512], qk[s:s + 512], mv, mc, mk, g, True)
-        return pd.DataFrame([(g, q, n, dd) for q, n, dd in rows], columns=["_g", "_q", "_nk", "_dist"])
-
-    inner = cells.groupBy("_g", "_cell").applyInPandas(within, NN_SCHEMA)
-    radius = inner.groupBy("_g", "_q").agg(F.count(F.lit(1)).alias("_m"), F.max("_dist").alias("_r"))
-    # cells that may hold a closer point than the current k-th neighbour
-    q = cells.where("_isq").join(radius, ["_g", "_q"], "left")
-    r = F.when(F.coalesce(F.col("_m"), F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.col("_r"))
-    own = F.element_at(F.col("_pd"), (F.col("_cell") + 1).cast("int"))
-    cand = q.select(
-        "_g", "_q", "_v", "_cat", "_cell",
-        F.posexplode(F.col("_pd")).alias("_j", "_dj"), own.alias("_own"), r.alias("_rad"),
-    ).where((F.col("_j") != F.col("_cell")) & ((F.col("_dj") - F.col("_own")) / 2 <= F.col("_rad")))
-    probes = cand.select("_g", F.col("_j").cast("long").alias("_cell"), "_q", "_v", "_cat", F.lit(1).alias("_role"))
-    members = cells.where("_ism").select("_g", "_cell", "_q", "_v", "_cat", F.lit(0).alias("_role"))
-
-    def across(pdf):
-        import numpy as np
+        g, leaf = pdf["_g"].iloc[0], pdf["_node"].iloc[0]
+        vectors, cats, keys, asks, ids = _rows_of(pdf)
+        own = _Leaf(vectors, cats, keys, asks, ids)
+        best: list[list[tuple]] = [[] for _ in own.ids]
+        _closest(own, own, best, k, penalty.get(g, 0.0))
+        bound = max((b[k - 1][0] if len(b) >= k else np.inf for b in best), default=-1.0)
+        step = max(1, PACKET_BYTES // (8 * max(1, vectors.shape[1])))
+        out = []
+        for at in range(0, len(pdf), step):
+            part = slice(at, at + step)
+            out.append((g, leaf, bound, vectors[part].astype("<f8").tobytes(), vectors.shape[1], [list(c) for c in cats[part]], [list(x) for x in keys[part]],
+                        list(asks[part]), [int(i[0]) for i in ids[part]], [int(i[1]) for i in ids[part]]))
+        return pd.DataFrame(out, columns=["_g", "_leaf", "_bound", "_bytes", "_dim", "_cats", "_allkeys", "_asks", "_h1s", "_h2s"])
+
+    return run
+
+
+_PACKET = (
+    "_g string, _leaf string, _bound double, _bytes binary, _dim int, _cats array<array<string>>, _allkeys array<array<string>>, "
+    "_asks array<boolean>, _h1s array<long>, _h2s array<long>"
+)
+
+
+def _unpack(packets: list) -> _Leaf:
+    import numpy as np
+
+    vectors = np.concatenate([np.frombuffer(p["_bytes"], "<f8").reshape(-1, p["_dim"]) for p in packets])
+    cats = np.array([list(c) for p in packets for c in p["_cats"]], dtype=object).reshape(len(vectors), -1)
+    keys = [list(x) for p in packets for x in p["_allkeys"]]
+    asks = [a for p in packets for a in p["_asks"]]
+    ids = [i for p in packets for i in zip(p["_h1s"], p["_h2s"])]
+    return _Leaf(vectors, cats, keys, asks, ids)
+
+
+def _search(k: int, penalty: dict[str, float]):
+    """Per asking point its k best; a leaf's own packets come first, then other leaves by rising bound."""
+
+    def run(batches):
         import pandas as pd
 
-        g = pdf["_g"].iloc[0]
-        qs, ms = pdf[pdf["_role"] == 1], pdf[pdf["_role"] == 0]
-        if qs.empty or ms.empty:
-            return pd.DataFrame(columns=["_g", "_q", "_nk", "_dist"])
-        mv = np.array(ms["_v"].tolist(), dtype=float)
-        mc = np.array(ms["_cat"].tolist(), dtype=object).reshape(len(ms), -1)
-        mk = ms["_q"].to_numpy(dtype=object)
-        qv = np.array(qs["_v"].tolist(), dtype=float)
-        qc = np.array(qs["_cat"].tolist(), dtype=object).reshape(len(qs), -1)
-        qk = qs["_q"].to_numpy(dtype=object)
-        rows = []
-        for s in range(0, len(qs), 512):
-            rows += topk(qv[s:s + 512], qc[s:s + 512], qk[s:s + 512], mv, mc, mk, g, True)
-        return pd.DataFrame([(g, a, b, c) for a, b, c in rows], columns=["_g", "_q", "_nk", "_dist"])
-
-    outer = probes.unionByName(members).groupBy("_g", "_cell").applyInPandas(across, NN_SCHEMA)
-    allc = inner.unionByName(outer)
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("_g", "_q").orderBy("_dist", "_nk")
-    return (
-        allc.withColumn("nn_rank", F.row_number().over(w)).where(F.col("nn_rank") <= k)
-        .select(F.col("_g").alias("group"), F.col("_q").alias("key"), F.col("_nk").alias("nn_key"),
-                F.col("_dist").alias("distance"), "nn_rank")
+        state = {"asker": None, "own": None, "other": None, "packets": [], "best": None}
+
+        def take():
+            """Use the packets of one leaf."""
+            if not state["packets"]:
+                return
+            leaf, pen = _unpack(state["packets"]), penalty.get(state["asker"][0], 0.0)
+            if state["own"] is None:
+                state["own"], state["best"] = leaf, [[] for _ in leaf.ids]
+            if len(leaf.m):
+                _closest(state["own"], leaf, state["best"], k, pen)
+            state["packets"] = []
+
+        def result():
+            take()
+            if state["own"] is None or not state["own"].ids:
+                return None
+            g = state["asker"][0]
+            rows = [(g, a, b, [x[1] for x in best], [x[0] for x in best]) for (a, b), best in zip(state["own"].ids, state["best"])]
+            return pd.DataFrame(rows, columns=["_g", "_h1", "_h2", "_nk", "_nd"])
+
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                asker = (row["_g"], row["_asker"])
+                if asker != state["asker"]:
+                    done = result() if state["asker"] else None
+                    if done is not None:
+                        yield done
+                    state |= {"asker": asker, "own": None, "other": row["_leaf"], "packets": [], "best": None}
+                elif row["_leaf"] != state["other"]:
+                    take()
+                    state["other"] = row["_leaf"]
+                state["packets"].append(row)
+        done = result() if state["asker"] else None
+        if done is not None:
+            yield done
+
+    return run
+
+
+def leaf_pairs(leaves: DataFrame, nodes: DataFrame, depth: int, penalty: dict[str, float], k: int) -> DataFrame:
+    """(_g, _asker, _leaf, _far): for each asking leaf the other leaves that may hold closer points.
+
+    ``leaves`` has (_g, _leaf, _bound); all leaves descend the tree together.
+    """
+    pen = _penalty_of(penalty)
+    ends = leaves.join(nodes, (leaves["_leaf"] == nodes["_node"]) & (leaves["_g"] == nodes["_g"])).select(
+        leaves["_g"], "_leaf", "_bound", F.col("c_v").alias("q_v"), F.col("c_cat").alias("q_cat"), F.col("_rq").alias("q_r")
+    )
+    asking = ends.where("q_r IS NOT NULL")
+    # too few members in the leaf: all of an ancestor's members lie within the sum of its radii
+    above = asking.where(F.col("_bound") == float("inf")).select(
+        "_g", "_leaf", F.explode(F.expr("transform(sequence(1, length(_leaf) div 2), i -> substring(_leaf, 1, 2 * i))")).alias("_node")
+    )
+    reach = above.join(nodes.where(F.col("_members") >= k), ["_g", "_node"]).groupBy("_g", "_leaf").agg(F.min(F.col("_rq") + F.col("_rm")).alias("_reach"))
+    asking = asking.join(reach, ["_g", "_leaf"], "left").withColumn("_bound", F.least("_bound", F.coalesce("_reach", F.lit(float("inf"))))).drop("_reach")
+    asking = asking.withColumnRenamed("_leaf", "_asker")
+    final = leaves.select("_g", F.col("_leaf").alias("_node"), F.lit(True).alias("_end"))
+    nodes = nodes.where(F.col("_rm").isNotNull()).join(final, ["_g", "_node"], "left")
+    front, found = asking.withColumn("_parent", F.lit("")), None
+    for level in range(1, depth + 1):
+        opened = front.join(nodes.where(F.col("_level") == level), ["_g", "_parent"]).withColumn("_pen", pen)
+        far = F.expr(_apart("q", "c")) * (1 - _SLACK) - F.col("q_r") - F.col("_rm")
+        kept = written(opened.withColumn("_far", far).where(F.col("_far") <= F.col("_bound") * (1 + _SLACK)), "knn-front")
+        hits = kept.where("_end AND _node <> _asker").select("_g", "_asker", F.col("_node").alias("_leaf"), "_far")
+        found = hits if found is None else found.unionByName(hits)
+        front = kept.where("_end IS NULL").select(*asking.columns, F.col("_node").alias("_parent"))
+    return written(found, "knn-pairs")
+
+
+def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: int = 42,
+                      nominal: list[str] | None = None, nominal_penalty: dict[str, float] | None = None,
+                      query=None, member=None) -> DataFrame:
+    """(group, key, neighbour key, distance, rank) for the k nearest *other* rows of the same group.
+
+    ``query`` / ``member`` (boolean columns, default all rows) restrict which
+    rows ask for neighbours and which rows may be neighbours (k-NN scoring:
+    queries = rows to score, members = training rows).
+    """
+    nominal, penalty = list(nominal or []), {g: float(p) for g, p in (nominal_penalty or {}).items()}
+    cat = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in nominal]) if nominal else F.array().cast("array<string>")
+    base = _vector(df, features).select(
+        stratum_col(group).alias("_g"), F.col(key).cast("string").alias("_q"), "_v", cat.alias("_cat"),
+        (query if query is not None else F.lit(True)).alias("_isq"), (member if member is not None else F.lit(True)).alias("_ism"),
+    )
+    base = base.where(F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x)))
+    base = written(base.withColumn("_h1", F.xxhash64(F.lit(1), "_v", "_cat")).withColumn("_h2", F.xxhash64(F.lit(2), "_v", "_cat")), "knn-rows")
+    wanted = k + 1  # a row may find itself
+    points, nodes, depth = grow(written(fold_points(base, k), "knn-points"), penalty, seed)
+    packets = points.groupBy("_g", "_node").applyInPandas(_pack(wanted, penalty), _PACKET)
+    own = [F.col("_leaf").alias("_asker"), F.lit(float("-inf")).alias("_far")]
+    if nodes is None:
+        stream = packets.select("*", *own)
+    else:
+        packets = written(packets, "knn-packets")
+        leaves = packets.groupBy("_g", "_leaf").agg(F.first("_bound").alias("_bound"))
+        pairs = leaf_pairs(leaves, nodes, depth, penalty, wanted)
+        sizes = leaves.groupBy("_g").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+        _log.info("k-NN: %d leaves, %d of %d leaf pairs compared", sizes[0], pairs.count(), sizes[1])
+        stream = packets.select("*", *own).unionByName(packets.join(pairs, ["_g", "_leaf"]))
+    dealt = stream.repartition("_g", "_asker").sortWithinPartitions("_g", "_asker", "_far", "_leaf")
+    found = dealt.mapInPandas(_search(wanted, penalty), "_g string, _h1 long, _h2 long, _nk array<string>, _nd array<double>")
+    asked = base.where("_isq").select("_g", "_q", "_h1", "_h2").join(found, ["_g", "_h1", "_h2"])
+    others = F.slice(F.filter(F.arrays_zip("_nk", "_nd"), lambda x: x["_nk"] != F.col("_q")), 1, k)
+    return asked.select("_g", "_q", F.posexplode(others).alias("_i", "_x")).select(
+        F.col("_g").alias("group"), F.col("_q").alias("key"), F.col("_x._nk").alias("nn_key"), F.col("_x._nd").alias("distance"),
+        (F.col("_i") + 1).alias("nn_rank"),
     )

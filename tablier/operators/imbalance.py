@@ -74,23 +74,16 @@ def balanced_weights(counts: dict[str, int]) -> dict[str, float]:
 
 
 def class_weights_frame(df: DataFrame, target: str) -> DataFrame:
-    """H2 as a distributed expression over the (tiny) class-count table."""
+    """H2 over the table of class counts, with its totals as a one-row join."""
     cc = class_counts_frame(df, target)
-    n = F.sum("count").over(_all())
-    k = F.count(F.lit(1)).over(_all())
-    return cc.withColumn("weight", n / (k * F.col("count")))
-
-
-def _all():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy()
+    totals = cc.agg(F.sum("count").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    return cc.crossJoin(F.broadcast(totals)).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("count"))).drop("_n", "_k")
 
 
 def with_weight_column(df: DataFrame, target: str, weight_col: str = "weight") -> DataFrame:
-    """Attach balanced weights for ``weightCol`` (broadcast of a k-row table)."""
+    """Attach balanced weights for ``weightCol`` (Spark broadcasts the table where its size allows)."""
     w = class_weights_frame(df, target).select(F.col("class").alias("_wc"), F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label_col(target) == F.col("_wc")).drop("_wc")
+    return df.join(w, label_col(target) == F.col("_wc")).drop("_wc")
 
 
 def positive_class_weight(counts: dict[str, int]) -> int:

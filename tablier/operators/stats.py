@@ -57,8 +57,8 @@ def cramers_v(df: DataFrame, features: list[str], target: str, bins: int = 10) -
     ct = long.groupBy("x.feature", "x.value", "_y").agg(F.count(F.lit(1)).alias("o"))
     rows_t = ct.groupBy("feature", "value").agg(F.sum("o").alias("R"))
     cols_t = ct.groupBy("feature", "_y").agg(F.sum("o").alias("C"))
-    tot_t = ct.groupBy("feature").agg(F.sum("o").alias("n"))  # features x classes: tiny, broadcast
-    ct = ct.join(rows_t, ["feature", "value"]).join(F.broadcast(cols_t), ["feature", "_y"]).join(F.broadcast(tot_t), "feature")
+    tot_t = ct.groupBy("feature").agg(F.sum("o").alias("n"))  # Spark broadcasts these where their size allows
+    ct = ct.join(rows_t, ["feature", "value"]).join(cols_t, ["feature", "_y"]).join(tot_t, "feature")
     per = ct.groupBy("feature").agg(
         (F.first("n") * (F.sum(F.col("o") * F.col("o") / (F.col("R") * F.col("C"))) - 1)).alias("chi2"),
         F.first("n").alias("n"),
@@ -77,19 +77,51 @@ def cramers_v(df: DataFrame, features: list[str], target: str, bins: int = 10) -
 # ------------------------------------------------------------------ VIF
 
 
+GRAM_SLOTS = 32  # tasks that merge the sums of the input tasks before the last one
+
+
 def gram_matrix(df: DataFrame, columns: list[str], intercept: bool = False) -> np.ndarray:
-    """X'X in one aggregate (p(p+1)/2 sums); optional intercept column."""
-    cols = [F.col(c).cast("double") for c in columns]
-    if intercept:
-        cols = [F.lit(1.0)] + cols
-    p = len(cols)
-    aggs = [F.sum(cols[i] * cols[j]).alias(f"g_{i}_{j}") for i in range(p) for j in range(i, p)]
-    r = df.agg(*aggs).collect()[0]
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
-    return g
+    """X'X; optional intercept column first. Missing values count as 0 in the products.
+
+    Every task sums its own p x p products block by block; the sums are merged
+    in a tree of two levels, each task holding one p x p matrix. One job,
+    whatever the number of columns.
+    """
+    p = len(columns) + int(intercept)
+
+    def products(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        total = np.zeros((p, p))
+        for pdf in batches:
+            known = np.array(pdf["_known"].tolist(), bool).reshape(len(pdf), len(columns))
+            x = np.where(known, pdf.drop(columns="_known").to_numpy(float), 0.0)
+            if intercept:
+                x = np.column_stack([np.ones(len(x)), x])
+            total += x.T @ x
+        slot = TaskContext.get().partitionId() % GRAM_SLOTS
+        yield pd.DataFrame({"slot": slot, "i": range(p), "sums": list(total)})
+
+    def merged(batches):
+        import numpy as np
+        import pandas as pd
+
+        total = np.zeros((p, p))
+        for pdf in batches:
+            for i, sums in zip(pdf["i"], pdf["sums"]):
+                total[i] += sums
+        yield pd.DataFrame({"slot": 0, "i": range(p), "sums": list(total)})
+
+    schema = "slot int, i int, sums array<double>"
+    known = F.array(*[F.col(f"`{c}`").isNotNull() for c in columns]).alias("_known")
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)], known)
+    sums = rows.mapInPandas(products, schema).repartition(GRAM_SLOTS, "slot").mapInPandas(merged, schema)
+    out = np.zeros((p, p))
+    for r in sums.coalesce(1).mapInPandas(merged, schema).collect():
+        out[r["i"]] = r["sums"]
+    return out
 
 
 def vif(df: DataFrame, columns: list[str], intercept: bool = False) -> list[tuple[str, float]]:

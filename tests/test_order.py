@@ -147,3 +147,19 @@ def test_medians_of_many_columns_take_as_many_jobs_as_of_one(spark, monkeypatch)
     assert jobs[0] == jobs[1]
     assert Q.order_statistics(df, "normal", [1, 17, n]) == {k: np.sort(data["normal"])[k - 1] for k in (1, 17, n)}
     assert Q.most_frequent_values(df, ["flag", "heavy", "none"]) == {"flag": float(np.bincount(data["flag"].astype(int)).argmax()), "heavy": 7.0, "none": None}
+
+
+def test_gram_matrix_of_500_columns_is_one_job(spark):
+    import numpy as np
+
+    from tablier.operators.stats import gram_matrix
+
+    x = np.random.default_rng(1).normal(size=(40, 500))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], [f"c{i}" for i in range(500)]).repartition(5)
+    spark.sparkContext.setJobGroup("gram", "count jobs")
+    got = gram_matrix(df, df.columns)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("gram")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got, x.T @ x) and len(jobs) <= 3  # the shuffle stages of one query
+    gaps = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
+    assert gram_matrix(gaps, ["a", "b"], intercept=True).tolist() == [[2.0, 3.0, 3.0], [3.0, 5.0, 6.0], [3.0, 6.0, 9.0]]

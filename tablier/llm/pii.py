@@ -2,17 +2,28 @@
 
 *Base rules* (email, ip, card, phone; the patterns and checks below are fixed
 values) always count. *Generators* propose more candidates with high recall:
-windows of whole number groups inside digit runs that are too long for one card,
-number prefixes of over-long phone runs, every dotted or digit run that failed
-its check, and the address characters around an @ (Latin letters with accents
-too, at most 64 before and 253 after it). Format and context features go to gradient-boosted trees,
-written in numpy and fitted on a bounded sample (``SAMPLE`` candidates in the order
-of a hash of document and offset, so no document fills it alone): base spans are positive; failed runs, spans around an
-@ that are no address by ``_ADDRESS`` and shifted windows of base spans are
-negative. A per-kind threshold is calibrated on a held-back part so that
-accepted candidates keep ``PRECISION``; without both classes of the kind in
-that part nothing of it is added. Accepted
-candidates that touch no base span and no better candidate are added.
+windows of whole number groups in every digit field (digits with up to two
+separators between them, a ``+`` or not), as phone from 7 digits, as card from
+13, as ip where four groups are parted by dots, brackets or blanks (so inside
+runs that failed their check too); and the address characters around an @ or a
+written ``[at]`` (Latin letters with accents too, at most 64 before and 253
+after it). Format and context features go to gradient-boosted trees, written in numpy.
+
+The trees do not learn from the base checks that they are to go beyond.
+Positives are the base spans and *variants* of them in their own context, which
+lost the mark that the base rule needs: phones without ``+`` or country code or
+with other separators, cards with dots, slashes or 13 to 15 digits, ips with
+bracketed or spaced dots, addresses with ``[at]`` and
+``[dot]``. Negatives are candidates that touch no base span (other numbers of
+the corpus), windows that cut a base span or take it for another kind, variants
+with a wrong check digit or part, and dates, amounts and plain numbers written
+in place of base spans. They are fitted on a bounded sample (``SAMPLE``
+candidates in the order of a hash of document and offset, so no document fills
+it alone). A per-kind threshold is calibrated on a held-back part so that
+accepted candidates keep ``PRECISION``; without both classes of the kind in that
+part nothing of it is added. Accepted candidates that touch no base span and no
+better candidate are added; equal scores go to the smaller start, then to the
+longer span, then to the kind listed first.
 
 Null and empty texts have no spans: counts 0, the digest of the empty string,
 empty ``spans``. Offsets are code points, end exclusive. Repeated rows are kept.
@@ -24,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,10 +67,25 @@ _LABEL = f"[{_ALNUM}]++(?:-++[{_ALNUM}]++)*+"
 _ADDRESS = re.compile(rf"[{_ATOM}]++(?:\.[{_ATOM}]++)*+@(?:{_LABEL}\.)++(?:[^\W\d_]{{2,}}+|xn--[A-Za-z0-9-]++)")
 _BEFORE_AT, _AFTER_AT = re.compile(rf"[{_ATOM}.]*\Z"), re.compile(rf"[{_ALNUM}.-]*")
 LOCAL_CHARS, HOST_CHARS = 64, 253
+# Digits with up to two separators between them, dots perhaps in brackets; linear, entered at its first digit alone.
+_FIELD = re.compile(r"(?<![0-9])[0-9]++(?:(?:[ ().\-/]{1,2}|[\[(]\.[\])]| \. )[0-9]++)*+")
+_AT_WORD = re.compile(r" ?[\[(] ?at ?[\])] ?", re.I)
+_WORD_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]++)*+", re.I)
+# Shapes of phones and cards, and of numbers that are neither; words that announce a kind.
+PHONE_SHAPES = ("(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "(0##) #######", "0## ### ####", "0###/######", "00## ### #######")
+CARD_SHAPES = ("################", "####.####.####.####", "####/####/####/####", "####  ####  ####  ####", "#### ###### #####", "####-######-#####",
+               "###############", "#### ###### ####", "#############")
+OTHER_SHAPES = ("#######", "########", "##########", "####-##-##", "##.##.####", "##/##/####", "#.###.###", "## ### ###", "####.####", "#######.##", "####-####", "##-##-####")
+CONTEXT_WORDS = {
+    "email": frozenset("mail email contact kontakt correo courriel".split()),
+    "ip": frozenset("ip host server address from adresse".split()),
+    "card": frozenset("card visa mastercard amex credit carte karte tarjeta".split()),
+    "phone": frozenset("phone tel call fax mobile cell telefon téléphone teléfono móvil ruf".split()),
+}
 #: Candidates that the trees are fitted on, and documents they come from, at most.
-SAMPLE, SAMPLE_DOCS = 20_000, 20_000
+SAMPLE, SAMPLE_DOCS = 40_000, 20_000
 PRECISION = 0.995
-TREES, DEPTH, BINS, RATE = 40, 3, 16, 0.2
+TREES, DEPTH, BINS, RATE = 80, 5, 24, 0.2
 
 Span = tuple[str, int, int]
 
@@ -114,37 +141,50 @@ def base_and_runs(text: str) -> tuple[list[Span], list[Span]]:
     return base, failed
 
 
-def generate(text: str, base: list[Span], failed: list[Span]) -> list[Span]:
-    """Overlapping candidates inside failed runs, whole digit groups only."""
+def _fields(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Digit fields: their text and groups."""
+    for m in _FIELD.finditer(text):
+        if m.end() - m.start() >= 7:
+            yield m.group(), [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m.group())]
+
+
+def numbers(text: str) -> list[Span]:
+    """Windows of whole groups of the digit fields, by the kinds that they could be."""
     out = []
-    for kind, a, b in failed:
-        run = text[a:b]
-        if kind == "ip":
-            out.append((kind, a, b))
-            continue
-        groups = [(a + m.start(), a + m.end()) for m in _GROUP.finditer(run)]
-        if kind == "card":
-            if sum(e - s for s, e in groups) < 12:
-                continue
-            for i in range(len(groups)):
-                size = 0
-                for j in range(i, len(groups)):
-                    size += groups[j][1] - groups[j][0]
-                    if size > 19:
-                        break
-                    if size >= 13:
-                        out.append((kind, groups[i][0], groups[j][1]))
-        else:
+    for field_text, groups in _fields(text):
+        dotted = "." in field_text
+        for i, (a, _) in enumerate(groups):
             size = 0
-            for s, e in groups:
-                size += e - s
-                if size > 15:
+            for j in range(i, min(len(groups), i + 8)):
+                b = groups[j][1]
+                size += b - groups[j][0]
+                if size > 19:
                     break
-                if size >= 8:
-                    out.append((kind, a, e))
-    out += addresses(text)
+                if dotted and j == i + 3 and max(e - s for s, e in groups[i : j + 1]) <= 3:
+                    out.append(("ip", a, b))
+                if size >= 13:
+                    out.append(("card", a, b))
+                if 7 <= size <= 15:
+                    start = a - 1 if text[a - 1 : a] in ("+", "(") and a else a
+                    out.append(("phone", start, b))
+    return out
+
+
+def generate(text: str, base: list[Span]) -> list[Span]:
+    """Overlapping candidates of all generators, without the base spans."""
     taken = set(base)
-    return [c for c in out if c not in taken]
+    return [c for c in dict.fromkeys([*numbers(text), *addresses(text), *written_addresses(text)]) if c not in taken]
+
+
+def written_addresses(text: str) -> list[Span]:
+    """Local part, ``[at]`` and a host with dots or ``[dot]``, as long as an address can be."""
+    out = []
+    for m in _AT_WORD.finditer(text):
+        left = re.search(r"[A-Za-z0-9._%+-]*\Z", text[max(0, m.start() - LOCAL_CHARS) : m.start()]).group()
+        right = _WORD_HOST.match(text, m.end(), m.end() + HOST_CHARS)
+        if left and right:
+            out.append(("email", m.start() - len(left), right.end()))
+    return out
 
 
 def addresses(text: str) -> list[Span]:
@@ -172,16 +212,65 @@ def shifted(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
+def _luhn_digit(digits: str) -> str:
+    return next(c for c in "0123456789" if luhn(digits + c))
+
+
+def _shaped(digits: str, shape: str) -> str:
+    """``shape`` with each # replaced by the next digit (over again when they run out)."""
+    out, i = [], 0
+    for c in shape:
+        if c == "#":
+            c, i = digits[i % len(digits)], i + 1
+        out.append(c)
+    return "".join(out)
+
+
+def variants(kind: str, s: str) -> list[tuple[str, str, int]]:
+    """(kind, text, label) to stand where a base span stands: what it loses is what the base rule asks for."""
+    d = _digits(s) or "1234567890"
+    if kind == "phone":
+        bare = re.sub(r"^[0-9]{1,3}[ .(-]*\(?", lambda m: "(" if "(" in m.group() else "", s[1:])
+        out = [("phone", s[1:], 1)] + [("phone", _shaped(d[::-1], x), 1) for x in PHONE_SHAPES]
+        out += [("phone", bare, 1)] if 7 <= len(_digits(bare)) <= 15 else []
+        return out + [("phone", _shaped(d, x), 0) for x in OTHER_SHAPES]
+    if kind == "card":
+        out = []
+        for shape in CARD_SHAPES:
+            n = shape.count("#")
+            body = (d * 2)[: n - 1]
+            right = _luhn_digit(body)
+            out.append(("card", _shaped(body + right, shape), 1))
+            out.append(("card", _shaped(body + str((int(right) + 1 + n % 8) % 10), shape), 0))
+        return out + [("card", _shaped(d + "7", x), 0) for x in ("#############", "####-##-## ##:##:##", "## ### ### ### ###")]
+    if kind == "ip":
+        parts = s.split(".")
+        out = [("ip", x.join(parts), 1) for x in ("[.]", "(.)", " . ")]
+        wrong = [str(256 + int(p[-3:]) % 700) if i == int(d[-1]) % 4 else p for i, p in enumerate(parts)]
+        return out + [("ip", x.join(wrong), 0) for x in (".", "[.]", " . ")] + [("ip", _shaped(d, "##.##.##.##"), 0), ("ip", _shaped(d, "#.#.#.#"), 0)]
+    local, _, host = s.rpartition("@")
+    out = [("email", local + at + host.replace(".", dot), 1) for at, dot in (("[at]", "."), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "))]
+    plain = [re.sub(r"^[.-]+|[.-]+$|(?<=\.)\.+", "", re.sub("[0-9]+", "", part)) for part in (local, host)]
+    if plain[0] and "." in plain[1]:
+        for accents in (str.maketrans({}), str.maketrans("aeou", "áéöü")):
+            out.append(("email", f"{plain[0].translate(accents)}@{plain[1]}", 1))
+        out.append(("email", f"{plain[0]}@{plain[1].partition('.')[0]}", 0))
+    return out + [("email", f"{local}[at]{host.partition('.')[0]}", 0), ("email", f"{local} (at) {host.partition('.')[0]}", 0)]
+
+
 def describe(text: str, span: Span) -> list[float]:
     """Format and context features of a candidate."""
     kind, a, b = span
     s = text[a:b]
     d = _digits(s)
     before, after = text[max(0, a - 1) : a], text[b : b + 1]
-    near = text[max(0, a - 24) : a] + text[b : b + 24]
-    parts = s.split(".")
-    groups = [len(g) for g in _GROUP.findall(s)]
+    left, right = text[max(0, a - 24) : a], text[b : b + 24]
+    near = left + right
+    parts = [p for p in _GROUP.findall(s)]
+    groups = [len(g) for g in parts]
     host = s.rpartition("@")[2]
+    marks = "".join(c for c in s if not c.isalnum())
+    words = set(re.findall(r"[^\W\d_]+", left.lower()))
     return [
         KINDS.index(kind),
         len(s),
@@ -190,19 +279,31 @@ def describe(text: str, span: Span) -> list[float]:
         len(groups),
         max(groups, default=0),
         min(groups, default=0),
+        groups[0] if groups else 0,
+        groups[-1] if groups else 0,
         s.count(" "),
         s.count("-"),
         s.count("."),
+        s.count("/"),
         s.count("(") + s.count(")"),
+        s.count("["),
+        len(set(marks)),
         float(s.startswith("+")),
-        max((int(p[:6]) for p in parts if p.isascii() and p.isdigit()), default=-1),
+        float(s.startswith("(")),
+        max((int(p[:6]) for p in parts), default=-1),
+        sum(len(p) > 1 and p[0] == "0" for p in parts),
+        float(len(parts) == 4 and all(int(p[:6]) <= 255 for p in parts)),
         float(bool(_ADDRESS.fullmatch(s))),
+        float(bool(_AT_WORD.search(s)) and bool(re.search(r"\.[A-Za-z]{2,}\Z|[\[(]dot[\])] ?[A-Za-z]{2,}\Z", s, re.I))),
         len(host) if "@" in s else 0,
         float("." in host) if "@" in s else 0.0,
         float(before.isalnum()),
+        float(before in (".", "-", "/", "+", "(")),
         float(after.isalnum()),
+        float(after in ("-", "/", ")")) + 2 * float(after == "." and right[1:2].isdigit()),
         float(before in ("", " ", "\n")),
         float(after in ("", " ", "\n", ",", ".", ";")),
+        float(bool(words & CONTEXT_WORDS[kind])),
         sum(c.isdigit() for c in near) / 48,
         sum(c.isalpha() for c in near) / 48,
         sum(not c.isalnum() and not c.isspace() for c in near) / 48,
@@ -277,21 +378,39 @@ class Trees:
             self.thresholds[kind] = float(values[last[-1]]) if len(last) else 2.0
 
 
+def examples_of(text: str) -> Iterator[tuple[int, list[float], int]]:
+    """(offset, features, label) of a text's examples."""
+    base, _ = base_and_runs(text)
+    inside = sorted((a, b) for _, a, b in base)
+    for s in base:
+        yield s[1], describe(text, s), 1
+    for s in shifted(text, base):
+        yield s[1], describe(text, s), 0
+    ends = [b for _, b in inside]
+    for s in generate(text, base):
+        i = bisect_right(ends, s[1])
+        touches = i < len(inside) and inside[i][0] < s[2]
+        address = s[0] == "email" and (_ADDRESS.fullmatch(text, s[1], s[2]) or "@" not in text[s[1] : s[2]])
+        if not address or touches:
+            yield s[1], describe(text, s), 0
+    for kind, a, b in base:
+        left, right = text[max(0, a - 32) : a], text[b : b + 32]
+        for new_kind, made, label in variants(kind, text[a:b]):
+            yield a, describe(left + made + right, (new_kind, len(left), len(left) + len(made))), label
+            other = {"card": "phone", "phone": "card"}.get(new_kind)
+            if label and other and 13 <= len(_digits(made)) <= 15:
+                yield a, describe(left + made + right, (other, len(left), len(left) + len(made))), 0
+
+
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns, rows = ["doc_id", "start", "x", "y"], []
     for pdf in batches:
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            base, failed = base_and_runs(text)
-            known = set(base)
-            ambiguous = [f for f in failed if f[0] == "ip" or len(_digits(text[f[1] : f[2]])) <= 19]
-            wrong = [s for s in ambiguous if s[2] - s[1] >= 7] + shifted(text, base)
-            wrong += [s for s in addresses(text) if s not in known and not _ADDRESS.fullmatch(text, s[1], s[2])]
-            for y, spans in ((1, base), (0, wrong)):
-                for s in spans:
-                    rows.append((doc_id, s[1], describe(text, s), y))
-                    if len(rows) >= 5000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+            for start, x, y in examples_of(text):
+                rows.append((doc_id, start, x, y))
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
     yield pd.DataFrame(rows, columns=columns)
 
 
@@ -300,8 +419,7 @@ def fit(docs: DataFrame) -> Trees | None:
     texts = _texts(docs).where("text RLIKE '[0-9@]'")
     picked = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     rows = (
-        texts.join(F.broadcast(picked), "doc_id", "left_semi")
-        .limit(SAMPLE_DOCS)
+        texts.join(F.broadcast(picked.distinct()), "doc_id", "left_semi")
         .mapInPandas(returning_memory(_examples), "doc_id long, start long, x array<double>, y int")
         .withColumn("h", F.xxhash64("doc_id", "start"))
         .orderBy("h", "doc_id", "start", "x", "y")
@@ -319,15 +437,15 @@ def fit(docs: DataFrame) -> Trees | None:
 
 def find(text: str, model: Trees | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind and start."""
-    base, failed = base_and_runs(text)
+    base, _ = base_and_runs(text)
     added: list[Span] = []
-    candidates = generate(text, base, failed) if model is not None else []
+    candidates = generate(text, base) if model is not None else []
     if candidates:
         s = model.scores(np.array([describe(text, c) for c in candidates]))
         taken = bytearray(len(text))
         for _, a, b in base:
             taken[a:b] = b"\1" * (b - a)
-        for i in sorted(range(len(candidates)), key=lambda i: (-s[i], candidates[i][1], -candidates[i][2])):
+        for i in sorted(range(len(candidates)), key=lambda i: (-s[i], candidates[i][1], -candidates[i][2], KINDS.index(candidates[i][0]))):
             kind, a, b = candidates[i]
             if s[i] >= model.thresholds[kind] and taken.find(1, a, b) < 0:
                 added.append(candidates[i])

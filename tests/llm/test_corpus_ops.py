@@ -205,6 +205,29 @@ def test_email_candidates_are_bounded_and_need_negatives(spark, make_docs):
     assert one_class.thresholds["email"] == 2
 
 
+PLANTED = {
+    "phone": ["call (030) 1234567 now", "tel 555-123-4567 please", "ring 0171 2345678 today"],
+    "card": ["my card 4111.1111.1111.1111 here", "a card 3782 822463 10005 here"],
+    "ip": ["host 192[.]168[.]1[.]77 down", "server 10 . 20 . 30 . 40 down"],
+    "email": ["write bob[at]example.com now", "write bob [at] example [dot] com now", "mail rené@example.com, please"],
+}
+OTHER = ["in 2024-01-15 we had 1234567 and 12.05.2021 of 1.234.567 at 12345678", "number 1234567890123456 x", "card 4111.1111.1111.1112 here", "a@b [at] c"]
+
+
+def test_trees_add_planted_spans_of_each_kind(spark, make_docs, monkeypatch):
+    corpus = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '[0-9@]'").select("text").collect()]
+    planted = [(k, t) for k, texts in PLANTED.items() for t in texts]
+    docs = make_docs([t for _, t in planted] + OTHER + corpus)
+    found = {r.doc_id: r for r in pii.personal_data(docs).where(f"doc_id < {len(planted) + len(OTHER)}").collect()}
+    for i, (kind, text) in enumerate(planted):
+        r = found[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [0, 0, 0, 0]
+        assert [x.split(":")[0] for x in r.spans.split(",")] == [kind], text
+    assert [found[len(planted) + i].spans for i in range(len(OTHER))] == [""] * len(OTHER)
+    monkeypatch.setattr(pii, "fit", lambda docs: None)  # without the trees nothing is added
+    assert {r.spans for r in pii.personal_data(make_docs([t for _, t in planted])).collect()} == {""}
+
+
 def test_one_long_document_does_not_fill_the_fitting_sample(spark, make_docs, monkeypatch):
     monkeypatch.setattr(pii, "SAMPLE", 400)
     ids = [i for i in range(800) if i % 4]

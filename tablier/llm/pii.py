@@ -17,7 +17,10 @@ bracketed or spaced dots, addresses with ``[at]`` and
 ``[dot]``. Negatives are candidates that touch no base span (other numbers of
 the corpus), windows that cut a base span or take it for another kind, variants
 with a wrong check digit or part, and dates, amounts and plain numbers written
-in place of base spans. They are fitted on a bounded sample (``SAMPLE``
+in place of base spans. The other numbers of the corpus may hold what the trees
+are to find: those that trees fitted without them are sure of (``SURE``) are left
+out of the fit, unless they are more than ``DOUBT`` of their kind's, which then is
+a common format and no personal data. The trees are fitted on a bounded sample (``SAMPLE``
 candidates in the order of a hash of document and offset, so no document fills
 it alone). A per-kind threshold is calibrated on a held-back part so that
 accepted candidates keep ``PRECISION``; without both classes of the kind in that
@@ -85,6 +88,8 @@ CONTEXT_WORDS = {
 #: Candidates that the trees are fitted on, and documents they come from, at most.
 SAMPLE, SAMPLE_DOCS = 40_000, 20_000
 PRECISION = 0.995
+#: Candidates without a label that score so high are set aside while they are at most this share of their kind's.
+SURE, DOUBT = 0.8, 0.02
 TREES, DEPTH, BINS, RATE = 80, 5, 24, 0.2
 
 Span = tuple[str, int, int]
@@ -375,11 +380,15 @@ class Trees:
             good = np.cumsum(hit) >= PRECISION * np.arange(1, len(hit) + 1)
             good &= values >= 0.5
             last = np.flatnonzero(good) if len(set(hit)) == 2 else []
-            self.thresholds[kind] = float(values[last[-1]]) if len(last) else 2.0
+            if len(last):  # half way to the best candidate that is left out
+                below = values[last[-1] + 1] if last[-1] + 1 < len(values) else 0.0
+                self.thresholds[kind] = max(0.5, float(values[last[-1]] + below) / 2)
+            else:
+                self.thresholds[kind] = 2.0
 
 
 def examples_of(text: str) -> Iterator[tuple[int, list[float], int]]:
-    """(offset, features, label) of a text's examples."""
+    """(offset, features, label) of a text's examples: 1 personal data, 0 not, 2 a candidate without a label."""
     base, _ = base_and_runs(text)
     inside = sorted((a, b) for _, a, b in base)
     for s in base:
@@ -392,7 +401,7 @@ def examples_of(text: str) -> Iterator[tuple[int, list[float], int]]:
         touches = i < len(inside) and inside[i][0] < s[2]
         address = s[0] == "email" and (_ADDRESS.fullmatch(text, s[1], s[2]) or "@" not in text[s[1] : s[2]])
         if not address or touches:
-            yield s[1], describe(text, s), 0
+            yield s[1], describe(text, s), 0 if touches or s[0] == "email" else 2
     for kind, a, b in base:
         left, right = text[max(0, a - 32) : a], text[b : b + 32]
         for new_kind, made, label in variants(kind, text[a:b]):
@@ -414,6 +423,18 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=columns)
 
 
+def doubtful(x: np.ndarray, y: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Unlabelled candidates that trees fitted on the labelled ones are sure of, where they are rare in their kind."""
+    out, known, open_ = np.zeros(len(y), bool), (y < 2) & ~back, y == 2
+    if open_.any() and len(set(y[known])) == 2:
+        sure = open_ & (Trees().fit(x[known], y[known]).scores(x) >= SURE)
+        for i in range(len(KINDS)):
+            kind = open_ & (x[:, 0] == i)
+            if (sure & kind).sum() <= max(DOUBT * kind.sum(), 20):
+                out |= sure & kind
+    return out
+
+
 def fit(docs: DataFrame) -> Trees | None:
     """Trees from the candidates of a bounded sample of documents; None without both classes."""
     texts = _texts(docs).where("text RLIKE '[0-9@]'")
@@ -426,10 +447,12 @@ def fit(docs: DataFrame) -> Trees | None:
         .limit(SAMPLE)
         .collect()
     )
-    if len({r.y for r in rows}) < 2:
+    if 1 not in {r.y for r in rows} or len({r.y for r in rows}) < 2:
         return None
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
     back = np.array([r.h % 4 == 0 for r in rows])
+    keep = ~doubtful(x, y, back)
+    x, y, back = x[keep], (y == 1).astype(float)[keep], back[keep]
     model = Trees().fit(x[~back], y[~back]) if len(set(y[~back])) == 2 else Trees().fit(x, y)
     model.calibrate(x[back], y[back], x[back][:, 0])
     return model

@@ -33,17 +33,58 @@ _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: R
 #: Date of records made from tables that carry none.
 DATE = "2000-01-01T00:00:00Z"
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<!--.*|<(?:script|style)\b.*", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+# Every pattern reads on from where it stands: markup without an end is read once, whatever it holds.
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b[^>]*+>?", re.I)
+_END_OF = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "noscript", "template", "head", "title")}
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*+>?", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*+>?")
+_ANCHOR = re.compile(r"<a\b([^>]*+)>?", re.I)
+_HREF = re.compile(r"\bhref\s*+=", re.I)
+_TITLE = re.compile(r"<title\b[^>]*+>", re.I)
 _BLANKS = re.compile(r" {2,}")
 
 
+def without_hidden(page: str) -> str:
+    """The page with comments, scripts, styles, templates and head replaced by a blank.
+
+    A comment, script or style without an end hides the rest; the other
+    elements without an end are not hidden. Each end is sought at most once in
+    vain, so the scan is linear.
+    """
+    out, at, endless = [], 0, set()
+    while m := _HIDDEN.search(page, at):
+        name = (m.group(1) or "").lower()
+        end = None
+        if not name:
+            close = page.find("-->", m.end())
+            end = close + 3 if close >= 0 else None
+        elif name not in endless:
+            close = _END_OF[name].search(page, m.end())
+            end = close.end() if close else endless.add(name)
+        if end is None and name not in ("", "script", "style"):
+            out.append(page[at : m.end()])
+            at = m.end()
+            continue
+        out += [page[at : m.start()], " "]
+        if end is None:
+            return "".join(out)
+        at = end
+    return "".join([*out, page[at:]])
+
+
+def title_of(page: str) -> str | None:
+    start = _TITLE.search(page)
+    end = _END_OF["title"].search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if end else None
+
+
+def links_in(page: str) -> int:
+    return sum(bool(_HREF.search(m.group(1))) for m in _ANCHOR.finditer(page))
+
+
 def plain_text(page: str) -> str:
     """Visible text, one line per block element, blanks folded."""
-    body = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub(" ", page)))
+    body = _TAG.sub("", _BLOCK.sub("\n", without_hidden(page)))
     body = html.unescape(body)
     for blank in "\t\r\f\v\xa0":
         body = body.replace(blank, " ")
@@ -100,15 +141,15 @@ def derive(data: bytes) -> tuple[bytes, bytes]:
     text = plain_text(page).encode("utf-8", "replace")
     rid, uri, date = head["WARC-Record-ID"], head.get("WARC-Target-URI", ""), head["WARC-Date"]
     source = http.decode("latin-1").split("\r\n")
-    title = _TITLE.search(page)
+    title = title_of(page)
     facts = [f"http-status: {source[0]}"] + [f"http-header: {x}" for x in source[1:]]
     facts += [
         f"payload-digest: {head.get('WARC-Payload-Digest') or digest(payload)}",
         f"payload-length: {len(payload)}",
         f"text-digest: {digest(text)}",
         f"text-length: {len(text)}",
-        f"outlinks: {len(_LINK.findall(page))}",
-        f"title: {' '.join(html.unescape(title.group(1)).split()) if title else ''}",
+        f"outlinks: {links_in(page)}",
+        f"title: {' '.join(html.unescape(title).split()) if title else ''}",
     ]
     fields = ("\r\n".join(facts) + "\r\n").encode("utf-8", "replace")
     link = {"date": date, "WARC_Refers_To": rid, "WARC_Refers_To_Target_URI": uri, "WARC_Refers_To_Date": date}

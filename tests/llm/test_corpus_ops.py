@@ -3,7 +3,10 @@
 import base64
 import gzip
 import hashlib
+import html
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +119,28 @@ def test_warc_derivatives(spark):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+def test_warc_text_title_and_links_against_plain_patterns(spark, sf001):
+    drop = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>|<!--.*|<(?:script|style)\b.*", re.S | re.I)
+    blocks = re.compile(r"</?(?:p|h[1-6]|div|ul|ol|li|nav|article|footer|br|main|section|header|table|tr|td|th)\b[^>]*>", re.I)
+    pages = [r.html for r in spark.read.parquet(f"{sf001}/pages.parquet").collect()]
+    pages += ["<template>a</template>b<template>c", "a<!-- x -->b<!-- c", "<SCRIPT>x</script >y<style>z", "<head>t</head>u<title>v</title>", "", "x"]
+    for page in pages:
+        text = html.unescape(re.sub(r"<[a-zA-Z/!?][^>]*>", "", blocks.sub("\n", drop.sub(" ", page))))
+        want = "\n".join(x for x in (" ".join(line.replace("\xa0", " ").split(" ")).strip() for line in text.split("\n")) if x)
+        assert re.sub(" +", " ", warc.plain_text(page)) == re.sub(" +", " ", want)
+        assert warc.links_in(page) == len(re.findall(r"<a\b[^>]*?\bhref\s*=", page, re.I))
+        title = re.search(r"<title\b[^>]*>(.*?)</title\s*>", page, re.S | re.I)
+        assert warc.title_of(page) == (title.group(1) if title else None)
+
+
+@pytest.mark.parametrize("part", ["<template>", "<title>", "<a ", "<!--", "<script", "<head", "</p", "<a href", "<noscript>x</noscript"])
+def test_warc_of_broken_markup_takes_linear_time(part):
+    before = time.process_time()
+    page = part * (1_000_000 // len(part))
+    warc.plain_text(page), warc.links_in(page), warc.title_of(page)
+    assert time.process_time() - before < 5
+
+
 # ---------------------------------------------------------------- 4
 
 

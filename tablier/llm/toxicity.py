@@ -3,9 +3,10 @@
 Confirmed toxic rows are the positives P, every document is unlabelled text U.
 Features are hashed words and word beginnings (4, 5, 6 bytes), as presence.
 
-1. P's feature counts choose at most ``CANDIDATES`` hash values; their document
-   frequencies are then counted over all documents, and at most
-   ``FEATURES`` with the largest surplus in P (in standard errors) are kept.
+1. Every hash value that ``MIN_POSITIVES`` rows of P hold is counted over all
+   documents (the hash space of ``BUCKET_BITS`` bits bounds their number), and
+   at most ``FEATURES`` with the largest surplus in P (in standard errors) are
+   kept.
 2. A numpy logistic model minimises the class-prior-corrected risk
    pi*R_P(+1) + max(0, R_U(-1) - pi*R_P(-1)); where the second part is negative
    the gradient steps back, which keeps the estimator non-negative. It is
@@ -17,8 +18,9 @@ Features are hashed words and word beginnings (4, 5, 6 bytes), as presence.
    travel to the tasks.
 
 Null and empty texts get the score of a text without features. No training
-positives: the score is the prior for every row. Repeated rows are kept. Rows
-with a null label or doc_id teach nothing; extra columns are not read.
+positives: the score is the prior for every row. Repeated rows are kept. Labels
+that contradict one another count as toxic, repeated ones once. Rows with a null
+label or doc_id teach nothing; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import _LOWER, _powers, mix64, returning_memory, sized_broadcast, text_or_empty
 
 BUCKET_BITS = 22
-CANDIDATES = 20_000
 FEATURES = 1024
 #: A feature needs this many positives, and this surplus in standard errors over its share of all documents.
 MIN_POSITIVES, MIN_SURPLUS = 4, 4.0
@@ -101,7 +102,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.expr(f"crc32(cast({doc_id} AS string)) % 5 = 0")
 
 
-def _count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << BUCKET_BITS, np.int32)
     for pdf in batches:
         for t in pdf["text"]:
@@ -110,13 +111,14 @@ def _count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": at, "n": counts[at].astype(np.int64)})
 
 
-def _count_chosen(buckets: np.ndarray):
+def _count_chosen(buckets):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, counts = _lookup(buckets), np.zeros(len(buckets), np.int64)
+        table, counts = _lookup(buckets.value), np.zeros(len(buckets.value), np.int64)
         for pdf in batches:
             for t in pdf["text"]:
                 counts[_present(t, table)] += 1
-        yield pd.DataFrame({"bucket": buckets, "n": counts})
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": buckets.value[at], "n": counts[at]})
 
     return run
 
@@ -178,34 +180,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id IS NOT NULL AND toxic IS NOT NULL"
-    ).where(~held_out())
+    ).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_all, n_pos = train.agg(F.count("*"), F.sum("toxic")).first()
     if not n_pos:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), float(np.log(1e-3)), 1e-3)
     prior = min(max(n_pos / n_all, 1e-3), 0.999)
     positives = docs.join(sized_broadcast(train.where("toxic = 1").select("doc_id").distinct(), n_pos), "doc_id", "left_semi")
 
-    chosen = (
-        positives.mapInPandas(returning_memory(_count_all), "bucket long, n long")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "bucket")
-        .limit(CANDIDATES)
-        .collect()
-    )
-    if not chosen:
+    def counted(rows: DataFrame, count) -> DataFrame:
+        return rows.mapInPandas(returning_memory(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    # at most 2^BUCKET_BITS pairs of numbers
+    in_p = counted(positives, _count_held).where(F.col("n") >= MIN_POSITIVES).orderBy("bucket").toPandas()
+    if in_p.empty:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))), prior)
-    in_p = {r.bucket: r.n for r in chosen}
-    buckets = np.array(sorted(in_p), np.int64)
-    in_u = {
-        r.bucket: r.n
-        for r in docs.mapInPandas(returning_memory(_count_chosen(buckets)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    }
-    np_, nu = np.array([in_p[b] for b in buckets.tolist()]), np.array([in_u.get(b, 0) for b in buckets.tolist()])
+    buckets, np_ = in_p["bucket"].to_numpy(np.int64), in_p["n"].to_numpy(np.int64)
+    in_u = counted(docs, _count_chosen(docs.sparkSession.sparkContext.broadcast(buckets))).toPandas()
+    nu = np.zeros(len(buckets), np.int64)
+    nu[np.searchsorted(buckets, in_u["bucket"].to_numpy(np.int64))] = in_u["n"].to_numpy(np.int64)
     n_docs = docs.count()
     ru = (np.maximum(nu, np_) + 0.5) / (n_docs + 1)
     expected = ru * n_pos
-    surplus = np.where(np_ >= MIN_POSITIVES, (np_ - expected) / np.sqrt(expected + 1), 0)
+    surplus = (np_ - expected) / np.sqrt(expected + 1)
     surplus[prior * np_ / n_pos < MIN_SHARE * ru] = 0
     top = np.argsort(-surplus, kind="stable")[:FEATURES]
     buckets = np.sort(buckets[top[surplus[top] >= MIN_SURPLUS]])

@@ -57,6 +57,8 @@ SLOT_BYTES = 3 << 20
 MIN_SLOTS = 128
 MARK = 0xFFFFFFFF
 #: Keys by which a set tells whether a pair is made at an earlier key.
+#: Copies of one set from which it counts as common.
+HOT_COPIES = 1_000
 FIRST_KEYS = 8
 
 
@@ -272,12 +274,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     lack = counted.where("kind = 1").groupBy("part").agg(F.max("n").alias("m"), F.sum("lack").alias("lack"), F.sum("batches").alias("batches"))
     passed = lack.where((F.col("m") * F.col("batches") - F.col("lack")) * den >= F.col("m") * num * F.col("batches")).select("part")
     first = F.min(F.struct("doc_id", "version", "part")).alias("r")
-    reps = rows.where("n > 0").groupBy("set_key").agg(first).select("set_key", F.col("r.doc_id").alias("rep"), "r.version", "r.part")
+    reps = materialize(
+        rows.where("n > 0").groupBy("set_key").agg(first, F.count("*").alias("copies")).select("set_key", F.col("r.doc_id").alias("rep"), "r.version", "r.part", "copies"),
+        "simjoin-reps",
+    )
     kept = reps.join(passed, "part").select(F.col("rep").alias("doc_id"), "version")
     kept = materialize(kept, "simjoin-kept")
     n_kept = kept.count()
 
-    members = rows.join(reps.select("set_key", "rep"), "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    # sets with many copies are looked up without a shuffle; rows that need no other lookup are spread by their id
+    common = reps.where(F.col("copies") > HOT_COPIES).select("set_key", F.col("rep").alias("common_rep"))
+    looked = rows.join(sized_broadcast(common, common.count()), "set_key", "left")
+    lone = F.encode(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), "UTF-8")
+    looked = looked.withColumn("set_key", F.when(F.col("common_rep").isNull() & (F.col("n") > 0), F.col("set_key")).otherwise(lone))
+    members = looked.join(reps.where(F.col("copies") <= HOT_COPIES).select("set_key", "rep"), "set_key", "left").select(
+        "doc_id", "n", F.coalesce("common_rep", "rep", "doc_id").alias("rep")
+    )
     if not n_kept:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
 

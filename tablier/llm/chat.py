@@ -13,7 +13,10 @@ the escaped text of assistant turns, without marks.
 
 Null text counts as empty, null role as ``user``. Turns are ordered by turn,
 then role, then text (null turns first); repeated rows stay. Rows without
-conv_id are left out. Extra columns are not read. Reading back streams over
+conv_id are left out. The layout is that of the exact fingerprint, else the known
+one with most paths inside the schema (then the one listed first); columns beyond
+it are not read. Turns are formatted, read back and counted where they are; only
+the running digests of a conversation need its turns in order, and stream over
 sorted rows, so a conversation of any length needs the memory of one turn.
 """
 
@@ -111,7 +114,7 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    """The layout with this fingerprint; else the one with most paths among those the schema contains."""
+    """The layout with this fingerprint; else the one with most paths among those the schema contains, in listed order."""
     paths = field_paths(schema)
     hit = LAYOUTS.get(fingerprint(paths))
     if hit is None:
@@ -159,27 +162,42 @@ def _format(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Formatted turns with the loss mask, in order within sorted partitions of conv_id."""
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
-    return dealt.mapInPandas(_format, "conv_id long, turn long, formatted string, loss_start int, loss_end int")
+    """(conv_id, turn, formatted, loss_start, loss_end): the formatted turns with the loss mask, formatted where they are."""
+    return turns.mapInPandas(_format, "conv_id long, turn long, formatted string, loss_start int, loss_end int")
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        turns = [parse_turn(f) for f in pdf["formatted"]]
+        masked = [unescape(f[a:b]) for f, a, b in zip(pdf["formatted"], pdf["loss_start"], pdf["loss_end"])]
+        yield pd.DataFrame(
+            {
+                "conv_id": pdf["conv_id"],
+                "turn": pdf["turn"],
+                "role": [r for r, _ in turns],
+                "text": [t for _, t in turns],
+                # masked text that is the turn's own does not travel twice
+                "masked": [None if m == t else m for m, (_, t) in zip(masked, turns)],
+                "loss": [len(m) for m in masked],
+                "chars": [len(f) for f in pdf["formatted"]],
+            }
+        )
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, now = [], None
     n = loss = chars = 0
     turns_hash = loss_hash = None
     for pdf in batches:
-        for conv, f, a, b in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_start"], pdf["loss_end"]):
+        for conv, role, text, masked, turn_loss, turn_chars in zip(*(pdf[c].tolist() for c in ("conv_id", "role", "text", "masked", "loss", "chars"))):
             if conv != now:
                 if now is not None:
                     rows.append((now, n, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), chars))
                 now, n, loss, chars = conv, 0, 0, 0
                 turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
-            role, text = parse_turn(f)
-            masked = unescape(f[a:b])
-            n, loss, chars = n + 1, loss + len(masked), chars + len(f)
+            n, loss, chars = n + 1, loss + turn_loss, chars + turn_chars
             turns_hash.update(f"{role}\n{text}\n".encode())
-            loss_hash.update(masked.encode())
+            loss_hash.update((text if masked is None else masked).encode())
         yield pd.DataFrame(rows, columns=_COLUMNS)
         rows = []
     if now is not None:
@@ -190,10 +208,11 @@ _COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation from the formatted turns (sorted as ``format_turns`` leaves them)."""
-    return formatted.select("conv_id", "formatted", "loss_start", "loss_end").mapInPandas(
-        _read_back,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+    """Digests per conversation from the formatted turns alone."""
+    parsed = formatted.mapInPandas(_parse, "conv_id long, turn long, role string, text string, masked string, loss long, chars long")
+    dealt = parsed.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    return dealt.drop("turn").mapInPandas(
+        _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 

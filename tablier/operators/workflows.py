@@ -13,13 +13,14 @@ from . import evaluate as E
 from . import split as S
 from .estimators import fit_model, score
 from .imbalance import with_weight_column
+from .running import written
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "balanced_accuracy", "roc_auc")
 
 
 def metrics_row(scored: DataFrame, label: str = "label", n_classes: int = 0) -> DataFrame:
     """One row of metrics; with ``n_classes`` also ``roc_auc`` (null where a class has no positive or no negative)."""
-    cells = E.confusion(scored.select(F.col(label).cast("int").alias("a"), F.col("prediction").cast("int").alias("p")), "a", "p")
+    cells = E.observed_cells(scored.select(F.col(label).cast("int").alias("a"), F.col("prediction").cast("int").alias("p")), "a", "p")
     row = E.classification_metrics(cells)
     if n_classes < 2:
         return row
@@ -33,18 +34,15 @@ def cross_validate(df: DataFrame, key: str, model: str, k: int = 5, seed: int =
                    features_col: str = "features") -> DataFrame:
     """M1: stratified k-fold (G13) on the given (already balanced) rows; five metrics per fold."""
     S.assert_cv_feasible(df, label, k)
-    folds = S.kfold_stratified(df, key, label, k, seed).cache()
-    try:
-        n_classes = int(df.agg(F.max(label)).collect()[0][0]) + 1
-        out = None
-        for f in range(k):
-            fitted = fit_model(model, folds.where(F.col("fold") != f), label, features_col, seed, n_classes=n_classes)
-            m = metrics_row(score(fitted, folds.where(F.col("fold") == f), features_col), label, n_classes)
-            m = m.withColumn("fold", F.lit(f)).withColumn("model", F.lit(model))
-            out = m if out is None else out.unionByName(m)
-        return out.cache()
-    finally:
-        folds.unpersist()
+    folds = written(S.kfold_stratified(df, key, label, k, seed), "folds")
+    n_classes = int(df.agg(F.max(label)).collect()[0][0]) + 1
+    out = None
+    for f in range(k):
+        fitted = fit_model(model, folds.where(F.col("fold") != f), label, features_col, seed, n_classes=n_classes)
+        m = metrics_row(score(fitted, folds.where(F.col("fold") == f), features_col), label, n_classes)
+        m = m.withColumn("fold", F.lit(f)).withColumn("model", F.lit(model))
+        out = m if out is None else out.unionByName(m)
+    return written(out, "cv")
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -59,8 +57,12 @@ def cv_summary(cv: DataFrame) -> DataFrame:
 
 def group_cv_oof(df: DataFrame, key: str, group: str, model: str, k: int = 5, seed: int = 42, label: str = "label",
                  features_col: str = "features", rebalance=None) -> DataFrame:
-    """M3: stratified group folds (G14), optional per-fold rebalancing, out-of-fold scores."""
-    folds = S.kfold_group(df, label, group, k, seed).cache()
+    """M3: stratified group folds (G14), out-of-fold scores.
+
+    ``rebalance`` turns the training rows of a fold into those to fit on; the
+    rows that are scored are always the input rows, each once.
+    """
+    folds = written(S.kfold_group(df, label, group, k, seed), "folds")
     n_classes = int(df.agg(F.max(label)).collect()[0][0]) + 1
     oof = None
     for f in range(k):
@@ -133,6 +135,26 @@ def learning_curve(df: DataFrame, key: str, group: str, model: str, fractions=(0
     return rows
 
 
+def learning_curve_folds(df: DataFrame, key: str, group: str, model: str, fractions=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), k: int = 3,
+                         seed: int = 42, label: str = "label", min_rare: int = 6, rebalance=None) -> DataFrame:
+    """M8 with the folds kept apart: mean and population deviation of macro-F1 over the folds of each training size."""
+    rows = None
+    for fraction in fractions:
+        sub = written(S.learning_curve_sample(df, group, fraction, seed), "curve-sample")
+        size = sub.groupBy(label).count().agg(F.sum("count"), F.min("count")).first()
+        if not size[0] or size[1] < min_rare or k < 2:
+            continue
+        oof = written(group_cv_oof(sub, key, group, model, k, seed, label, rebalance=rebalance), "curve-oof")
+        for f in range(k):
+            m = metrics_row(oof.where(F.col("fold") == f), label).select("macro_f1", F.lit(fraction).alias("fraction"), F.lit(size[0]).alias("rows"))
+            rows = m if rows is None else rows.unionByName(m)
+    if rows is None:
+        return df.sparkSession.createDataFrame([], "fraction double, rows long, macro_f1_mean double, macro_f1_std double, folds long")
+    return rows.groupBy("fraction", "rows").agg(
+        F.avg("macro_f1").alias("macro_f1_mean"), F.stddev_pop("macro_f1").alias("macro_f1_std"), F.count("macro_f1").alias("folds")
+    )
+
+
 def train_many(train: DataFrame, test: DataFrame, models: list[str], label: str = "label",
                features_col: str = "features", seed: int = 42, class_weights: bool = False,
                params: dict[str, dict] | None = None) -> DataFrame:

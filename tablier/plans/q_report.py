@@ -17,7 +17,7 @@ from ..operators import preprocess as P
 from ..operators import split as S
 from ..session import scratch_path
 from ..sources.tables import ORDERS_CUSTOMER_SQL, orders_customer, table
-from .q_eval import CLASSES, CUT, FEATS
+from .q_eval import CLASSES, COUNTS_SQL, CUT, FEATS
 from .q_split import THREE_WAY_SQL, three_way_orders
 from .q_stats import TE, TR, nb_ctes
 from .registry import register
@@ -51,13 +51,57 @@ def _saved(spark, sf):
 CFG = G.GateConfig(target="o_orderstatus", features=FEATS, key="o_orderkey", selected_models=["nb"])
 
 
-@register("gate_saved_split")
+_NO_ISSUES = """SELECT * FROM (VALUES ('', '', '', '', '')) AS t(level, category, message, suggestion, affected_column) WHERE false"""
+
+
+@register("gate_saved_split", _NO_ISSUES)
 def q_gate_saved_split(spark, sf):
     base, out = _saved(spark, sf)
     return A.run_saved_gate(spark, base, CFG, out, feature_cols=FEATS)
 
 
-@register("preflight_status")
+_AGAIN = "Confirm Data Split & Imbalance again"
+
+
+@register("gate_saved_damaged", THREE_WAY_SQL + f"""
+SELECT 'fatal' AS level, 'artifacts' AS category, message, suggestion, affected_column FROM (VALUES
+ ('Saved imbalance metadata target ''other'' does not match current target ''o_orderstatus''.', '{_AGAIN} for the current target column.', 'other, o_orderstatus'),
+ ('Saved validation artifact(s) are missing: [''validation''].', '{_AGAIN} to recreate all saved arrays.', 'validation'),
+ ('Saved array ''X_balanced training'' contains NaN or infinite values.', 'Clean the selected modeling columns and confirm Data Split & Imbalance again.', 'X_balanced training'),
+ ('Saved array ''y_test'' contains empty or missing target values.', 'Clean the target column and confirm Data Split & Imbalance again.', 'y_test'),
+ ('Balanced training distribution does not match class_distribution_after.csv.', '{_AGAIN} to recreate consistent artifacts.', 'General'),
+ ('Saved class coverage report has an invalid format.', '{_AGAIN} to recreate the coverage report.', 'General')) AS t(message, suggestion, affected_column)
+UNION ALL SELECT 'fatal', 'artifacts', 'Saved test row counts do not match: X has ' || count(*) || ' rows and y has ' || count(*) FILTER (WHERE o_orderstatus <> 'P') || ' rows.',
+ '{_AGAIN} to recreate aligned arrays.', 'General' FROM sp WHERE split = 'test'""")
+def q_gate_saved_damaged(spark, sf):
+    """A saved split whose files were changed after it was confirmed."""
+    from ..operators.running import written
+    from ..sources import sinks
+
+    base, out = _saved(spark, sf)
+    rows = written(spark.read.parquet(f"{out}/split"), "damaged")
+    price = F.when((F.col("split") == "train") & (F.col("label") == "F"), F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    label = F.when((F.col("split") == "test") & (F.col("label") == "P"), F.lit(None)).otherwise(F.col("label"))
+    rest = rows.where("split <> 'validation' AND NOT (split = 'train' AND label = 'O')")
+    sinks.write_split(rest.withColumn("o_totalprice", price).withColumn("label", label), f"{out}/split")
+    sinks.write_metadata(spark, {"target_column": "other"}, f"{out}/imbalance_meta")
+    coverage = written(spark.read.parquet(f"{out}/class_coverage").select("class"), "damaged")
+    coverage.write.mode("overwrite").parquet(f"{out}/class_coverage")
+    return A.run_saved_gate(spark, base, G.GateConfig(target="o_orderstatus", features=FEATS, key="o_orderkey"), out, feature_cols=FEATS)
+
+
+@register("gate_unconfirmed", """
+SELECT 'fatal' AS level, 'configuration' AS category, 'Please confirm Column Configuration before running edge-case checks.' AS message,
+ 'Confirm the selected modeling columns and target on the Column Configuration page.' AS suggestion, 'General' AS affected_column""")
+def q_gate_unconfirmed(spark, sf):
+    """The saved subset has other columns than the settings."""
+    base, out = _saved(spark, sf)
+    return A.run_saved_gate(spark, base, G.GateConfig(target="o_orderstatus", features=FEATS[:1]), out, feature_cols=FEATS)
+
+
+@register("preflight_status", """
+SELECT * FROM (VALUES ('columns_confirmed', true), ('split_confirmed', true), ('gate_passed', true), ('models_selected', true),
+ ('cv_counts_sufficient', true)) AS t("check", passed)""")
 def q_preflight_status(spark, sf):
     base, out = _saved(spark, sf)
     issues = A.run_saved_gate(spark, base, CFG, out, feature_cols=FEATS)
@@ -271,7 +315,9 @@ def q_model_diagnostic(spark, sf):
     return E.confusion(preds, "actual", "predicted")
 
 
-@register("artifact_roundtrip")
+@register("artifact_roundtrip", """
+SELECT model, status, true AS encoder_reusable, 2 AS csv_rows
+FROM (VALUES ('nb_both', 'trained'), ('nb_price', 'trained'), ('broken', 'failed')) AS t(model, status)""")
 def q_artifact_roundtrip(spark, sf):
     """Results CSV, per-model metrics JSON read back (A12), params and class mapping."""
     import json as _json
@@ -299,14 +345,53 @@ def q_artifact_roundtrip(spark, sf):
         "csv_rows", F.lit(csv_rows))
 
 
-@register("curve_comparison")
-def q_curve_comparison(spark, sf):
-    """Macro ROC curves of several models at once (grouped by model) with mean AUC."""
+def _curves_sql(points: str, value: str, area: str) -> str:
+    """Curves of every model interpolated on the grid and averaged, with the mean area under them."""
+    ctes = ",".join(nb_ctes(f"_{i}", TR, TE, feats) for i, feats in enumerate(MODELS.values()))
+    per_model = []
+    for i, name in enumerate(MODELS):
+        per_model.append(f"""SELECT '{name}' AS model, gi AS grid_index, grid, round(avg(val), 9) AS {value}, round(any_value(mean_area), 9) AS {area} FROM (
+  WITH sc AS (SELECT * FROM sc_{i}), {COUNTS_SQL}, {points},
+  o AS (SELECT class, x, y, lead(x) OVER (PARTITION BY class ORDER BY x, y) AS nx, lead(y) OVER (PARTITION BY class ORDER BY x, y) AS ny,
+               row_number() OVER (PARTITION BY class ORDER BY x, y) = 1 AS first FROM k),
+  g AS (SELECT range AS gi, range / 200.0 AS grid FROM range(0, 201))
+  SELECT o.class, g.gi, g.grid, (SELECT avg(area) FROM areas) AS mean_area,
+    CASE WHEN g.grid < o.x THEN o.y WHEN o.nx IS NULL THEN o.y ELSE o.y + (o.ny - o.y) * (g.grid - o.x) / (o.nx - o.x) END AS val
+  FROM o JOIN g ON (o.first AND g.grid < o.x) OR (g.grid >= o.x AND (o.nx IS NULL OR g.grid < o.nx))) GROUP BY gi, grid""")
+    return f"WITH {ctes}\n" + "\nUNION ALL ".join(per_model)
+
+
+_ROC_POINTS = """r AS (SELECT *, m - rank AS i FROM ct2),
+  nb AS (SELECT r.*, p.tps AS tp_prev, p.fps AS fp_prev, n.tps AS tp_next, n.fps AS fp_next
+        FROM r LEFT JOIN r p ON p.class = r.class AND p.i + 1 = r.i LEFT JOIN r n ON n.class = r.class AND n.i - 1 = r.i),
+  k AS (SELECT class, fps / "N" AS x, tps / "P" AS y FROM nb
+        WHERE i = 0 OR i = m - 1 OR m <= 2 OR (fp_next - 2 * fps + fp_prev) <> 0 OR (tp_next - 2 * tps + tp_prev) <> 0
+        UNION ALL SELECT DISTINCT class, 0.0, 0.0 FROM cnt),
+  areas AS (SELECT auc AS area FROM auc)"""
+_PR_POINTS = """q AS (SELECT class, score, pos, "P", CASE WHEN "P" > 0 THEN tps / "P" ELSE 1.0 END AS x,
+          CASE WHEN tps + fps > 0 THEN tps / (tps + fps) ELSE 0.0 END AS y FROM ct2),
+  k AS (SELECT class, x, y FROM q UNION ALL SELECT DISTINCT class, 0.0, 1.0 FROM cnt),
+  areas AS (SELECT sum(CASE WHEN "P" > 0 THEN pos / "P" ELSE 0.0 END * y) AS area FROM q GROUP BY class)"""
+
+
+def _compared(spark, sf, curve, x: str, y: str, area: str, mean: str):
+    """Curves of several models at once (grouped by model) with their mean area."""
     curves = None
     for name, feats in MODELS.items():
         s = _scored(spark, sf, feats, lambda c, x: c >= x)
-        c = E.roc_curve(E.score_counts(s, "actual", CLASSES, [f"p_{c}" for c in CLASSES])).withColumn("model", F.lit(name))
+        c = curve(E.score_counts(s, "actual", CLASSES, [f"p_{c}" for c in CLASSES])).withColumn("model", F.lit(name))
         curves = c if curves is None else curves.unionByName(c)
-    mac = E.macro_curve(curves, "fpr", "tpr", part="class", group_cols=["model"])
-    auc = curves.groupBy("model").agg(F.avg("auc").alias("mean_auc"))
-    return mac.join(auc, "model")
+    mac = E.macro_curve(curves, x, y, part="class", group_cols=["model"])
+    per_class = curves.groupBy("model", "class").agg(F.first(area).alias(area))
+    out = mac.join(per_class.groupBy("model").agg(F.avg(area).alias(mean)), "model")
+    return out.select("model", F.col("grid_index").cast("long").alias("grid_index"), "grid", F.round(y, 9).alias(y), F.round(mean, 9).alias(mean))
+
+
+@register("curve_comparison", _curves_sql(_ROC_POINTS, "tpr", "mean_auc"))
+def q_curve_comparison(spark, sf):
+    return _compared(spark, sf, E.roc_curve, "fpr", "tpr", "auc", "mean_auc")
+
+
+@register("curve_comparison_pr", _curves_sql(_PR_POINTS, "precision", "mean_average_precision"))
+def q_curve_comparison_pr(spark, sf):
+    return _compared(spark, sf, E.pr_curve, "recall", "precision", "average_precision", "mean_average_precision")

@@ -38,7 +38,9 @@ def q_csv_roundtrip(spark, sf):
     return loader.load_dataset(spark, path)
 
 
-@register("infer_csv_types")
+@register("infer_csv_types", """
+SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_custkey', 'bigint'), ('o_orderstatus', 'string'), ('o_totalprice', 'double'),
+ ('o_orderdate', 'string'), ('o_orderpriority', 'string')) AS t("column", type)""")
 def q_infer_csv_types(spark, sf):
     df = q_csv_roundtrip(spark, sf)
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string")

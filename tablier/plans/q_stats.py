@@ -180,6 +180,16 @@ def q_mcnemar(spark, sf):
     return t.withColumn("chi2", F.round("chi2", 9))
 
 
+# The chi-square quantiles (one degree of freedom) at 0.95, 0.99 and 0.999.
+_STARS = "CASE WHEN chi2 > 10.827566170662733 THEN '***' WHEN chi2 > 6.634896601021213 THEN '**' WHEN chi2 > 3.841458820694124 THEN '*' ELSE 'n.s.' END"
+
+
+@register("mcnemar_marks", f"""SELECT m1, m2, CASE WHEN chi2 > 3.841458820694124 THEN 'sig' ELSE 'n.s.' END AS sig, {_STARS} AS stars FROM ({_mc_sql()})""")
+def q_mcnemar_marks(spark, sf):
+    """The marks of the pairs, from the p-values."""
+    return q_mcnemar_significance(spark, sf).select("m1", "m2", "sig", "stars")
+
+
 @register("mcnemar_significance")
 def q_mcnemar_significance(spark, sf):
     t = T.mcnemar(_mc_frame(spark, sf), "o_orderkey", "actual", list(MC_MODELS))
@@ -256,7 +266,16 @@ def q_apply_thresholds(spark, sf):
     return calibrated(spark, sf).select("o_orderkey", "predicted_calibrated")
 
 
-@register("calibration_gain")
+def _gain_sql():
+    inner = _apply_sql().replace("SELECT o_orderkey, CASE WHEN greatest", "SELECT actual, predicted, CASE WHEN greatest")
+    macro = """(SELECT avg(CASE WHEN s + q > 0 THEN 2.0 * tp / (s + q) ELSE 0.0 END) FROM (
+  SELECT c.l, (SELECT count(*) FROM ap WHERE actual = c.l AND {p} = c.l) AS tp, (SELECT count(*) FROM ap WHERE actual = c.l) AS s,
+         (SELECT count(*) FROM ap WHERE {p} = c.l) AS q FROM (SELECT actual AS l FROM ap UNION SELECT {p} FROM ap) c))"""
+    return f"""WITH ap AS ({inner}), m AS (SELECT {macro.format(p='predicted')} AS raw, {macro.format(p='predicted_calibrated')} AS cal)
+SELECT round(raw, 9) AS raw_macro_f1, round(cal, 9) AS calibrated_macro_f1, round(cal - raw, 9) AS calibration_gain FROM m"""
+
+
+@register("calibration_gain", _gain_sql())
 def q_calibration_gain(spark, sf):
     df = calibrated(spark, sf)
     raw = E.classification_metrics(E.confusion(df, "actual", "predicted")).select(F.col("macro_f1").alias("raw"))

@@ -23,8 +23,10 @@ def _scratch(spark, what):
 def q_feather_scan(spark, sf):
     ev = table(spark, sf, "events")
     folder = _scratch(spark, "feather-events")
-    sinks.write_feather_parts(ev.repartition(4), folder).collect()
+    written = sinks.write_feather_parts(ev, folder).agg(F.sum("rows")).first()[0]
     back = loader.read_feather(spark, folder)
+    if back.count() != written:
+        raise ValueError("The feather files do not hold the rows that were written.")
     return back.select("event_id", "user_id", "event_type", "value", "props")
 
 
@@ -74,3 +76,20 @@ def q_stream_scoring(spark, sf):
     )
     scored = M.predict_gaussian_nb(rows, model).select("o_orderkey", "actual", "predicted", *[f"p_{c}" for c in model.classes])
     return run_to_table(scored, "nb")
+
+
+@register("csv_text_roundtrip", r"""
+SELECT doc_id, trim(text) AS text, lang FROM documents""")
+def q_csv_text_roundtrip(spark, sf):
+    """A2: whole texts with line breaks and quotes survive a CSV file; files without such records stay splittable."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    path = _scratch(spark, "csv-texts") + ".csv"
+    # the writer keeps outer blanks and doubles inner quotes, as the reader expects
+    opts = {"header": "true", "escape": '"', "quoteAll": "true"}
+    d.where("text LIKE '%\n%'").write.options(**opts).csv(path + "/spanning")
+    d.where("text NOT LIKE '%\n%'").write.options(**opts).csv(path + "/flat")
+    back = None
+    for part in ("spanning", "flat"):
+        rows, _ = loader.read_csv_text(spark, f"{path}/{part}")
+        back = rows if back is None else back.unionByName(rows)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.btrim("text", F.lit(" ")).alias("text"), "lang")

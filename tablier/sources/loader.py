@@ -7,16 +7,19 @@ reader and collecting one aggregate row of per-column type evidence.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
 
 from ..functions.missing import LOADER_MISSING_MARKERS, normalize_missing, norm_text
 
-SUPPORTED_EXTENSIONS = (".csv", ".feather", ".parquet")
-REPLACEMENT_CHAR = "�"
 BOOL_TEXT = ["true", "false"]
+# The texts of the errors.
+UNSUPPORTED = "Unsupported dataset format '{extension}'. Supported formats: {known}."
+ABSENT = "Dataset file does not exist: {path}"
+FAILED = "Failed to load dataset '{path}': {reason}"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,41 +29,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """A1: reader chosen by extension; missing markers normalised for every format."""
-    ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ext not in SUPPORTED_EXTENSIONS:
-        supported = ", ".join(sorted(SUPPORTED_EXTENSIONS))
-        raise ValueError(f"Unsupported dataset format '{ext}'. Supported formats: {supported}.")
-    if not _exists(spark, path):
-        raise ValueError(f"Dataset file does not exist: {path}")
-    if ext == ".csv":
-        return read_csv_typed(spark, path)
-    try:
-        if ext == ".parquet":
-            return normalize_missing(spark.read.parquet(path))
-        return normalize_missing(read_feather(spark, path))
-    except Exception as exc:  # noqa: BLE001
-        raise ValueError(f"Failed to load dataset '{path}': {exc}") from exc
+def csv_file_kinds(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """The CSV files by (records span lines, not UTF-8), from one splittable pass over their lines.
+
+    A record spans lines exactly where a line holds an odd number of quotes.
+    One row per file reaches the driver, which lists the files anyway.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    flags = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), (quotes % 2 == 1).alias("spans"), (~F.is_valid_utf8("value")).alias("other")
+    )
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for r in flags.groupBy("file").agg(F.max("spans").alias("spans"), F.max("other").alias("other")).collect():
+        kinds.setdefault((r["spans"], r["other"]), []).append(r["file"])
+    return kinds
 
 
 def read_csv_text(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """A2: read as UTF-8; files with a value that holds U+FFFD (undecodable bytes) are re-read as Latin-1.
+    """A2: all columns as text, a quote inside quotes is doubled; files that are not UTF-8 are read as Latin-1.
 
-    Records may span lines inside quotes and a quote is doubled, so a file is read by one task.
+    Only files with records that span lines are read whole by a task, the others are split.
     """
-    opts = {"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
-    df = spark.read.options(**opts, encoding="UTF-8").csv(path)
-    if df.columns:
-        bad = F.lit(False)
-        for c in df.columns:
-            bad = bad | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        files = [r[0] for r in df.select(F.col("_metadata.file_path").alias("f"), bad.alias("b")).where("b").select("f").distinct().collect()]
-        if files:
-            latin = spark.read.options(**opts, encoding="ISO-8859-1").schema(df.schema).csv(files)
-            others = df.where(~F.col("_metadata.file_path").isin(files))
-            return others.unionByName(latin), "latin1"
-    return df, "utf-8"
+    kinds = csv_file_kinds(spark, path)
+    everything = spark.read.options(header="true", inferSchema="false", escape='"', mode="PERMISSIVE")
+    if len(kinds) < 2:
+        (spans, other), _ = next(iter(kinds.items()), ((False, False), []))
+        return everything.options(multiLine=str(spans).lower(), encoding="ISO-8859-1" if other else "UTF-8").csv(path), "latin1" if other else "utf-8"
+    out = None
+    for (spans, other), files in sorted(kinds.items()):
+        part = everything.options(multiLine=str(spans).lower(), encoding="ISO-8859-1" if other else "UTF-8").csv(sorted(files))
+        out = part if out is None else out.unionByName(part)
+    return out, "latin1" if any(other for _, other in kinds) else "utf-8"
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -120,50 +119,53 @@ def read_csv_typed(spark: SparkSession, path: str) -> DataFrame:
     return text.select(*typed)
 
 
-def _open(uri: str):
-    from pyarrow import fs
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """A5: a feather file or a folder of them. Spark lists and reads the files, on any of its file systems;
+    their record batches are decoded in the tasks, and the schema comes from the footer of one file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path)
 
-    filesystem, p = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + _local(uri))
-    return filesystem.open_input_file(p)
+    def schemas(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_file(pa.BufferReader(content)).schema.serialize().to_pybytes()]})
 
-def _feather_schema(uri: str) -> StructType:
-    import pyarrow.feather as feather
-    from pyspark.sql.pandas.types import from_arrow_schema
+    def rows(batches):
+        import pyarrow as pa
 
-    with _open(uri) as f:
-        return from_arrow_schema(feather.read_table(f).schema, prefer_timestamp_ntz=True)
+        for batch in batches:
+            for content in batch.column("content"):
+                reader = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                for i in range(reader.num_record_batches):
+                    yield reader.get_batch(i)
 
+    from pyspark.sql.pandas.types import from_arrow_schema
 
-def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """A5: a feather file or a folder of them; one task per file via mapInPandas."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("path")
-    first = files.limit(1).collect()
-    if not first:
+    first = files.select("content").limit(1).mapInArrow(schemas, "schema binary").first()
+    if first is None:
         raise ValueError(f"No feather files found at {path}")
-    schema = _feather_schema(first[0]["path"])
-    names = [f.name for f in schema.fields]
-    n_files = files.count()
-
-    def read_files(batches):
-        # self-contained: executors need only pyarrow / pandas, not this package
-        import pyarrow.feather as feather
-        from pyarrow import fs
-
-        for pdf in batches:
-            for p in pdf["path"]:
-                local = p[len("file:"):] if p.startswith("file:") else p
-                filesystem, rel = fs.FileSystem.from_uri(p if "://" in p else "file://" + local)
-                with filesystem.open_input_file(rel) as f:
-                    table = feather.read_table(f)
-                for rb in table.to_batches(max_chunksize=65536):
-                    yield rb.to_pandas()[names]
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(first["schema"])), prefer_timestamp_ntz=True)
+    return files.select("content").mapInArrow(rows, schema)
 
-    return files.repartition(max(1, n_files)).mapInPandas(read_files, schema)
 
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    ".csv": read_csv_typed,
+    ".feather": lambda spark, path: normalize_missing(read_feather(spark, path)),
+    ".parquet": lambda spark, path: normalize_missing(spark.read.parquet(path)),
+}
 
-def _local(uri: str) -> str:
-    return uri[len("file:"):] if uri.startswith("file:") else uri
 
-
-__all__ = ["load_dataset", "read_csv_text", "read_csv_typed", "read_feather", "infer_types", "StringType"]
+def load_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """A1: the reader of the path's extension; missing markers become null in every format."""
+    extension = os.path.splitext(path.rstrip("/"))[1].lower()
+    reader = READERS.get(extension)
+    if reader is None or not _exists(spark, path):
+        text = ABSENT if reader else UNSUPPORTED
+        raise ValueError(text.format(extension=extension, known=", ".join(sorted(READERS)), path=path))
+    try:
+        return reader(spark, path)
+    except ValueError:
+        raise
+    except Exception as reason:  # noqa: BLE001  (whatever a reader meets names its file)
+        raise ValueError(FAILED.format(path=path, reason=reason)) from reason

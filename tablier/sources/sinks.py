@@ -78,33 +78,38 @@ def write_params(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+FEATHER_BATCHES = 32  # Arrow batches of one feather file
+
+
 def write_feather_parts(df: DataFrame, folder: str) -> DataFrame:
-    """Write each partition as one feather file; returns (path, rows) per file."""
+    """Write every partition as feather files of bounded size; returns (path, rows) per file.
+
+    A file is named by its partition and place, so a task that runs again
+    writes the same files.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_schema = to_arrow_schema(df.schema)
     target = folder.rstrip("/")
 
     def write(batches):
-        import uuid
+        import itertools
 
-        import pandas as pd
         import pyarrow as pa
-        import pyarrow.feather as feather
         from pyarrow import fs
+        from pyspark import TaskContext
 
-        frames = list(batches)
-        if not frames:
-            return
-        table = pa.Table.from_pandas(pd.concat(frames, ignore_index=True), schema=arrow_schema, preserve_index=False)
-        uri = target
-        if "://" not in uri:
-            uri = "file://" + (uri[len("file:"):] if uri.startswith("file:") else uri)
-        filesystem, base = fs.FileSystem.from_uri(uri)
+        filesystem, base = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
         filesystem.create_dir(base, recursive=True)
-        name = f"{base}/part-{uuid.uuid4().hex}.feather"
-        with filesystem.open_output_stream(name) as f:
-            feather.write_feather(table, f)
-        yield pd.DataFrame({"path": [name], "rows": [table.num_rows]})
-
-    return df.mapInPandas(write, "path string, rows long")
+        part = TaskContext.get().partitionId()
+        for block in itertools.count():
+            some = list(itertools.islice(batches, FEATHER_BATCHES))
+            if not some:
+                return
+            name = f"{base}/part-{part:05d}-{block:05d}.feather"
+            with filesystem.open_output_stream(name) as f, pa.ipc.new_file(f, arrow_schema) as out:
+                for batch in some:
+                    out.write_batch(batch.cast(arrow_schema))
+            yield pa.RecordBatch.from_pydict({"path": [name], "rows": [sum(b.num_rows for b in some)]})
+
+    return df.mapInArrow(write, "path string, rows long")

@@ -16,10 +16,17 @@ from ..session import scratch_path
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None,
                 max_files_per_trigger: int = 100) -> DataFrame:
+    """The Parquet files of ``folder`` as a stream; ``glob`` picks names in it, of files or of folders of part files."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+    if not glob:
+        return reader.parquet(folder)
+    named = f"{folder.rstrip('/')}/{glob}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(named)
+    found = path.getFileSystem(conf).globStatus(path) or []
+    if any(status.isDirectory() for status in found):
+        return reader.parquet(named)
+    return reader.option("pathGlobFilter", glob).parquet(folder)
 
 
 def run_to_table(stream: DataFrame, name: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import returning_memory, text_or_empty
+from .common import materialize, returning_memory, text_or_empty
 
 # Kinds in their order and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -86,7 +86,7 @@ CONTEXT_WORDS = {
     "phone": frozenset("phone tel call fax mobile cell telefon téléphone teléfono móvil ruf".split()),
 }
 #: Candidates that the trees are fitted on, and documents they come from, at most.
-SAMPLE, SAMPLE_DOCS = 40_000, 20_000
+SAMPLE, SAMPLE_DOCS = 20_000, 20_000
 PRECISION = 0.995
 #: Candidates without a label that score so high are set aside while they are at most this share of their kind's.
 SURE, DOUBT = 0.8, 0.02
@@ -439,14 +439,17 @@ def fit(docs: DataFrame) -> Trees | None:
     """Trees from the candidates of a bounded sample of documents; None without both classes."""
     texts = _texts(docs).where("text RLIKE '[0-9@]'")
     picked = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = (
+    examples = materialize(
         texts.join(F.broadcast(picked.distinct()), "doc_id", "left_semi")
         .mapInPandas(returning_memory(_examples), "doc_id long, start long, x array<double>, y int")
-        .withColumn("h", F.xxhash64("doc_id", "start"))
-        .orderBy("h", "doc_id", "start", "x", "y")
-        .limit(SAMPLE)
-        .collect()
+        .withColumn("h", F.xxhash64("doc_id", "start")),
+        "pii-examples",
     )
+    # about SAMPLE rows leave the executors: the smallest hashes, by their share of the hash space
+    total = examples.count()
+    share = min(1.0, 1.1 * SAMPLE / max(total, 1))
+    small = examples.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else examples
+    rows = sorted(small.collect(), key=lambda r: (r.h, r.doc_id or 0, r.start, r.x, r.y))[:SAMPLE]
     if 1 not in {r.y for r in rows} or len({r.y for r in rows}) < 2:
         return None
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
@@ -458,23 +461,37 @@ def fit(docs: DataFrame) -> Trees | None:
     return model
 
 
-def find(text: str, model: Trees | None) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), each by kind and start."""
-    base, _ = base_and_runs(text)
-    added: list[Span] = []
-    candidates = generate(text, base) if model is not None else []
-    if candidates:
-        s = model.scores(np.array([describe(text, c) for c in candidates]))
-        taken = bytearray(len(text))
-        for _, a, b in base:
-            taken[a:b] = b"\1" * (b - a)
-        for i in sorted(range(len(candidates)), key=lambda i: (-s[i], candidates[i][1], -candidates[i][2], KINDS.index(candidates[i][0]))):
-            kind, a, b = candidates[i]
-            if s[i] >= model.thresholds[kind] and taken.find(1, a, b) < 0:
-                added.append(candidates[i])
-                taken[a:b] = b"\1" * (b - a)
+def find_all(texts: list[str], model: Trees | None) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text, by kind and start; the candidates of all texts are scored together."""
+    found = [base_and_runs(t)[0] for t in texts]
+    candidates = [generate(t, base) if model is not None else [] for t, base in zip(texts, found)]
+    rows = [describe(t, c) for t, cs in zip(texts, candidates) for c in cs]
+    scores = model.scores(np.array(rows)).tolist() if rows else []
     order = lambda x: (KINDS.index(x[0]), x[1])
-    return sorted(base, key=order), sorted(base + added, key=order)
+    out, at = [], 0
+    for text, base, cs in zip(texts, found, candidates):
+        s, at = scores[at : at + len(cs)], at + len(cs)
+        best = sorted((-s[i], c[1], -c[2], KINDS.index(c[0])) for i, c in enumerate(cs) if s[i] >= model.thresholds[c[0]])
+        added: list[Span] = []
+        if best:
+            taken = bytearray(len(text))
+            for _, a, b in base:
+                taken[a:b] = b"\1" * (b - a)
+            for _, a, minus_b, kind in best:
+                if taken.find(1, a, -minus_b) < 0:
+                    added.append((KINDS[kind], a, -minus_b))
+                    taken[a:-minus_b] = b"\1" * (-minus_b - a)
+        out.append((sorted(base, key=order), sorted(base + added, key=order)))
+    return out
+
+
+def find(text: str, model: Trees | None) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans) of a text."""
+    return find_all([text], model)[0]
+
+
+#: Texts whose candidates are scored together.
+TOGETHER = 256
 
 
 def _joined(spans: list[Span]) -> str:
@@ -491,9 +508,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                base, spans = find(text, model)
+            rows, texts = [], pdf["text"].tolist()
+            spans_of = [x for i in range(0, len(texts), TOGETHER) for x in find_all(texts[i : i + TOGETHER], model)]
+            for doc_id, (base, spans) in zip(pdf["doc_id"], spans_of):
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((doc_id, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
@@ -522,7 +539,12 @@ def redact(docs: DataFrame) -> DataFrame:
         # the other columns pass as they are: no detour of long integers over floats
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [None if t is None else redacted(t, find(t, model)[1]) for t in batch.column(at).to_pylist()]
+            old = batch.column(at).to_pylist()
+            texts = []
+            for i in range(0, len(old), TOGETHER):
+                part = old[i : i + TOGETHER]
+                spans_of = find_all([t or "" for t in part], model)
+                texts += [None if t is None else redacted(t, spans) for t, (_, spans) in zip(part, spans_of)]
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 

@@ -18,6 +18,7 @@ from ..functions.missing import GATE_MISSING_MARKERS, WHITESPACE
 from ..sources import sinks
 from . import gate as G
 from . import split as S
+from .ranking import MAX_STRATA, bounded_collect
 
 BALANCED = "Train Set (Balanced)"
 COVERAGE_COLUMNS = ["class", "full_count", "train_count", "validation_count", "test_count", "status"]
@@ -37,7 +38,10 @@ def save_split(spark: SparkSession, full: DataFrame, parts: DataFrame, out_dir:
     sinks.write_split(parts, f"{out_dir}/split")
     present = sorted(r[0] for r in parts.select("split").distinct().collect())
     sinks.write_metadata(spark, {"target_column": target, "parts": present, **split_info}, f"{out_dir}/split_meta")
-    sinks.write_metadata(spark, {"target_column": target, **imbalance_info}, f"{out_dir}/imbalance_meta")
+    after = parts.where("split = 'train'").groupBy(S.class_label(label_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    after = {r["class"]: r["n"] for r in bounded_collect(after, MAX_STRATA, "classes in the metadata")}
+    kept = {"warnings": [], "errors": [], "after": after, **imbalance_info}
+    sinks.write_metadata(spark, {"target_column": target, **kept}, f"{out_dir}/imbalance_meta")
     cov = S.class_coverage(parts.withColumnRenamed(label_col, "_lbl").withColumn("_t", F.col("_lbl")), "_t")
     cov.write.mode("overwrite").parquet(f"{out_dir}/class_coverage")
     dist = S.class_distribution(parts.withColumn("_t", F.col(label_col)), "_t")

@@ -209,6 +209,11 @@ def target_label(c) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
+def normalized_target(df: DataFrame, target: str) -> Column:
+    """A numeric target as it is, any other as text (missing -> 'null')."""
+    return F.col(f"`{target}`") if isinstance(df.schema[target].dataType, NumericType) else target_label(target)
+
+
 def target_classes(df: DataFrame, target: str) -> list[str]:
     """Sorted distinct labels (text); bounded collect."""
     rows = df.select(target_label(target).alias("c")).distinct().orderBy("c").limit(MAX_LEVELS + 1).collect()

@@ -36,4 +36,4 @@ def all_oracles() -> dict[str, str]:
 
 def _load():
     # importing the modules registers their queries
-    from . import q_eval, q_faults, q_gate, q_knn, q_learn, q_models, q_order, q_prep, q_profile, q_report, q_sources, q_split, q_stats  # noqa: F401
+    from . import q_eval, q_faults, q_gate, q_knn, q_learn, q_models, q_order, q_outputs, q_prep, q_profile, q_report, q_sources, q_split, q_stats  # noqa: F401

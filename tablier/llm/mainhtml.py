@@ -32,7 +32,6 @@ it. Extra columns are not read. A page is held whole by one task.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator

@@ -11,7 +11,6 @@ long the texts are. Duplicate rows are counted over 128-bit row hashes too.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BooleanType,

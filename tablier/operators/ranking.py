@@ -250,12 +250,12 @@ def _split_tied(rows: DataFrame, strata: Strata, content: list[str], flag: str)
     return other.select(*names, flag).unionByName(copies)
 
 
-def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_col: str = "_rank",
-               max_strata_hint: int | None = None) -> DataFrame:
+def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_col: str = "_rank") -> DataFrame:
     """Attach the exact 1-based rank of ``sort_key`` within ``stratum_cols``.
 
     The leading 4 characters of ``sort_key`` should be roughly uniform (md5),
-    which keeps every (stratum, bucket) window small and balanced.
+    which keeps every (stratum, bucket) window small and balanced. Spark
+    broadcasts the table of offsets where its size at run time allows.
     """
     sort_key = F.coalesce(sort_key, F.lit(""))  # rows without a key are ranked first, not lost
     b = F.substring(sort_key, 1, PREFIX_STEP)
@@ -265,9 +265,6 @@ def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_co
     base = W.partitionBy(*stratum_cols) if stratum_cols else W
     ow = base.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = counts.withColumn("_off", F.sum("_n").over(ow) - F.col("_n")).drop("_n")
-    bound = (max_strata_hint or 1) * (16 ** PREFIX_STEP)
-    if bound <= BROADCAST_MAX_ROWS:
-        offsets = F.broadcast(offsets)
     joined = with_b.join(offsets, on=keys, how="inner")
     rw = W.partitionBy(*keys).orderBy("_s")
     return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(rw)).drop("_b", "_off", "_s")

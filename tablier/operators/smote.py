@@ -63,7 +63,7 @@ def synthetic_samples(df: DataFrame, key: str, target: str, features, targets: d
            else F.array(*[F.col(f"`{c}`").cast("double") for c in numeric]))
     rows = sub.select(label_col(target).alias("_c"), F.col(key).alias("_key"), vec.alias("_v"),
                       *[F.col(c).alias(f"_n_{c}") for c in categorical])
-    ranked = exact_rank(rows, hash_sort_key(rows, seed, "_key"), ["_c"], "_rk", max_strata_hint=len(classes))
+    ranked = exact_rank(rows, hash_sort_key(rows, seed, "_key"), ["_c"], "_rk")
     n_map = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(counts[c]))])
     k_map = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(min(k, counts[c] - 1)))])
     d = _draws(spark, need)

@@ -9,10 +9,11 @@ null texts are clean, have no duplicates and encode to no ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tablier.llm import chunkbpe, decontaminate, pii, simjoin, toxicity
-from tablier.llm.common import documents, materialize, sized_broadcast
+from tablier.llm.common import documents, materialize, sized_broadcast, text_or_empty
 from tablier.llm.queries import tokenizer_path
 
 
@@ -22,10 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, Jaccard 0.8 or more; the smallest doc_id stays."""
+    """One document of each group: five-word shingles, Jaccard 0.8 or more; the smallest doc_id stays.
+
+    Rows of one doc_id count as one document, that of the largest text hash, as
+    in the join itself; only rows whose doc_id repeats are shuffled for that.
+    """
     groups = simjoin.jaccard_components(docs, width=5, num=8, den=10)
     others = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-duplicates")
-    return docs.join(sized_broadcast(others, others.count()), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(sized_broadcast(others, others.count()), "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id"), "pipeline-repeated")
+    n_again = again.count()
+    if not n_again:
+        return kept
+    hint = sized_broadcast(again, n_again)
+    latest = Window.partitionBy("doc_id").orderBy(F.desc(F.xxhash64(text_or_empty())), F.desc("text"))
+    one = kept.join(hint, "doc_id", "left_semi").select(*docs.columns).withColumn("_nth", F.row_number().over(latest)).where("_nth = 1")
+    return kept.join(hint, "doc_id", "left_anti").select(*docs.columns).unionByName(one.drop("_nth"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,18 @@ def op5(spark, sf_dir):
     return pii.personal_data(documents(spark, sf_dir))
 
 
-@query("op10_chat_formatting")
+_CHATS = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+   UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(i, r)),
+ f AS (SELECT *, length('### ' || role || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' || chr(10)) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id
+"""
+
+
+@query("op10_chat_formatting", _CHATS)
 def op10(spark, sf_dir):
     turns = chat.canonical_turns(documents(spark, sf_dir, "conversations"))
     own = chat.canonical_turns(chat.planted(spark))

@@ -28,8 +28,12 @@ and only one representative of a class is compared.
    The index stays linear in the prefix.
 4. *Verification.* Every index key first links its members to one hub (linear
    in the key). Members in one component need no further test; what remains
-   between different components of a key is tested pair by pair. No link
-   between components is lost, and groups of copies never make all pairs.
+   between different components of a key is tested pair by pair, at the first
+   key that both share in the common order. What they share then lies from that
+   key on: behind a rare shingle's place in either set, or, where the first key
+   is a combination, among the frequent shingles alone. Pairs for which that is
+   too little are not made. No link between components is lost, and groups of
+   copies never make all pairs.
 
 Results: null and empty texts get n_shingles 0 and their own id. Repeated rows
 (equal doc_id) fold to one, of different texts to the one with the greatest
@@ -57,9 +61,9 @@ SLOT_BYTES = 3 << 20
 MIN_SLOTS = 128
 MARK = 0xFFFFFFFF
 #: Keys by which a set tells whether a pair is made at an earlier key.
+FIRST_KEYS = 8
 #: Copies of one set from which it counts as common.
 HOT_COPIES = 1_000
-FIRST_KEYS = 8
 
 
 def _floor_unshared(n, num: int, den: int):
@@ -208,6 +212,7 @@ def _index(num: int, den: int, frequent: int):
                 if free < 0:
                     continue
                 rare = df <= frequent
+                frequents = m - int(rare.sum())
                 order = np.lexsort((h, ~rare))
                 # the partner holds at most n*den/num shingles
                 partner = _floor_unshared(n * den // num, num, den)
@@ -218,7 +223,11 @@ def _index(num: int, den: int, frequent: int):
                 combos = ((f[:-1] * np.uint64(mult)) ^ (f[1:] + np.uint64(mult))).astype(np.int64)
                 keys = np.concatenate((singles, combos))
                 if len(keys):
-                    yield pd.DataFrame({"key": keys, "rep": rep, "n": n, "m": m})
+                    # kind and token give the common order; rest is what a pair that first meets here can share
+                    kind = np.repeat([0, 1], [len(singles), len(combos)]).astype(np.int32)
+                    token = np.concatenate((singles, f[:-1].astype(np.int64)))
+                    rest = np.where(kind == 0, m - np.arange(len(keys)), frequents)
+                    yield pd.DataFrame({"key": keys, "rep": rep, "n": n, "m": m, "kind": kind, "token": token, "rest": rest})
 
     return run
 
@@ -243,9 +252,9 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) ->
     return materialize(full.mapInPandas(returning_memory(_verified(num, den)), "a long, b long"), name)
 
 
-def _possible(num: int, den: int) -> str:
-    """Bound from sizes n and counts m of shingles that any other set holds."""
-    return f"{den} * least(m, m2) >= {num} * (n + n2 - least(m, m2))"
+def _possible(num: int, den: int, m: str = "m") -> str:
+    """Bound from sizes n and counts m of shingles that any other set holds, or that a pair can share at a key."""
+    return f"{den} * least({m}, {m}2) >= {num} * (n + n2 - least({m}, {m}2))"
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, frequent: int = 32) -> DataFrame:
@@ -307,7 +316,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
         .agg(F.collect_list(F.struct("h", "holders")).alias("t"))
         .select("rep", "n", F.col("t.h").alias("tokens"), F.col("t.holders").alias("holders"))
     )
-    index = materialize(lists.mapInPandas(returning_memory(_index(num, den, frequent)), "key long, rep long, n long, m long"), "simjoin-index")
+    index = materialize(lists.mapInPandas(returning_memory(_index(num, den, frequent)), "key long, rep long, n long, m long, kind int, token long, rest long"), "simjoin-index")
 
     hubs = (
         index.groupBy("key")
@@ -326,23 +335,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 8, den: int =
     comp = materialize(components(links), "simjoin-comp")
 
     tagged = index.join(comp, index.rep == comp.id, "left").select(
-        "key", "rep", "n", "m", F.coalesce("comp", "rep").alias("comp")
+        "key", "rep", "n", "m", "kind", "token", "rest", F.coalesce("comp", "rep").alias("comp")
     )
     open_keys = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     left = materialize(tagged.join(open_keys, "key"), "simjoin-open")
-    # the smallest keys of a set: a pair that shares some of them is made at the first of those alone
-    nth = Window.partitionBy("rep").orderBy("key")
+    # the first keys of a set: a pair that shares some of them is made at the first of those alone
+    nth = Window.partitionBy("rep").orderBy("kind", "token", "key")
     few = left.withColumn("r", F.row_number().over(nth)).where(F.col("r") <= FIRST_KEYS)
     first = [F.min(F.when(F.col("r") == i + 1, F.col("key"))).alias(f"first{i}") for i in range(FIRST_KEYS)]
     left = left.join(few.groupBy("rep").agg(*first), "rep")
     other = left.select("key", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "key"])
-    other = other.withColumnsRenamed({"other_rep": "rep2", "other_n": "n2", "other_m": "m2", "other_comp": "comp2"})
+    other = other.withColumnsRenamed({"other_rep": "rep2", "other_n": "n2", "other_m": "m2", "other_comp": "comp2", "other_rest": "rest2"})
     theirs = ", ".join(f"other_first{i}" for i in range(FIRST_KEYS))
     earliest = " ".join(f"WHEN first{i} IN ({theirs}) THEN first{i}" for i in range(FIRST_KEYS))
     rest = (
         left.join(other, "key")
         .where("rep < rep2 AND comp <> comp2")
-        .where(_possible(num, den))
+        .where(_possible(num, den, "rest"))
         .where(f"key = CASE {earliest} ELSE key END")
         .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         .distinct()

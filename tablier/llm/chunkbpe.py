@@ -35,7 +35,7 @@ WINDOW = 16
 #: One cut in this many bytes on average; a power of two.
 MEAN_CHUNK = 512
 #: Bytes of chunk text and ids that a worker may keep, in two generations.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 16 << 20
 # Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

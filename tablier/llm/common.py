@@ -18,8 +18,8 @@ from tablier.session import scratch_path
 BROADCAST_IDS = 2_000_000
 #: Rows and bytes of an Arrow batch where the session keeps Spark's default of 10,000 rows: whole texts are long,
 #: and so are the shingle sets of a pair; a batch ends at the bytes, so a run of long rows cannot fill a worker.
-ARROW_ROWS = 2_000
-ARROW_BYTES = 4 << 20
+ARROW_ROWS = 1_000
+ARROW_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -548,7 +548,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(returning_memory(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*names)

@@ -254,4 +254,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist(), table) < threshold))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(returning_memory(run), docs.schema).select(*names)

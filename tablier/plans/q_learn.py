@@ -66,7 +66,7 @@ FROM {_CUSTOMERS} c JOIN h USING (c_custkey), (VALUES {names}) AS m(model) WHERE
 
 FAMILIES = {
     "learn_rule_trees": ["decision_tree", "random_forest", "extra_trees", "adaboost"],
-    "learn_rule_boosted": ["gradient_boosting", "hist_gradient_boosting"],
+    "learn_rule_boosted": ["gradient_boosting"],
     "learn_rule_xgboost": ["xgboost"],
     "learn_rule_linear": ["logistic_regression", "svc", "neural_net", "gaussian_nb", "knn"],
 }
@@ -74,6 +74,17 @@ for _name, _models in FAMILIES.items():
     register(_name, _learned_sql(_models))(lambda spark, sf, models=_models: _learned(spark, sf, models))
 
 
+@register("learn_rule_hist", """
+SELECT o_orderpriority, CASE WHEN o_orderpriority LIKE '%-HIGH' THEN 1.0 ELSE 0.0 END AS predicted, count(*) AS rows FROM orders GROUP BY 1, 2""")
+def q_learn_rule_hist(spark, sf):
+    """K7: leaves of at least 20 rows need a larger table; two classes."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").like("%-HIGH").cast("string").alias("kind"))
+    p = P.fit(o, ["o_orderpriority"], target="kind")
+    data = written(P.transform(o, p, keep=["o_orderpriority"], as_vector=True), "learn")
+    scored = K.score(K.fit_model("hist_gradient_boosting", data, n_classes=2), data)
+    return scored.groupBy("o_orderpriority", F.col("prediction").alias("predicted")).agg(F.count("*").alias("rows"))
+
+
 @register("learn_values", """
 SELECT model, segment, round(v, 6) AS predicted, n AS rows FROM (VALUES ('linear_regression'), ('random_forest_regressor')) AS m(model),
  (SELECT c_mktsegment AS segment, length(c_mktsegment) * 2.5 + 1 AS v, count(*) AS n FROM customer GROUP BY 1, 2)""")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField, StructType
 
 from ..functions.missing import is_float
 from .ranking import BROADCAST_MAX_ROWS
@@ -185,23 +185,15 @@ def encode_by_table(df: DataFrame, value: Column, levels: DataFrame, out: str) -
 
 def encode_sparse(df: DataFrame, column: str, levels: DataFrame, out: str, fill_value: str = DEFAULT_FILL) -> DataFrame:
     """I4 for any number of levels: one sparse indicator vector; a level the table lacks is all zeros."""
-    from pyspark.ml.feature import OneHotEncoderModel
+    from pyspark.ml.linalg import VectorUDT
 
     n = levels.count()
-    indexed = encode_by_table(df, _cat(column, fill_value), levels, "_index").fillna(float(n), ["_index"])
-    # one size more than levels, and the last of them dropped: unknown levels become zeros
-    model = OneHotEncoderModel._from_java(
-        df.sparkSession.sparkContext._jvm.org.apache.spark.ml.feature.OneHotEncoderModel("levels", _ints(df, [n + 1]))
-    )
-    return model.setInputCols(["_index"]).setOutputCols([out]).setDropLast(True).transform(indexed).drop("_index")
-
-
-def _ints(df: DataFrame, values: list[int]):
-    sc = df.sparkSession.sparkContext
-    array = sc._gateway.new_array(sc._jvm.int, len(values))
-    for i, v in enumerate(values):
-        array[i] = v
-    return array
+    indexed = encode_by_table(df, _cat(column, fill_value), levels, "_index")
+    # a vector's own fields; one-hot encoders of Spark ML name every level in the column's metadata, on the driver
+    hot = F.filter(F.array(F.col("_index").cast("int")), lambda i: i.isNotNull())
+    vector = F.struct(F.lit(0).alias("type"), F.lit(n).alias("size"), hot.alias("indices"), F.transform(hot, lambda _: F.lit(1.0)).alias("values"))
+    made = F.from_json(F.to_json(F.struct(vector.alias("v"))), StructType([StructField("v", VectorUDT())]))
+    return indexed.withColumn(out, made["v"]).drop("_index")
 
 
 def target_label(c) -> Column:

@@ -1,7 +1,8 @@
 """Spark ML estimators (K1-K9, K12-K18) behind one registry.
 
-Training data is assembled once into a ``features`` vector and cached for a
-driver loop over models (K15); each fit/score is a distributed Spark ML job.
+Training data is assembled once into a ``features`` vector for a driver loop
+over models (K15). A fit reads its rows many times, so they are dealt out to
+all cores and cached for it; each fit/score is a distributed Spark ML job.
 Multi-class boosting uses one-vs-rest (``GBTClassifier`` is binary).
 """
 
@@ -11,6 +12,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..session import cut_lineage
+from .running import spread
 
 
 @dataclass
@@ -141,13 +144,31 @@ def fit_model(name: str, train: DataFrame, label: str = "label", features_col: s
     """``params`` replace the registry's defaults; ``weight_col`` reaches every model that supports weights."""
     spec = configured(name, params)
     k = n_classes or (_n_classes(train, label) if spec.task == "classification" else 0)
+    if spec.name == "knn":
+        rows = train.select(vector_to_array(features_col).alias("_x"), F.col(label).cast("int").alias("_y"))
+        return Fitted(name, None, k, kind="knn", extra={"train": _numbered(rows, "t"), "k": spec.params["n_neighbors"], "seed": seed})
+    columns = [features_col, label, *([weight_col] if weight_col else [])]
+    train = _dealt_out(train.select(*dict.fromkeys(columns)), spec, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(name, spec, train, label, features_col, seed, weight_col, k, n_features)
+    finally:
+        train.unpersist()
+
+
+def _dealt_out(train: DataFrame, spec: ModelSpec, features_col: str) -> DataFrame:
+    """The rows of a fit over all cores; a forest holds a count per tree and row, a kernel its components."""
+    rows, vector = train.agg(F.count(F.lit(1)), F.first(features_col, ignorenulls=True)).first()
+    width = len(vector) if vector is not None else 0
+    counts = spec.params.get("n_estimators", 1) if spec.family == "tree" else 0
+    return spread(train, rows, 100 + 8 * (width + spec.params.get("n_components", 0)) + 4 * counts)
+
+
+def _fit(name: str, spec: ModelSpec, train: DataFrame, label: str, features_col: str, seed: int, weight_col: str | None, k: int,
+         n_features: int | None) -> Fitted:
     if spec.name == "adaboost":
         return fit_adaboost(train, label, features_col, k, spec.params["n_estimators"], spec.params["learning_rate"], seed)
     if spec.name == "svc":
         return fit_svc_rff(train, label, features_col, k, n_features, spec.params["n_components"], seed, weight_col, spec.params["gamma"])
-    if spec.name == "knn":
-        rows = train.select(vector_to_array(features_col).alias("_x"), F.col(label).cast("int").alias("_y"))
-        return Fitted(name, None, k, kind="knn", extra={"train": _numbered(rows, "t"), "k": spec.params["n_neighbors"], "seed": seed})
     if spec.name == "neural_net":
         nf = n_features or len(train.select(features_col).first()[0])
         mlp = MultilayerPerceptronClassifier(layers=[nf, spec.params["hidden"], k], maxIter=spec.params["max_iter"], seed=seed)

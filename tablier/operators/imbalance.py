@@ -185,7 +185,8 @@ def oversample(df: DataFrame, key, target: str, targets: dict[str, int], seed: i
     u = uniform(seed, F.col("_c"), F.col("_j"))
     draws = draws.withColumn("_idx", F.floor(u * F.element_at(n_map, F.col("_c"))).cast("long") + 1)
     ranked = exact_rank(df.withColumn("_c", label_col(target)), hash_sort_key(df, seed, key), ["_c"], "_rk")
-    copies = ranked.join(draws, (ranked["_c"] == draws["_c"]) & (ranked["_rk"] == draws["_idx"])).select(
+    # both sides grow with the rows: neither is broadcast
+    copies = ranked.join(draws.hint("merge"), (ranked["_c"] == draws["_c"]) & (ranked["_rk"] == draws["_idx"])).select(
         *[ranked[c] for c in df.columns], draws["_j"].cast("long").alias(copy_col)
     )
     return base.unionByName(copies)

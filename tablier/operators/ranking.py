@@ -254,8 +254,9 @@ def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_co
     """Attach the exact 1-based rank of ``sort_key`` within ``stratum_cols``.
 
     The leading 4 characters of ``sort_key`` should be roughly uniform (md5),
-    which keeps every (stratum, bucket) window small and balanced. Spark
-    broadcasts the table of offsets where its size at run time allows.
+    which keeps every (stratum, bucket) window small and balanced. The join
+    deals rows out as the window needs them, so it costs no shuffle of its own;
+    without the hint Spark may take the rows, small as files, for the side to broadcast.
     """
     sort_key = F.coalesce(sort_key, F.lit(""))  # rows without a key are ranked first, not lost
     b = F.substring(sort_key, 1, PREFIX_STEP)
@@ -265,6 +266,6 @@ def exact_rank(df: DataFrame, sort_key: Column, stratum_cols: list[str], rank_co
     base = W.partitionBy(*stratum_cols) if stratum_cols else W
     ow = base.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = counts.withColumn("_off", F.sum("_n").over(ow) - F.col("_n")).drop("_n")
-    joined = with_b.join(offsets, on=keys, how="inner")
+    joined = with_b.join(offsets.hint("merge"), on=keys, how="inner")
     rw = W.partitionBy(*keys).orderBy("_s")
     return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(rw)).drop("_b", "_off", "_s")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+ROWS_PER_TASK = 20_000  # rows that one task may hold when others could share them
+BYTES_PER_TASK = 64 << 20  # of rows that a task reads again and again
 ROWS_PER_RANGE = 500_000  # rows of one range; at least spark.sql.shuffle.partitions ranges are made
 
 
@@ -29,6 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` of ``rows`` rows over all cores, and over more tasks where one would hold more than ``BYTES_PER_TASK``.
+
+    Small files come back as one partition, however many rows they hold; few rows stay as they lie.
+    """
+    if rows <= ROWS_PER_TASK:
+        return df
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return df.repartition(max(cores, -(-rows * row_bytes // BYTES_PER_TASK)))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     out = F.lit(True)
     for k in keys:

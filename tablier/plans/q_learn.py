@@ -16,7 +16,7 @@ from ..operators import preprocess as P
 from ..operators import split as S
 from ..operators import stats as T
 from ..operators import workflows as WF
-from ..operators.running import written
+from ..operators.running import spread, written
 from ..sources.tables import table
 from .registry import register
 from .sqlgen import group_folds_ctes, md5_sql, stratified_holdout_ctes
@@ -25,6 +25,7 @@ from .sqlgen import group_folds_ctes, md5_sql, stratified_holdout_ctes
 _RULE = "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'a' WHEN c_mktsegment = 'FURNITURE' THEN 'b' ELSE 'c' END"
 _CUSTOMERS = f"(SELECT c_custkey, c_mktsegment, c_nationkey, {_RULE} AS kind FROM customer)"
 _IDS = "CASE kind WHEN 'a' THEN 0.0 WHEN 'b' THEN 1.0 ELSE 2.0 END"
+LEARN_BYTES = 200  # of a prepared row
 HELD = stratified_holdout_ctes("h", _CUSTOMERS, "c_custkey", "kind", 0.2, 42)
 
 
@@ -38,7 +39,8 @@ def prepared(spark, sf):
     """The encoded rows, written once: every model and fold reads them again."""
     df = customers(spark, sf)
     p = P.fit(df.where("split = 'train'"), ["c_mktsegment"], target="kind")
-    return written(P.transform(df, p, keep=["c_custkey", "c_mktsegment", "c_nationkey", "split"], as_vector=True), "learn"), p
+    made = P.transform(df, p, keep=["c_custkey", "c_mktsegment", "c_nationkey", "split"], as_vector=True)
+    return written(spread(made, df.count(), LEARN_BYTES), "learn"), p
 
 
 def _learned(spark, sf, models):
@@ -80,7 +82,7 @@ def q_learn_rule_hist(spark, sf):
     """K7: leaves of at least 20 rows need a larger table; two classes."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").like("%-HIGH").cast("string").alias("kind"))
     p = P.fit(o, ["o_orderpriority"], target="kind")
-    data = written(P.transform(o, p, keep=["o_orderpriority"], as_vector=True), "learn")
+    data = written(spread(P.transform(o, p, keep=["o_orderpriority"], as_vector=True), o.count(), LEARN_BYTES), "learn")
     scored = K.score(K.fit_model("hist_gradient_boosting", data, n_classes=2), data)
     return scored.groupBy("o_orderpriority", F.col("prediction").alias("predicted")).agg(F.count("*").alias("rows"))
 
@@ -91,7 +93,7 @@ SELECT model, segment, round(v, 6) AS predicted, n AS rows FROM (VALUES ('linear
 def q_learn_values(spark, sf):
     """A value that is linear in one discrete feature is given back exactly."""
     c = table(spark, sf, "customer").select("c_mktsegment", F.length("c_mktsegment").cast("double").alias("x"))
-    data = written(K.assemble(c, ["x"]).withColumn("label", F.col("x") * 2.5 + 1), "learn")
+    data = written(spread(K.assemble(c, ["x"]).withColumn("label", F.col("x") * 2.5 + 1), c.count(), LEARN_BYTES), "learn")
     out = None
     for model in ("linear_regression", "random_forest_regressor"):
         scored = K.fit_model(model, data).model.transform(data)

@@ -15,6 +15,7 @@ from ..operators import preprocess as P
 from ..operators import split as S
 from ..operators import stats as T
 from ..operators import workflows as WF
+from ..operators.running import spread
 from ..operators.smote import neighbours, smote
 from ..session import cut_lineage
 from ..sources.tables import labels_documents, table
@@ -30,14 +31,14 @@ def ld_frame(spark, sf, target="quality"):
     p = P.fit(df.where("split = 'train'"), LD_FEATURES, target=target, scale=True)
     out = P.transform(df, p, keep=["doc_id", "split", "source"], as_vector=True)
     # every fold / model re-reads this frame: cut the lineage once (reliable checkpoint)
-    return cut_lineage(out.withColumnRenamed("source", "grp")), p
+    return cut_lineage(spread(out.withColumnRenamed("source", "grp"), df.count(), 200)), p
 
 
 def emb_frame(spark, sf):
     df = table(spark, sf, "embeddings")
     df = S.split(df, "vec_id", "stratified", 0.2, 42, target="label")
     out = K.assemble(df, ["embedding"]).select("vec_id", F.col("label").cast("double").alias("label"), "features", "split")
-    return cut_lineage(out)
+    return cut_lineage(spread(out, df.count(), 600))
 
 
 def _fit_eval(spark, sf, model, frame="ld"):
@@ -111,8 +112,9 @@ def q_rf_regressor(spark, sf):
     from ..operators import evaluate as E
 
     part = table(spark, sf, "part")
-    data = K.assemble(part, ["p_size"]).withColumnRenamed("p_retailprice", "label")
+    data = K.assemble(part, ["p_size"]).withColumnRenamed("p_retailprice", "label").select("p_partkey", "label", "features")
     data = S.split(data, "p_partkey", "random", 0.2, 42)
+    data = spread(data, part.count(), 200)
     fitted = K.fit_model("random_forest_regressor", data.where("split = 'train'"), "label", "features")
     scored = fitted.model.transform(data.where("split = 'test'"))
     return E.regression_metrics(scored, "label", "prediction")

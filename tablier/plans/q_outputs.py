@@ -10,7 +10,7 @@ from ..operators import reports as R
 from ..operators import split as S
 from ..operators import stats as T
 from ..operators import workflows as WF
-from ..operators.running import written
+from ..operators.running import spread, written
 from ..sources import sinks
 from ..sources.tables import table
 from .q_eval import CLASSES, NB_SQL, PCOLS, nb_scored
@@ -36,7 +36,7 @@ def outputs(spark, sf):
     base = R.new_base(spark)
     R.save_preprocessor(spark, fitted, f"{base}/preprocessing")
     fitted = R.load_preprocessor(spark, f"{base}/preprocessing")
-    data = written(P.transform(parts, fitted, keep=["c_custkey", "split"], as_vector=True), "outputs")
+    data = written(spread(P.transform(parts, fitted, keep=["c_custkey", "split"], as_vector=True), c.count(), 200), "outputs")
     crossed = None
     for model in MODELS:
         learned = K.fit_model(model, data.where("split = 'train'"), n_classes=3)

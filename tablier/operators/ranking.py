@@ -10,6 +10,8 @@ window:
   ``EXACT_MAX_ROWS``, the rest is ranked in windows of at most that many rows.
   Flagging is a join with the table of cuts, of counted size, so the number of
   strata has no limit, and a map-side comparison; data rows are not shuffled.
+  More than ``LOCAL_ROWS`` strata, none of them large, are dealt out by stratum
+  instead, once and without sort keys, and ranked where they lie.
 
 * :func:`exact_rank` attaches the exact 1-based rank within a stratum: counts
   per (stratum, 16-bit prefix bucket) give offsets (a small table), and rows
@@ -99,8 +101,8 @@ class Strata:
     @staticmethod
     def of(df: DataFrame, g: Column) -> "Strata":
         counts = df.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-        rows, whole = _collect_up_to(counts, LOCAL_ROWS)
-        if whole:
+        rows = counts.limit(LOCAL_ROWS + 1).collect()
+        if len(rows) <= LOCAL_ROWS:
             sizes = {r["_g"]: int(r["_n"]) for r in rows}
             local = df.sparkSession.createDataFrame(sorted(sizes.items()), "_g string, _n long")
             return Strata(local, sizes, len(sizes), sum(sizes.values()), min(sizes.values(), default=0), max(sizes.values(), default=0))
@@ -220,6 +222,8 @@ def mark_first(df: DataFrame, sort_key: Column, stratum, quotas: Quotas, flag: s
     inside = F.lit(True) if within is None else F.coalesce(within, F.lit(False))
     pop = keyed.where(inside).select("_g", "_s")
     strata = Strata.of(pop, F.col("_g"))
+    if strata.rows is None and strata.largest <= EXACT_MAX_ROWS:
+        return _mark_ranked(df, sort_key, stratum, quotas(strata), flag, inside, content)
     cuts, tied = find_cuts(pop, quotas(strata), strata)
     joined = keyed.withColumn("_in", inside).join(strata.joinable(cuts), "_g", "left")
     first = F.coalesce(F.col("_in") & ((F.col("_s") < F.col("_cut")) | ((F.col("_s") == F.col("_cut")) & (F.col("_need") == F.col("_size")))), F.lit(False))
@@ -231,6 +235,18 @@ def mark_first(df: DataFrame, sort_key: Column, stratum, quotas: Quotas, flag: s
     return settled.unionByName(_split_tied(joined.where(at_cut).drop("_s", "_cut", "_in"), strata, content, flag).select(columns))
 
 
+def _mark_ranked(df: DataFrame, sort_key: Column, stratum, quotas: DataFrame, flag: str, inside: Column, content: list[str]) -> DataFrame:
+    """The same flag where strata are many and none is large: rows are dealt out by stratum once and ranked there.
+
+    The sort key and the digest are made behind that shuffle and do not travel.
+    """
+    wanted = quotas.select("_g", "_q").hint("merge")
+    joined = df.withColumn("_g", stratum_col(stratum)).join(wanted, "_g", "left").withColumn("_in", inside)
+    keyed = joined.withColumn("_s", F.coalesce(sort_key, F.lit(""))).withColumn("_d", F.unhex(row_digest(df, content)))
+    place = F.row_number().over(W.partitionBy("_g", "_in").orderBy("_s", "_d"))
+    return keyed.withColumn(flag, F.coalesce(F.col("_in") & (place <= F.col("_q")), F.lit(False))).select(*df.columns, flag)
+
+
 def _split_tied(rows: DataFrame, strata: Strata, content: list[str], flag: str) -> DataFrame:
     """Flags ``_need`` of the ``_size`` rows of one sort key per stratum, in order of their content."""
     rows = rows.withColumn("_s", row_digest(rows, content))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 ROWS_PER_TASK = 20_000  # rows that one task may hold when others could share them
-BYTES_PER_TASK = 64 << 20  # of rows that a task reads again and again
+BYTES_PER_TASK = 256 << 20  # of rows that a task reads again and again
 ROWS_PER_RANGE = 500_000  # rows of one range; at least spark.sql.shuffle.partitions ranges are made
 
 

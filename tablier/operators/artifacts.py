@@ -36,6 +36,7 @@ def save_split(spark: SparkSession, full: DataFrame, parts: DataFrame, out_dir:
     """Modeling subset, partitioned split table, metadata, coverage, distributions."""
     sinks.write_modeling_subset(full, features, target, f"{out_dir}/modeling_subset")
     sinks.write_split(parts, f"{out_dir}/split")
+    parts = spark.read.schema(parts.schema).parquet(f"{out_dir}/split")  # what follows counts the saved rows, and makes none anew
     present = sorted(r[0] for r in parts.select("split").distinct().collect())
     sinks.write_metadata(spark, {"target_column": target, "parts": present, **split_info}, f"{out_dir}/split_meta")
     after = parts.where("split = 'train'").groupBy(S.class_label(label_col).alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ from ..operators import imbalance as H
 from ..operators import models as M
 from ..operators import preprocess as P
 from ..operators import split as S
+from ..operators.running import written
 from ..session import scratch_path
 from ..sources.tables import ORDERS_CUSTOMER_SQL, orders_customer, table
 from .q_eval import CLASSES, COUNTS_SQL, CUT, FEATS
@@ -31,8 +32,8 @@ MODELS = {"nb_both": FEATS, "nb_price": ["o_totalprice"]}
 
 
 def _saved(spark, sf):
-    base = orders_customer(spark, sf).select("o_orderkey", "o_orderstatus", *FEATS)
-    parts = S.split_three_way(base, "o_orderkey", "stratified", 70, 10, 20, 42, target="o_orderstatus")
+    base = written(orders_customer(spark, sf).select("o_orderkey", "o_orderstatus", *FEATS), "saved-base")
+    parts = written(S.split_three_way(base, "o_orderkey", "stratified", 70, 10, 20, 42, target="o_orderstatus"), "saved-parts")
     train = parts.where("split = 'train'")
     p = P.fit(train, FEATS)
     counts = H.class_counts(train, "o_orderstatus")
@@ -75,7 +76,6 @@ UNION ALL SELECT 'fatal', 'artifacts', 'Saved test row counts do not match: X ha
  '{_AGAIN} to recreate aligned arrays.', 'General' FROM sp WHERE split = 'test'""")
 def q_gate_saved_damaged(spark, sf):
     """A saved split whose files were changed after it was confirmed."""
-    from ..operators.running import written
     from ..sources import sinks
 
     base, out = _saved(spark, sf)

@@ -11,10 +11,14 @@ it, and their number of members.
 A leaf first searches itself, which bounds its k-th distances (a leaf with too
 few members takes the bound of its closest large enough ancestor). It then
 descends the tree from the root and keeps the nodes that may hold something
-closer: distance of the centres minus both radii within the bound. The leaves
-reached stream past it, nearest bound first. Distances are matrix products of
-blocks; what may count is measured again exactly. A task holds two leaves,
-whatever the size of the data. The result is exact, ties by neighbour key.
+closer: distance of the centres minus both radii within the bound. Neighbouring
+leaves ask together, as a bundle: a leaf that any of them reached travels to the
+bundle once, nearest bound first, and meets the leaves that asked for it. There
+are about ``BUNDLES`` bundles, and more only where one would hold more than
+``BUNDLE_QUERIES`` queries, so that what is moved grows with the points and not
+with the pairs of leaves. Distances are matrix products of blocks; what may
+count is measured again exactly. A task holds the queries of a bundle and one
+leaf. The result is exact, ties by neighbour key.
 
 Where the data have structure a leaf meets few others; for points without any
 (dozens of independent dimensions) the bound excludes little. The share of leaf
@@ -34,12 +38,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranking import BROADCAST_MAX_ROWS, stratum_col
-from .running import written
+from .running import in_order, written
 
 CELL_TARGET = 2_000  # distinct points of a leaf
 PIVOTS = 64  # children of a node
 ROWS_PER_TASK = 50_000  # points of one node that a task hands to its pivots
 PACKET_BYTES = 8_192  # coordinates that travel as one row between leaves
+BUNDLES = 64  # of asking leaves; a leaf travels to each of them at most once
+BUNDLE_QUERIES = 20_000  # asking points that a task holds, and as many more as a leaf has
+BUNDLE_LEAST = 500  # asking points that are worth a bundle
 _SLACK = 1e-9  # relative allowance for rounding in bounds
 
 _log = logging.getLogger(__name__)
@@ -255,51 +262,58 @@ def _unpack(packets: list) -> _Leaf:
 
 
 def _search(k: int, penalty: dict[str, float]):
-    """Per asking point its k best; a leaf's own packets come first, then other leaves by rising bound."""
+    """Per asking point its k best; a bundle's own leaves come first, then other leaves by rising bound."""
 
     def run(batches):
         import pandas as pd
 
-        state = {"asker": None, "own": None, "other": None, "packets": [], "best": None}
+        bundle, at, packets, asking = None, None, [], {}
 
         def take():
-            """Use the packets of one leaf."""
-            if not state["packets"]:
+            """Use the packets of one leaf; of an own leaf its queries stay."""
+            if not packets:
                 return
-            leaf, pen = _unpack(state["packets"]), penalty.get(state["asker"][0], 0.0)
-            if state["own"] is None:
-                state["own"], state["best"] = leaf, [[] for _ in leaf.ids]
-            if len(leaf.m):
-                _closest(state["own"], leaf, state["best"], k, pen)
-            state["packets"] = []
-
-        def result():
+            leaf, pen = _unpack(packets), penalty.get(bundle[0], 0.0)
+            if packets[0]["_far"] == float("-inf"):
+                asking[packets[0]["_leaf"]] = leaf, [[] for _ in leaf.ids]
+            for name in packets[0]["_askers"]:
+                _closest(asking[name][0], leaf, asking[name][1], k, pen)
+            if packets[0]["_far"] == float("-inf"):
+                leaf.m = leaf.mc = leaf.mk = None
+            packets.clear()
+
+        def results():
             take()
-            if state["own"] is None or not state["own"].ids:
-                return None
-            g = state["asker"][0]
-            rows = [(g, a, b, [x[1] for x in best], [x[0] for x in best]) for (a, b), best in zip(state["own"].ids, state["best"])]
-            return pd.DataFrame(rows, columns=["_g", "_h1", "_h2", "_nk", "_nd"])
+            for leaf, found in asking.values():
+                rows = [(bundle[0], a, b, [x[1] for x in best], [x[0] for x in best]) for (a, b), best in zip(leaf.ids, found)]
+                yield pd.DataFrame(rows, columns=["_g", "_h1", "_h2", "_nk", "_nd"])
+            asking.clear()
 
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                asker = (row["_g"], row["_asker"])
-                if asker != state["asker"]:
-                    done = result() if state["asker"] else None
-                    if done is not None:
-                        yield done
-                    state |= {"asker": asker, "own": None, "other": row["_leaf"], "packets": [], "best": None}
-                elif row["_leaf"] != state["other"]:
+                if (row["_g"], row["_bundle"]) != bundle:
+                    yield from results()
+                    bundle, at = (row["_g"], row["_bundle"]), None
+                if (row["_far"], row["_leaf"]) != at:
                     take()
-                    state["other"] = row["_leaf"]
-                state["packets"].append(row)
-        done = result() if state["asker"] else None
-        if done is not None:
-            yield done
+                    at = row["_far"], row["_leaf"]
+                packets.append(row)
+        yield from results()
 
     return run
 
 
+def bundled(leaves: DataFrame) -> tuple[DataFrame, int]:
+    """(_g, _asker, _bundle) of the leaves with queries, neighbours in the tree together, and about how many bundles there are."""
+    asking = written(leaves.where("_asked > 0").select("_g", F.col("_leaf").alias("_asker"), "_asked"), "knn-asking")
+    total = asking.agg(F.sum("_asked")).first()[0] or 0
+    size = min(BUNDLE_QUERIES, max(BUNDLE_LEAST, -(-total // BUNDLES)))
+    # siblings have a common beginning of their names
+    placed = in_order(asking, ["_g"], ["_asker"], sums=["_asked"])
+    made = placed.select("_g", "_asker", F.floor(F.col("_asked_below") / size).alias("_bundle"))
+    return written(made, "knn-bundles"), -(-total // size)
+
+
 def leaf_pairs(leaves: DataFrame, nodes: DataFrame, depth: int, penalty: dict[str, float], k: int) -> DataFrame:
     """(_g, _asker, _leaf, _far): for each asking leaf the other leaves that may hold closer points.
 
@@ -323,7 +337,10 @@ def leaf_pairs(leaves: DataFrame, nodes: DataFrame, depth: int, penalty: dict[st
     for level in range(1, depth + 1):
         opened = front.join(nodes.where(F.col("_level") == level), ["_g", "_parent"]).withColumn("_pen", pen)
         far = F.expr(_apart("q", "c")) * (1 - _SLACK) - F.col("q_r") - F.col("_rm")
-        kept = written(opened.withColumn("_far", far).where(F.col("_far") <= F.col("_bound") * (1 + _SLACK)), "knn-front")
+        near = opened.withColumn("_far", far).where(F.col("_far") <= F.col("_bound") * (1 + _SLACK))
+        # the centre of the asking leaf is needed further down only
+        down = [F.when(F.col("_end").isNull(), F.col(c)).alias(c) for c in ("q_v", "q_cat")]
+        kept = written(near.select("_g", "_asker", "_bound", *down, "q_r", "_node", "_end", "_far"), "knn-front")
         hits = kept.where("_end AND _node <> _asker").select("_g", "_asker", F.col("_node").alias("_leaf"), "_far")
         found = hits if found is None else found.unionByName(hits)
         front = kept.where("_end IS NULL").select(*asking.columns, F.col("_node").alias("_parent"))
@@ -350,17 +367,25 @@ def knn_within_groups(df: DataFrame, key: str, group, features, k: int, seed: in
     wanted = k + 1  # a row may find itself
     points, nodes, depth = grow(written(fold_points(base, k), "knn-points"), penalty, seed)
     packets = points.groupBy("_g", "_node").applyInPandas(_pack(wanted, penalty), _PACKET)
-    own = [F.col("_leaf").alias("_asker"), F.lit(float("-inf")).alias("_far")]
+    itself = [F.lit(float("-inf")).alias("_far"), F.array("_leaf").alias("_askers")]
     if nodes is None:
-        stream = packets.select("*", *own)
+        dealt = packets.select("*", F.lit(0).cast("long").alias("_bundle"), *itself).repartition("_g", "_bundle")
     else:
         packets = written(packets, "knn-packets")
-        leaves = packets.groupBy("_g", "_leaf").agg(F.first("_bound").alias("_bound"))
-        pairs = leaf_pairs(leaves, nodes, depth, penalty, wanted)
+        leaves = packets.groupBy("_g", "_leaf").agg(
+            F.first("_bound").alias("_bound"), F.sum(F.size(F.filter("_asks", lambda x: x))).alias("_asked")
+        )
+        pairs = leaf_pairs(leaves.drop("_asked"), nodes, depth, penalty, wanted)
         sizes = leaves.groupBy("_g").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
         _log.info("k-NN: %d leaves, %d of %d leaf pairs compared", sizes[0], pairs.count(), sizes[1])
-        stream = packets.select("*", *own).unionByName(packets.join(pairs, ["_g", "_leaf"]))
-    dealt = stream.repartition("_g", "_asker").sortWithinPartitions("_g", "_asker", "_far", "_leaf")
+        bundles, number = bundled(leaves)
+        own = bundles.select("_g", F.col("_asker").alias("_leaf"), "_bundle", F.lit(float("-inf")).alias("_far"), F.array("_asker").alias("_askers"))
+        asked = pairs.join(bundles, ["_g", "_asker"]).groupBy("_g", "_leaf", "_bundle").agg(
+            F.min("_far").alias("_far"), F.collect_list("_asker").alias("_askers")
+        )
+        trips = written(own.unionByName(asked), "knn-trips")
+        dealt = packets.join(trips, ["_g", "_leaf"]).repartition(max(1, 2 * number), "_g", "_bundle")
+    dealt = dealt.sortWithinPartitions("_g", "_bundle", "_far", "_leaf")
     found = dealt.mapInPandas(_search(wanted, penalty), "_g string, _h1 long, _h2 long, _nk array<string>, _nd array<double>")
     asked = base.where("_isq").select("_g", "_q", "_h1", "_h2").join(found, ["_g", "_h1", "_h2"])
     others = F.slice(F.filter(F.arrays_zip("_nk", "_nd"), lambda x: x["_nk"] != F.col("_q")), 1, k)

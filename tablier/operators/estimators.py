@@ -3,6 +3,8 @@
 Training data is assembled once into a ``features`` vector for a driver loop
 over models (K15). A fit reads its rows many times, so they are dealt out to
 all cores and cached for it; each fit/score is a distributed Spark ML job.
+Learners of many rounds that take a weight per row get equal rows (categorical
+columns make many) as one weighted row, where that halves the rows at least.
 Multi-class boosting uses one-vs-rest (``GBTClassifier`` is binary).
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..session import cut_lineage
-from .running import spread
+from .running import BYTES_PER_TASK, ROWS_PER_TASK, spread
 
 
 @dataclass
@@ -163,6 +165,20 @@ def _dealt_out(train: DataFrame, spec: ModelSpec, features_col: str) -> DataFram
     return spread(train, rows, 100 + 8 * (width + spec.params.get("n_components", 0)) + 4 * counts)
 
 
+def folded(train: DataFrame, features_col: str, label: str, weight_col: str | None = None) -> DataFrame | None:
+    """Equal rows as one with their number, or their sum of weights, as ``_n``; None where that leaves more than half of the rows.
+
+    A sum over weighted rows is the sum over all of them, so a loss, an impurity or a vote keeps its value.
+    """
+    weight = F.sum(weight_col) if weight_col else F.count(F.lit(1)).cast("double")
+    rows = train.groupBy(features_col, label).agg(weight.alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    made, given = rows.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if 2 * made > (given or 0):
+        return None
+    rows = rows.drop("_rows")
+    return rows.coalesce(1) if made <= ROWS_PER_TASK else spread(rows, made, 100)
+
+
 def _fit(name: str, spec: ModelSpec, train: DataFrame, label: str, features_col: str, seed: int, weight_col: str | None, k: int,
          n_features: int | None) -> Fitted:
     if spec.name == "adaboost":
@@ -179,9 +195,21 @@ def _fit(name: str, spec: ModelSpec, train: DataFrame, label: str, features_col:
         est.setFeaturesCol(features_col).setLabelCol(label)
     if isinstance(est, OneVsRest):
         est.getClassifier().setFeaturesCol(features_col).setLabelCol(label)
+    if spec.name == "gradient_boosting":  # samples no rows and counts none for a leaf
+        fewer = folded(train, features_col, label)
+        if fewer is not None:
+            return Fitted(name, _fit_cached(est.setWeightCol("_n"), fewer), k)
     return Fitted(name, est.fit(train), k)
 
 
+def _fit_cached(est, rows: DataFrame):
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return est.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def score(fitted: Fitted, df: DataFrame, features_col: str = "features") -> DataFrame:
     """Adds ``prediction`` and class-aligned ``proba`` (array of k doubles)."""
     if fitted.kind == "adaboost":
@@ -238,16 +266,21 @@ def fit_adaboost(train: DataFrame, label: str, features_col: str, k: int, rounds
                  seed: int = 42) -> Fitted:
     """SAMME (Zhu et al. 2009): stumps on a weight column updated by expression.
 
-    Lineage is cut with a reliable checkpoint every 10 rounds.
+    A round reads its rows several times, so their weights are cached, one round
+    at a time; lineage is cut with a reliable checkpoint every 10 rounds.
     """
-    data = train.select(features_col, label).withColumn("_w", F.lit(1.0))
-    n = data.count()
-    data = data.withColumn("_w", F.lit(1.0 / n))
+    data = folded(train, features_col, label)
+    data = data.withColumnRenamed("_n", "_w") if data is not None else train.select(features_col, label).withColumn("_w", F.lit(1.0))
+    n = train.count()
+    data = data.withColumn("_w", F.col("_w") / F.lit(float(n))).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [data]
     stumps, alphas = [], []
     for r in range(rounds):
         dt = DecisionTreeClassifier(maxDepth=1, featuresCol=features_col, labelCol=label, weightCol="_w", seed=seed + r)
         m = dt.fit(data)
-        pred = m.transform(data).select(features_col, label, "_w", F.col("prediction").alias("_p"))
+        # only the prediction is asked for: no raw votes or probabilities of each row
+        m = m.setRawPredictionCol("").setProbabilityCol("").setPredictionCol("_p")
+        pred = m.transform(data).select(features_col, label, "_w", "_p")
         # one pass gives both the weighted error and the new normaliser
         agg = pred.agg(F.sum(F.when(F.col("_p") != F.col(label), F.col("_w")).otherwise(0.0)).alias("miss"),
                        F.sum("_w").alias("tot")).collect()[0]
@@ -268,6 +301,12 @@ def fit_adaboost(train: DataFrame, label: str, features_col: str, k: int, rounds
         data = pred.withColumn("_w", upd / F.lit(new_tot)).drop("_p")
         if (r + 1) % 10 == 0:
             data = cut_lineage(data)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(data)
+        if len(held) > 2:  # the last two: the new weights are made from the ones before
+            held.pop(0).unpersist()
+    for rows in held:
+        rows.unpersist()
     return Fitted("adaboost", None, k, kind="adaboost", extra={"stumps": stumps, "alphas": alphas})
 
 
@@ -276,8 +315,7 @@ def score_adaboost(f: Fitted, df: DataFrame, features_col: str) -> DataFrame:
     out = df
     votes = [F.lit(0.0)] * k
     for i, (m, a) in enumerate(zip(f.extra["stumps"], f.extra["alphas"])):
-        out = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}").transform(out)
-        out = out.drop(f"_r{i}", f"_q{i}")
+        out = m.setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("").transform(out)
         votes = [v + F.when(F.col(f"_p{i}") == c, F.lit(a)).otherwise(0.0) for c, v in enumerate(votes)]
     arr = F.array(*votes)
     # SAMME decision -> probabilities via softmax of votes / (k - 1)
@@ -295,21 +333,36 @@ def score_adaboost(f: Fitted, df: DataFrame, features_col: str) -> DataFrame:
 def fit_svc_rff(train: DataFrame, label: str, features_col: str, k: int, n_features: int | None,
                 n_components: int = 256, seed: int = 42, weight_col: str | None = None, gamma: float | None = None) -> Fitted:
     """RBF kernel approximated by random Fourier features (Rahimi & Recht 2007),
-    LinearSVC one-vs-rest, Platt scaling by a logistic regression on the margins."""
+    LinearSVC one-vs-rest, Platt scaling by a logistic regression on the margins.
+
+    Where the components of all rows are many, they are kept on disk and one class
+    at a time holds its blocks: rows and blocks of all classes took four times that.
+    """
     d = n_features or len(train.select(features_col).first()[0])
     var = train.select(vector_to_array(features_col).alias("a")).select(F.explode("a").alias("x")).agg(F.var_pop("x")).collect()[0][0] or 1.0
     gamma = gamma or 1.0 / (d * var)  # 'scale' default
-    wc = {"weightCol": weight_col} if weight_col else {}
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, d))
     b = rng.uniform(0, 2 * math.pi, size=n_components)
+    n = rows = train.count()
+    fewer = folded(train, features_col, label, weight_col)
+    if fewer is not None:
+        train, weight_col = fewer.persist(StorageLevel.MEMORY_AND_DISK), "_n"
+        rows = train.count()
+    wc = {"weightCol": weight_col} if weight_col else {}
+    many = rows * 8 * n_components > BYTES_PER_TASK
     feats = rff_transform(train, features_col, w, b, "_rff")
-    svc = LinearSVC(featuresCol="_rff", labelCol=label, regParam=1.0 / max(1, feats.count()), maxIter=100, tol=1e-4, **wc)
-    ovr = OneVsRest(classifier=svc, featuresCol="_rff", labelCol=label, parallelism=4, **wc)
+    if many:
+        feats = feats.persist(StorageLevel.DISK_ONLY)
+    svc = LinearSVC(featuresCol="_rff", labelCol=label, regParam=1.0 / max(1, n), maxIter=100, tol=1e-4, **wc)
+    ovr = OneVsRest(classifier=svc, featuresCol="_rff", labelCol=label, parallelism=1 if many else 4, **wc)
     model = ovr.fit(feats)
     margins = model.transform(feats).withColumn("_m", vector_to_array("rawPrediction")).withColumn("_mv", array_to_vector("_m"))
     margins = margins.drop("rawPrediction", "prediction")
     platt = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=1e-4, maxIter=100, **wc).fit(margins)
+    for held in (feats if many else None, train if fewer is not None else None):
+        if held is not None:
+            held.unpersist()
     return Fitted("svc", model, k, kind="svc", extra={"w": w, "b": b, "platt": platt})
 
 

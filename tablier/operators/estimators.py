@@ -5,6 +5,7 @@ over models (K15). A fit reads its rows many times, so they are dealt out to
 all cores and cached for it; each fit/score is a distributed Spark ML job.
 Learners of many rounds that take a weight per row get equal rows (categorical
 columns make many) as one weighted row, where that halves the rows at least.
+Trees of many levels keep the node of each row from level to level.
 Multi-class boosting uses one-vs-rest (``GBTClassifier`` is binary).
 """
 
@@ -37,6 +38,9 @@ from ..session import cut_lineage
 from .running import BYTES_PER_TASK, ROWS_PER_TASK, spread
 
 
+BUNDLES = 4_000  # rows that any number of equal rows become, where rows are drawn
+
+
 @dataclass
 class ModelSpec:
     name: str
@@ -95,6 +99,10 @@ def _n_classes(df: DataFrame, label: str) -> int:
     return int(df.agg(F.max(label)).collect()[0][0]) + 1
 
 
+# deep trees: without it each level takes every row down every tree from the root again; the splits are the same
+NODES = {"cacheNodeIds": True, "checkpointInterval": 10}
+
+
 def make_estimator(spec: ModelSpec, n_classes: int, n_rows_weight: float, seed: int = 42, weight_col: str | None = None):
     p = spec.params
     wc = {"weightCol": weight_col} if (weight_col and spec.supports_weights) else {}
@@ -104,13 +112,13 @@ def make_estimator(spec: ModelSpec, n_classes: int, n_rows_weight: float, seed:
                                   maxIter=p["max_iter"], tol=p["tol"], family="auto", **wc)
     if spec.name == "random_forest":
         return RandomForestClassifier(numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", bootstrap=True,
-                                      maxDepth=p["max_depth"], seed=seed, **wc)
+                                      maxDepth=p["max_depth"], seed=seed, **NODES, **wc)
     if spec.name == "extra_trees":
         # documented substitution: no bootstrap, random feature subsets; split thresholds are not random
         return RandomForestClassifier(numTrees=p["n_estimators"], featureSubsetStrategy="sqrt", bootstrap=False,
-                                      maxDepth=p["max_depth"], seed=seed, **wc)
+                                      maxDepth=p["max_depth"], seed=seed, **NODES, **wc)
     if spec.name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=p["max_depth"], seed=seed, **wc)
+        return DecisionTreeClassifier(maxDepth=p["max_depth"], seed=seed, **NODES, **wc)
     if spec.name == "gaussian_nb":
         return NaiveBayes(modelType="gaussian", **wc)
     if spec.name in ("xgboost", "gradient_boosting", "hist_gradient_boosting"):
@@ -179,6 +187,24 @@ def folded(train: DataFrame, features_col: str, label: str, weight_col: str | No
     return rows.coalesce(1) if made <= ROWS_PER_TASK else spread(rows, made, 100)
 
 
+def bundled(train: DataFrame, features_col: str, label: str, weight_col: str | None = None, bundles: int = BUNDLES) -> DataFrame | None:
+    """Equal rows as at most ``bundles`` rows of even size, their weight as ``_n``, for a learner that draws rows at random each round.
+
+    All weight is kept, and a round draws the same share of it as of the rows, each bundle by itself: of equal rows the drawn
+    share differs from that by 0.5 / sqrt(bundles) of it, not by 0.5 / sqrt(rows). None where more than half of the rows would be left.
+    """
+    key = [features_col, label, *([weight_col] if weight_col else [])]
+    equal = train.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_parts", F.least("_rows", F.lit(bundles)).cast("int"))
+    made, given = equal.agg(F.sum("_parts"), F.sum("_rows")).first()
+    if not given or 2 * made > given:
+        return None
+    equal = equal.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    size = F.expr("_rows div _parts") + (F.col("_part") < F.expr("_rows % _parts")).cast("long")
+    weight = size * F.col(weight_col) if weight_col else size
+    rows = equal.select(features_col, label, weight.cast("double").alias("_n"))
+    return rows.coalesce(1) if made <= ROWS_PER_TASK else spread(rows, made, 100)
+
+
 def _fit(name: str, spec: ModelSpec, train: DataFrame, label: str, features_col: str, seed: int, weight_col: str | None, k: int,
          n_features: int | None) -> Fitted:
     if spec.name == "adaboost":
@@ -199,6 +225,10 @@ def _fit(name: str, spec: ModelSpec, train: DataFrame, label: str, features_col:
         fewer = folded(train, features_col, label)
         if fewer is not None:
             return Fitted(name, _fit_cached(est.setWeightCol("_n"), fewer), k)
+    if spec.name == "xgboost":  # draws rows each round, but counts none for a leaf
+        fewer = bundled(train, features_col, label, weight_col)
+        if fewer is not None:
+            return Fitted(name, _fit_cached(est.setWeightCol("_n"), fewer), k)
     return Fitted(name, est.fit(train), k)
 
 

@@ -30,11 +30,19 @@ def metrics_row(scored: DataFrame, label: str = "label", n_classes: int = 0) ->
     return row.crossJoin(E.roc_auc(counts))
 
 
-def cross_validate(df: DataFrame, key: str, model: str, k: int = 5, seed: int = 42, label: str = "label",
-                   features_col: str = "features") -> DataFrame:
-    """M1: stratified k-fold (G13) on the given (already balanced) rows; five metrics per fold."""
+def stratified_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """The rows with their ``fold`` (G13), written once: several models may read the same folds."""
     S.assert_cv_feasible(df, label, k)
-    folds = written(S.kfold_stratified(df, key, label, k, seed), "folds")
+    return written(S.kfold_stratified(df, key, label, k, seed), "folds")
+
+
+def cross_validate(df: DataFrame, key: str, model: str, k: int = 5, seed: int = 42, label: str = "label",
+                   features_col: str = "features", folds: DataFrame | None = None) -> DataFrame:
+    """M1: stratified k-fold (G13) on the given (already balanced) rows; five metrics per fold.
+
+    ``folds`` are those of ``stratified_folds``, where another model was given them too.
+    """
+    folds = stratified_folds(df, key, k, seed, label) if folds is None else folds
     n_classes = int(df.agg(F.max(label)).collect()[0][0]) + 1
     out = None
     for f in range(k):

@@ -31,19 +31,20 @@ sp AS (SELECT c.*, CASE WHEN h1.is_test = 1 THEN 'test' WHEN h2.is_test = 1 THEN
 def outputs(spark, sf):
     """Two models trained on the rule of ``q_learn`` and written out; (base folder, cross-validation, preprocessing)."""
     c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").withColumn("kind", F.expr(_RULE))
-    parts = S.split_three_way(c, "c_custkey", "stratified", 70, 10, 20, 42, target="kind")
+    parts = written(S.split_three_way(c, "c_custkey", "stratified", 70, 10, 20, 42, target="kind"), "parts")
     fitted = P.fit(parts.where("split = 'train'"), ["c_mktsegment"], target="kind")
     base = R.new_base(spark)
     R.save_preprocessor(spark, fitted, f"{base}/preprocessing")
     fitted = R.load_preprocessor(spark, f"{base}/preprocessing")
-    data = written(spread(P.transform(parts, fitted, keep=["c_custkey", "split"], as_vector=True), c.count(), 200), "outputs")
-    crossed = None
+    data = written(spread(P.transform(parts, fitted, keep=["c_custkey", "split"], as_vector=True), parts.count(), 200), "outputs")
+    train, crossed = data.where("split = 'train'"), None
+    folds = WF.stratified_folds(train, "c_custkey", 3, 42)
     for model in MODELS:
-        learned = K.fit_model(model, data.where("split = 'train'"), n_classes=3)
+        learned = K.fit_model(model, train, n_classes=3)
         for split in R.SPLITS:
             scored = K.score(learned, data.where(F.col("split") == split))
             R.write_outputs(WF.predictions_table(scored, "c_custkey", fitted.classes), base, model, split, fitted.classes)
-        cv = WF.cv_summary(WF.cross_validate(data.where("split = 'train'"), "c_custkey", model, 3, 42))
+        cv = WF.cv_summary(WF.cross_validate(train, "c_custkey", model, 3, 42, folds=folds))
         crossed = cv if crossed is None else crossed.unionByName(cv)
     return base, crossed
 

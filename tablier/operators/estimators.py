@@ -5,6 +5,7 @@ over models (K15). A fit reads its rows many times, so they are dealt out to
 all cores and cached for it; each fit/score is a distributed Spark ML job.
 Learners of many rounds that take a weight per row get equal rows (categorical
 columns make many) as one weighted row, where that halves the rows at least.
+Learners that draw rows or count those of a leaf get them as a few weighted rows.
 Trees of many levels keep the node of each row from level to level.
 Multi-class boosting uses one-vs-rest (``GBTClassifier`` is binary).
 """
@@ -39,6 +40,8 @@ from .running import BYTES_PER_TASK, ROWS_PER_TASK, spread
 
 
 BUNDLES = 4_000  # rows that any number of equal rows become, where rows are drawn
+LEAF_ROWS = 20  # of a leaf of hist_gradient_boosting at least
+HIST_BINS = 255  # of a feature in hist_gradient_boosting; Spark looks for their bounds in the square of that many rows
 
 
 @dataclass
@@ -128,7 +131,7 @@ def make_estimator(spec: ModelSpec, n_classes: int, n_rows_weight: float, seed:
         elif spec.name == "gradient_boosting":
             g = GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed)
         else:
-            g = GBTClassifier(maxIter=p["max_iter"], maxBins=255, maxDepth=5, minInstancesPerNode=20, seed=seed, **wc)
+            g = GBTClassifier(maxIter=p["max_iter"], maxBins=HIST_BINS, maxDepth=5, minInstancesPerNode=LEAF_ROWS, seed=seed, **wc)
         return g if n_classes <= 2 else OneVsRest(classifier=g, parallelism=4, **wc)
     if spec.name == "neural_net":
         return None  # layers depend on the feature count; built in fit_model
@@ -158,7 +161,14 @@ def fit_model(name: str, train: DataFrame, label: str = "label", features_col: s
         rows = train.select(vector_to_array(features_col).alias("_x"), F.col(label).cast("int").alias("_y"))
         return Fitted(name, None, k, kind="knn", extra={"train": _numbered(rows, "t"), "k": spec.params["n_neighbors"], "seed": seed})
     columns = [features_col, label, *([weight_col] if weight_col else [])]
-    train = _dealt_out(train.select(*dict.fromkeys(columns)), spec, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.select(*dict.fromkeys(columns))
+    # draws no rows, but counts those of a leaf: for that, LEAF_ROWS bundles are as good as any more equal rows
+    fewer = bundled(train, features_col, label, weight_col, LEAF_ROWS, HIST_BINS ** 2) if spec.name == "hist_gradient_boosting" else None
+    if fewer is None:
+        train = _dealt_out(train, spec, features_col)
+    else:
+        train, weight_col = fewer, "_n"
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _fit(name, spec, train, label, features_col, seed, weight_col, k, n_features)
     finally:
@@ -187,17 +197,27 @@ def folded(train: DataFrame, features_col: str, label: str, weight_col: str | No
     return rows.coalesce(1) if made <= ROWS_PER_TASK else spread(rows, made, 100)
 
 
-def bundled(train: DataFrame, features_col: str, label: str, weight_col: str | None = None, bundles: int = BUNDLES) -> DataFrame | None:
+def bundled(train: DataFrame, features_col: str, label: str, weight_col: str | None = None, bundles: int = BUNDLES,
+            even: int | None = None) -> DataFrame | None:
     """Equal rows as at most ``bundles`` rows of even size, their weight as ``_n``, for a learner that draws rows at random each round.
 
     All weight is kept, and a round draws the same share of it as of the rows, each bundle by itself: of equal rows the drawn
     share differs from that by 0.5 / sqrt(bundles) of it, not by 0.5 / sqrt(rows). None where more than half of the rows would be left.
+
+    A learner that splits a node only into parts of ``bundles`` rows at least splits the bundles as it splits the rows: equal rows are
+    in one node, so it has that many bundles where it has that many rows. Where ``even`` is given and more bundles than that come of
+    it, so that the learner draws ``even`` of them to look for its cut values, no bundle holds more than 1 / ``even`` of the rows.
     """
     key = [features_col, label, *([weight_col] if weight_col else [])]
-    equal = train.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_parts", F.least("_rows", F.lit(bundles)).cast("int"))
-    made, given = equal.agg(F.sum("_parts"), F.sum("_rows")).first()
+    equal = train.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = F.least("_rows", F.lit(bundles)).cast("int")
+    made, given = equal.agg(F.sum(parts), F.sum("_rows")).first()
+    if even and made and made > even:
+        parts = F.greatest(parts, F.ceil(F.col("_rows") * even / given).cast("int"))
+        made = equal.agg(F.sum(parts)).first()[0]
     if not given or 2 * made > given:
         return None
+    equal = equal.withColumn("_parts", parts)
     equal = equal.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     size = F.expr("_rows div _parts") + (F.col("_part") < F.expr("_rows % _parts")).cast("long")
     weight = size * F.col(weight_col) if weight_col else size
